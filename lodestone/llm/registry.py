@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, packing, pii, quality, simhash, suffixes, tokens
+from . import hpylm, lines, mixing, packing, pii, quality, simhash, suffixes, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_hpylm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(_read(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = simhash.near_duplicates(_read(spark, sf_dir, "documents"), width=3)
     return made.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -56,7 +60,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_simhash, op4_token_counts, op5_suffix_dedup, op6_mixing, op7_line_dedup, op8_pii, op9_packing, op10_quality)
+    for f in (op1_hpylm, op2_simhash, op4_token_counts, op5_suffix_dedup, op6_mixing, op7_line_dedup, op8_pii, op9_packing, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {}
