@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hpylm, lines, mixing, packing, pii, quality, simhash, suffixes, tokens
+from . import hpylm, lines, mixing, nearest, packing, pii, quality, simhash, suffixes, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(_read(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_hpylm, op2_simhash, op4_token_counts, op5_suffix_dedup, op6_mixing, op7_line_dedup, op8_pii, op9_packing, op10_quality)
+    for f in (op1_hpylm, op2_simhash, op3_nearest, op4_token_counts, op5_suffix_dedup, op6_mixing, op7_line_dedup, op8_pii, op9_packing, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {}
