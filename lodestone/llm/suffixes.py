@@ -34,7 +34,7 @@ from .blocks import answer, bucket_of, cuts, deltas, each_block, gather, map_blo
 from .common import LAST_ID, partitions, staged
 
 MATCH, GRAM = 50, 20
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _U64 = np.uint64
 _BASE = 0xD1342543DE82EF95  # odd, 5 modulo 8
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -169,18 +169,16 @@ def _merge_runs(bucket: int, blocks: list[int], blobs: list[bytes]):
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions sorted by their next `depth` bytes, and each position's rank (equal where those bytes are).
 
-    Larsson-Sadakane: the order by 8 bytes is refined by the ranks further on; only positions whose group isn't
+    Larsson-Sadakane: the order by 7 bytes is refined by the ranks further on; only positions whose group isn't
     a single one are sorted again. A position past the end ranks before all others.
     """
-    n, first = len(text), min(8, depth)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    n, first = len(text), min(7, depth)
+    padded = np.append(text.astype(np.uint64) + _U64(1), np.zeros(first, np.uint64))
     key = np.zeros(n, np.uint64)
     for k in range(first):
-        key = key << _U64(8) | padded[k : n + k]
-    beyond = np.minimum(n - np.arange(n), first)  # a shorter suffix is smaller than one that goes on with zero bytes
-    sa = np.lexsort((beyond, key))
-    head = np.ones(n, bool)
-    head[1:] = (key[sa][1:] != key[sa][:-1]) | (beyond[sa][1:] != beyond[sa][:-1])
+        key = key << _U64(9) | padded[k : n + k]
+    sa = np.argsort(key)
+    head = np.append(True, key[sa][1:] != key[sa][:-1])
     rank = np.empty(n, np.int64)
     rank[sa] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
     done = first
@@ -194,7 +192,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         further = pos + step
         second = np.where(further < n, rank[np.minimum(further, n - 1)] + 1, 0)
         group = rank[pos]
-        o = np.lexsort((second, group))
+        o = np.argsort(group * (n + 1) + second)
         pos, second, group = pos[o], second[o], group[o]
         sa[slots] = pos
         new = np.append(True, (group[1:] != group[:-1]) | (second[1:] != second[:-1]))
@@ -204,7 +202,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return sa, rank
 
 
-def kasai(text: np.ndarray, sa: np.ndarray, limit: int, stride: int = 64) -> np.ndarray:
+def kasai(text: np.ndarray, sa: np.ndarray, limit: int, stride: int = 16) -> np.ndarray:
     """Common prefix of each suffix in sa with the one before it, up to limit bytes.
 
     Kasai's bound (the prefix at a position is at most one shorter than at the position before) is carried through
@@ -212,6 +210,10 @@ def kasai(text: np.ndarray, sa: np.ndarray, limit: int, stride: int = 64) -> np.
     there the bound holds only if the neighbour moved on by one still comes first.
     """
     n = len(text)
+    padded = np.append(text, np.zeros(8, np.uint8)).astype(np.uint64)
+    eight = np.zeros(n, np.uint64)
+    for k in range(8):
+        eight = eight << _U64(8) | padded[k : n + k]
     place = np.empty(n + 1, np.int64)
     place[sa], place[n] = np.arange(n), n
     before = np.full(n, -1, np.int64)
@@ -225,17 +227,25 @@ def kasai(text: np.ndarray, sa: np.ndarray, limit: int, stride: int = 64) -> np.
             last = found[i - 1]
             h = np.where((last >= limit) & (place[before[i - 1] + 1] > place[i]), 0, np.maximum(last - 1, 0))
         h[j < 0] = 0
-        live = np.flatnonzero(j >= 0)
+        most = np.minimum(limit, n - np.maximum(i, j))
+        live = np.flatnonzero((j >= 0) & (h < most))
         while len(live):
-            a, b = i[live] + h[live], j[live] + h[live]
-            more = (h[live] < limit) & (np.maximum(a, b) < n)
-            more[more] = text[a[more]] == text[b[more]]
-            live = live[more]
-            h[live] += 1
+            x = eight[i[live] + h[live]] ^ eight[j[live] + h[live]]
+            h[live] += sum((x < _U64(1 << 8 * k)).astype(np.int64) for k in range(8))
+            live = live[(x == 0) & (h[live] < most[live])]
+        h = np.where(j >= 0, np.minimum(h, most), 0)
         found[i] = h
     return found[sa]
 
 
+def _in_a_row(lo: np.ndarray, hi: np.ndarray, doc: np.ndarray):
+    """Runs of one document that follow each other without a gap, as one."""
+    if not len(lo):
+        return lo, hi, doc
+    new = np.append(True, (lo[1:] != hi[:-1] + 1) | (doc[1:] != doc[:-1]))
+    return lo[new], hi[np.append(np.flatnonzero(new)[1:], len(lo)) - 1], doc[new]
+
+
 def _open_windows(lo: np.ndarray, hi: np.ndarray):
     """Window starts of runs [lo, hi], and each start's place in the runs' texts laid end to end; text ranges too."""
     n = hi - lo + 1
@@ -266,16 +276,17 @@ def _decide_runs(buckets: int):
         several = np.concatenate([t[1] for t in told]) if told else np.zeros(0, bool)
         gone = least[pair] < order if len(gram) else np.zeros(0, bool)
         left = ~gone & several[pair] if len(gram) else gone
-        rows = [(block, -2, pack(lo[gone], hi[gone], lo[left], hi[left], doc[left]))]
+        open_lo, open_hi, open_doc = _in_a_row(lo[left], hi[left], doc[left])
+        rows = [(block, -2, pack(*_in_a_row(lo[gone], hi[gone], doc[gone])[:2], open_lo, open_hi, open_doc))]
         if left.any():
-            starts, place, run = _open_windows(lo[left], hi[left])
-            text = np.concatenate([b.text[s : e + MATCH] for s, e in zip(lo[left].tolist(), hi[left].tolist(), strict=True)])
+            starts, place, run = _open_windows(open_lo, open_hi)
+            text = np.concatenate([b.text[s : e + MATCH] for s, e in zip(open_lo.tolist(), open_hi.tolist(), strict=True)])
             sa, _ = suffix_array(text, MATCH)
             same = kasai(text, sa, MATCH) >= MATCH
             group = np.empty(len(text), np.int64)
             group[sa] = np.cumsum(~same)
             # of each group of windows: its smallest document, and a window that stands for it
-            mine, owner = group[place], order[left][run]
+            mine, owner = group[place], b.order[open_doc][run]
             at = np.lexsort((owner, mine))
             first = at[np.append(True, mine[at][1:] != mine[at][:-1])]
             s = starts[first]
@@ -339,7 +350,7 @@ def _finish(buckets: int, texts: bool):
 def dedup_substrings(docs: DataFrame, texts: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs; with texts also kept, the bytes left."""
     spark = docs.sparkSession
-    buckets = max(1, partitions(spark))
+    buckets = 4 * partitions(spark)
     blocks = gather(docs, block_bytes, len, _build)
     first = answer(map_blocks(blocks, _ask_runs(buckets)), _merge_runs)
     decided = staged(each_block(blocks.union(first), _decide_runs(buckets)), "runs")
