@@ -11,7 +11,7 @@ a dish and seats them again one by one, each at a new table with the weight (s +
 a sweep the parent's probabilities stand still, so all restaurants are sampled at once; between sweeps over the
 restaurants the parent takes the tables sent to it and is seated again. Predictive probabilities are averaged over
 the sweeps after the burn-in (they are linear in the numbers of tables, so those are averaged). Past `EXACT`
-customers of a dish the time until the next new table is drawn from its closed form. The discount comes from the
+customers of a dish the new tables of the next sixth of its customers are drawn at once. The discount comes from the
 counts of counts.
 
 Documents are gathered into blocks. A block asks the words' buckets for corpus counts, and the contexts' buckets
@@ -22,7 +22,7 @@ part; nothing is pruned.
 
 Defined results: a null or empty text is one end token; a null doc_id is written as the empty text for the hash
 and so trains; repeated rows train and are scored each; other columns are ignored; an empty table gives no rows.
-Words are told apart by 64-bit hashes, the second word of a pair within its context by 48 bits. The same table,
+Words are told apart by 64-bit hashes, in pairs by 48 bits of each beside the bucket. The same table,
 partitioned alike, gives the same scores (the sampler is seeded by bucket).
 """
 
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import answer, bucket_of, cuts, deltas, each_block, gather, map_blocks, mix, pack, release, unpack
-from .common import partitions, staged
+from .common import discard, partitions, staged
 
 BLOCK_BYTES = 16 << 20
 FOLDS, HELD = 7, 2
@@ -51,6 +51,8 @@ HOT_SHARE = 4096
 #: Hashes that no word is likely to have: the end of a text as a word, its start as a context.
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end", 1))
 START = np.uint64(xxhash.xxh64_intdigest(b"\x00start", 1))
+#: Parent probabilities travel to the seating as 16-bit logarithms; scores use them as they are.
+FINE = 512
 PARENT_MARK = 1 << 30
 _U64 = np.uint64
 _SIX = _U64(16)
@@ -140,13 +142,14 @@ def _ask_pairs(buckets: int, hot: np.ndarray):
 
     def work(block: int, data: dict[int, bytes]):
         b = Block(data.pop(-1))
-        parent = _told(data).astype(np.float32)
+        parent = np.rint(np.log2(_told(data)) * FINE).astype(np.int16)
         u, w, count, bucket, _, hashes = b.pairs(hot, buckets)
         rows, at = [], cuts(bucket, buckets)
         for k, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)):
             if e > s:
                 first = np.flatnonzero(np.append(True, u[s + 1 : e] != u[s : e - 1]))
-                rows.append((block, k, pack(hashes[u[s:e][first]], np.diff(np.append(first, e - s)), hashes[w[s:e]] >> _SIX, count[s:e].astype(np.int32), parent[w[s:e]])))
+                said, place = np.unique(w[s:e], return_inverse=True)
+                rows.append((block, k, pack(deltas(hashes[u[s:e][first]] >> _SIX), np.diff(np.append(first, e - s)), place.astype(np.int32), count[s:e].astype(np.int32), deltas(hashes[said] >> _SIX), parent[said])))
         return rows
 
     return work
@@ -179,15 +182,13 @@ def seat(count: np.ndarray, group: np.ndarray, base: np.ndarray, discount: float
         live = np.arange(size(EXACT + 1))
         at = np.full(len(live), float(EXACT))
         while len(live):
-            a = np.maximum(weight[live] + discount * t[live] * p[live], 1e-300)
-            # no new table from customer x to y has the chance ((x - d t) / (y - d t)) ** a
-            x = at - discount * t[live]
-            jump = -np.log(rng.random(len(live))) / a
-            at = np.where(jump < 500, x * np.exp(np.minimum(jump, 500)) + discount * t[live], np.inf)
-            at = np.maximum(at, np.floor(at) + 1)
-            on = at <= c[live]
-            live, at = live[on], np.floor(at[on])
-            t[live] += 1
+            # from customer x to y, with few new tables between, their number is about Poisson
+            to = np.minimum(np.ceil(at * 1.2), c[live])
+            opened = discount * t[live]
+            rate = (weight[live] + opened * p[live]) * np.log((to - opened) / (at - opened))
+            t[live] += np.minimum(rng.poisson(np.minimum(rate, to - at)), to - at)
+            on = to < c[live]
+            live, at = live[on], to[on]
         tables[many] = t
         if sweep >= burn_in:
             mean += t / (sweeps - burn_in)
@@ -195,31 +196,36 @@ def seat(count: np.ndarray, group: np.ndarray, base: np.ndarray, discount: float
     return tables
 
 
-def _restaurants(parts, hot):
-    """Pairs of all blocks merged: context number, word, customers, parent probability; each entry's pair; contexts."""
-    names = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
+def _restaurants(parts):
+    """Pairs of all blocks merged: context number, word, customers, parent probability; each entry's pair; contexts.
+
+    parts: contexts, their numbers of pairs, then of each pair its word's place and its count; words, their parents.
+    """
+    names = np.concatenate([np.repeat(np.cumsum(p[0], dtype=np.uint64), p[1]) for p in parts])
     contexts, u = np.unique(names, return_inverse=True)
-    w = np.concatenate([p[2] for p in parts])
-    at = np.lexsort((w, u))
-    new = np.append(True, (u[at][1:] != u[at][:-1]) | (w[at][1:] != w[at][:-1]))
-    which = np.empty(len(at), np.int64)
-    which[at] = np.cumsum(new) - 1
-    first = at[new]
-    count = np.bincount(which, np.concatenate([p[3] for p in parts]), len(first)).astype(np.int64)
-    return contexts, u[first], w[first], count, np.concatenate([p[4] for p in parts])[first], which
+    del names
+    words, said = np.unique(np.concatenate([np.cumsum(p[4], dtype=np.uint64) for p in parts]), return_inverse=True)
+    starts = np.cumsum([0, *(len(p[4]) for p in parts)])
+    parent = np.empty(len(words))
+    parent[said] = np.exp2(np.concatenate([p[5] for p in parts]) / FINE)
+    w = np.concatenate([said[s : s + len(p[4])][p[2]] for s, p in zip(starts, parts, strict=False)])
+    key, first, which = np.unique(u * len(words) + w, return_index=True, return_inverse=True)
+    count = np.bincount(which, np.concatenate([p[3] for p in parts]), len(key)).astype(np.int64)
+    w = w[first]
+    return contexts, u[first], words[w], count, parent[w], which
 
 
 def _seat_bucket(buckets: int, hot: np.ndarray, discount: float | None, last: bool):
     """One sweep over a bucket's restaurants. Not last: tables by word, to the parent. Last: answers to the blocks.
 
-    An answer has, for each pair, the discounted customers and the context's weight of the parent and total; of a
-    hot context they are sums over this bucket only, and row (-1, bucket) has what the other buckets need of them.
+    An answer has each pair's own probability and each context's weight of the parent. For a hot context they can't
+    be told here: the answer is the discounted customers, and row (-1, bucket) has the context's totals here.
     """
 
     def work(bucket: int, blocks: list[int], blobs: list[bytes]):
         parts = [unpack(x) for x in blobs]
-        contexts, u, w, count, parent, which = _restaurants(parts, hot)
-        shared = np.isin(contexts, hot)
+        contexts, u, w, count, parent, which = _restaurants(parts)
+        shared = np.isin(contexts, hot >> _SIX)
         d = discount if discount is not None else 0.75
         t = seat(count, u, parent, d, STRENGTH, SWEEPS, BURN_IN, np.where(shared, 1 / buckets, 1.0), bucket)
         if not last:
@@ -234,10 +240,13 @@ def _seat_bucket(buckets: int, hot: np.ndarray, discount: float | None, last: bo
         value = np.maximum(count - d * t, 0).astype(np.float32)
         odds = np.where(shared, 0, STRENGTH + d * tables)
         whole = np.where(shared, 0, STRENGTH + total)
-        ready = ~shared[u]
-        value[ready] = ((value + odds[u] * parent) / np.maximum(whole[u], 1e-300))[ready]
+        value = np.where(shared[u], value, value / np.where(whole > 0, whole, 1)[u]).astype(np.float32)
+        weight = (odds / np.where(whole > 0, whole, 1)).astype(np.float32)
         ends = np.cumsum([len(p[2]) for p in parts])
-        rows = [(b, bucket, pack(value[which[e - len(p[2]) : e]])) for b, p, e in zip(blocks, parts, ends, strict=True)]
+        rows = []
+        for b, p, e in zip(blocks, parts, ends, strict=True):
+            at = np.searchsorted(contexts, np.cumsum(p[0], dtype=np.uint64))
+            rows.append((b, bucket, pack(value[which[e - len(p[2]) : e]], weight[at])))
         return [*rows, (-1, bucket, pack(contexts[shared], total[shared], tables[shared]))]
 
     return work
@@ -273,11 +282,14 @@ def _score(buckets: int, hot: np.ndarray, total: int, n_words: int, hot_rows: tu
         data = dict(zip(part["bucket"].tolist(), part["data"], strict=True))
         b = Block(data.pop(-1))
         count, parent = unpack(data.pop(-3))
-        u, w, _, _, which, hashes = b.pairs(hot, buckets)
-        p = _told(data).astype(np.float64)
+        u, w, _, bucket, which, hashes = b.pairs(hot, buckets)
+        told = [unpack(data[k]) for k in sorted(data)]
+        at_run = np.cumsum(np.append(True, (u[1:] != u[:-1]) | (bucket[1:] != bucket[:-1]))) - 1
+        own, weight = (np.concatenate([t[k] for t in told]).astype(np.float64) for k in (0, 1))
+        p = own + weight[at_run] * parent[w]
         shared = np.flatnonzero(np.isin(hashes[u], hot))
-        at = np.searchsorted(names, hashes[u[shared]])
-        p[shared] = (p[shared] + (STRENGTH + discount * tables[at]) * parent[w[shared]]) / (STRENGTH + customers[at])
+        at = np.searchsorted(names, hashes[u[shared]] >> _SIX)
+        p[shared] = (own[shared] + (STRENGTH + discount * tables[at]) * parent[w[shared]]) / (STRENGTH + customers[at])
         log_p = np.log10(p)[which]
         log_base = np.log10((count + 1) / (total + n_words + 1))[b.tokens]
         starts = np.cumsum(b.sizes) - b.sizes
@@ -298,13 +310,14 @@ def _specials(rows: DataFrame) -> list[list[np.ndarray]]:
     return [unpack(bytes(r["data"])) for r in rows.where("block = -1").orderBy("bucket").collect()]
 
 
-def _numbers(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """Blobs of arrays (hashes first) as rows of numbers."""
+def _numbers(rows: DataFrame, names: tuple[str, ...], above: float = -1) -> DataFrame:
+    """Blobs of arrays (hashes first) as rows of numbers; only those whose second is above a bound."""
 
     def run(batches):
         for b in batches:
             for x in b["data"]:
                 arrays = unpack(x)
+                arrays = [a[arrays[1] > above] for a in arrays]
                 yield pd.DataFrame({n: a.view(np.int64) if a.dtype == np.uint64 else a.astype(float) for n, a in zip(names, arrays, strict=True)})
 
     return rows.mapInPandas(run, ", ".join(f"{n} {'long' if k == 0 else 'double'}" for k, n in enumerate(names)))
@@ -312,7 +325,7 @@ def _numbers(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
 
 def _hot(rows: DataFrame, total: int) -> np.ndarray:
     """Hashes of the contexts that are dealt by both words, ascending: words of more than 1 in HOT_SHARE tokens, and the start."""
-    often = _numbers(rows, ("word", "n")).where(F.col("n") * HOT_SHARE > total).collect()  # fewer than HOT_SHARE rows
+    often = _numbers(rows, ("word", "n"), total / HOT_SHARE).collect()  # fewer than HOT_SHARE rows
     return np.unique(np.append(np.array([r["word"] for r in often], np.int64).view(np.uint64), START))
 
 
@@ -351,10 +364,11 @@ def _both(block: int, data: dict[int, bytes]):
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row of docs."""
     spark = docs.sparkSession
-    buckets = max(1, partitions(spark))
+    buckets = 4 * partitions(spark)
     blocks = gather(docs, block_bytes, len, _build)
     ask_words = map_blocks(blocks, _ask_counts(buckets))
     counts = staged(answer(ask_words, _merge_counts), "counts")
+    release(spark)
     specials = _specials(counts)
     n_words, total = (int(sum(s[0][k] for s in specials)) for k in (0, 1))
     hot = _hot(counts.where("block = -2"), total)
@@ -363,18 +377,23 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS)
     parent_now = each_block(known, _first_parent(total, n_words))
     discount = None
     for _ in range(rounds - 1):
-        parent_rows = staged(parent_now, "parent")
-        asked = each_block(blocks.union(parent_rows), _ask_pairs(buckets, hot))
+        first_rows = staged(parent_now, "parent")
+        release(spark)
+        asked = each_block(blocks.union(first_rows), _ask_pairs(buckets, hot))
         tables = staged(answer(asked, _seat_bucket(buckets, hot, discount, last=False)), "tables")
         release(spark)
         ones, twos = (sum(int(s[0][k]) for s in _specials(tables)) for k in (0, 1))
         discount = ones / (ones + 2 * twos) if ones and twos else 0.75
         replies = staged(answer(ask_words.union(tables.where("block < -1")), lambda k, b, x: _parent(k, b, x, n_words)), "parents")
+        for done in (tables, first_rows):
+            discard(spark, done)
+        release(spark)
         sums = _specials(replies)
         customers, seated = (float(sum(s[0][k] for s in sums)) for k in (0, 1))
         parent_now = each_block(replies.where("block >= 0"), _next_parent(customers, seated, n_words))
     discount = 0.75 if discount is None else discount
     parent_rows = staged(parent_now, "parent")
+    release(spark)
     asked = each_block(blocks.union(parent_rows), _ask_pairs(buckets, hot))
     final = staged(answer(asked, _seat_bucket(buckets, hot, discount, last=True)), "answers")
     release(spark)
