@@ -14,6 +14,7 @@ are ignored. A scan without a shuffle.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -24,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 VOCABULARY = "word_bpe_49k.json"
-CHUNK, OVERLAP = 1 << 14, 1 << 9
-MEMORY_WORDS = 400_000
+CHUNK, OVERLAP = 1 << 16, 1 << 10
+MEMORY_WORDS = 1_200_000
 LIMIT = 2048
 
 _WS = "\x09-\x0d\x20\x85\xa0  -     　"
@@ -56,7 +57,6 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.chunk, self.overlap, self.memory_words = chunk, overlap, memory_words
         self.memory: dict[str, bytes] = {}
-        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
 
     def _spans(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """ids and start offsets."""
@@ -106,22 +106,24 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         memory = self.memory
         split = [None if len(t) > self.chunk else t.split() if not _OTHER.search(t) else _WORD.findall(t) for t in texts]
-        new = list({w for ws in split if ws for w in ws if w not in memory})
+        known = [None if ws is None else list(map(memory.get, ws)) for ws in split]
+        new = list({w for ws, got in zip(split, known, strict=True) if got and None in got for w, x in zip(ws, got, strict=True) if x is None})
         more: dict[str, bytes] = {}
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            more.update(zip(part, (np.array(e.ids, "<u4").tobytes() for e in self.batch(part, add_special_tokens=False)), strict=True))
-        if len(memory) + len(more) <= self.memory_words:
-            memory.update(more)
-            more = memory
+        for k in range(0, len(new), 400):
+            part = new[k : k + 400]  # words apart by a space are encoded as they are alone
+            (ids, at), = self._spans([" ".join(part)])
+            begin = np.cumsum([0, *(len(w) + 1 for w in part)])
+            data, cut = ids.astype("<u4").tobytes(), (4 * np.searchsorted(at, begin)).tolist()
+            more.update((w, data[a:b]) for w, a, b in zip(part, cut, cut[1:], strict=False))
+        memory.update(itertools.islice(more.items(), max(0, self.memory_words - len(memory))))
         out = []
-        for t, ws in zip(texts, split, strict=True):
+        for t, ws, got in zip(texts, split, known, strict=True):
             if ws is None:
                 out.append(self.huge(t))
-            elif more is memory:
-                out.append(b"".join([memory[w] for w in ws]))
+            elif None in got:
+                out.append(b"".join([more[w] if x is None else x for w, x in zip(ws, got, strict=True)]))
             else:
-                out.append(b"".join([memory.get(w) or more.get(w, b"") for w in ws]))
+                out.append(b"".join(got))
         return out
 
 
