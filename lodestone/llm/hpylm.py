@@ -39,8 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import answer, bucket_of, cuts, deltas, each_block, gather, map_blocks, mix, pack, release, unpack
-from .common import discard, partitions, staged
+from .blocks import answer, bucket_of, buckets_for, cuts, deltas, each_block, gather, map_blocks, mix, pack, release, unpack
+from .common import discard, staged
 
 BLOCK_BYTES = 16 << 20
 FOLDS, HELD = 7, 2
@@ -51,7 +51,7 @@ HOT_SHARE = 4096
 #: Hashes that no word is likely to have: the end of a text as a word, its start as a context.
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end", 1))
 START = np.uint64(xxhash.xxh64_intdigest(b"\x00start", 1))
-#: Parent probabilities travel to the seating as 16-bit logarithms; scores use them as they are.
+#: Parent probabilities travel to the seating, and pairs' own probabilities back, as logarithms in steps of 2 ** (1 / FINE) (0.07 %).
 FINE = 512
 PARENT_MARK = 1 << 30
 _U64 = np.uint64
@@ -215,6 +215,15 @@ def _restaurants(parts):
     return contexts, u[first], words[w], count, parent[w], which
 
 
+def _short(x: np.ndarray) -> np.ndarray:
+    """Values from 0 up as 16-bit logarithms; 0 stays 0."""
+    return np.where(x > 0, np.clip(np.rint(np.log2(np.maximum(x, 1e-30)) * FINE), -32767, 32767), -32768).astype(np.int16)
+
+
+def _long(x: np.ndarray) -> np.ndarray:
+    return np.where(x > -32768, np.exp2(x / FINE), 0.0)
+
+
 def _seat_bucket(buckets: int, hot: np.ndarray, discount: float | None, last: bool):
     """One sweep over a bucket's restaurants. Not last: tables by word, to the parent. Last: answers to the blocks.
 
@@ -246,7 +255,7 @@ def _seat_bucket(buckets: int, hot: np.ndarray, discount: float | None, last: bo
         rows = []
         for b, p, e in zip(blocks, parts, ends, strict=True):
             at = np.searchsorted(contexts, np.cumsum(p[0], dtype=np.uint64))
-            rows.append((b, bucket, pack(value[which[e - len(p[2]) : e]], weight[at])))
+            rows.append((b, bucket, pack(_short(value[which[e - len(p[2]) : e]]), weight[at])))
         return [*rows, (-1, bucket, pack(contexts[shared], total[shared], tables[shared]))]
 
     return work
@@ -285,7 +294,7 @@ def _score(buckets: int, hot: np.ndarray, total: int, n_words: int, hot_rows: tu
         u, w, _, bucket, which, hashes = b.pairs(hot, buckets)
         told = [unpack(data[k]) for k in sorted(data)]
         at_run = np.cumsum(np.append(True, (u[1:] != u[:-1]) | (bucket[1:] != bucket[:-1]))) - 1
-        own, weight = (np.concatenate([t[k] for t in told]).astype(np.float64) for k in (0, 1))
+        own, weight = _long(np.concatenate([t[0] for t in told])), np.concatenate([t[1] for t in told]).astype(np.float64)
         p = own + weight[at_run] * parent[w]
         shared = np.flatnonzero(np.isin(hashes[u], hot))
         at = np.searchsorted(names, hashes[u[shared]] >> _SIX)
@@ -364,8 +373,8 @@ def _both(block: int, data: dict[int, bytes]):
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row of docs."""
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
     blocks = gather(docs, block_bytes, len, _build)
+    buckets = buckets_for(blocks)
     ask_words = map_blocks(blocks, _ask_counts(buckets))
     counts = staged(answer(ask_words, _merge_counts), "counts")
     release(spark)
