@@ -138,3 +138,9 @@ def answer(requests: DataFrame, merge: Callable[[int, list[int], list[bytes]], l
         return frame(merge(int(part["bucket"].iloc[0]), part["block"].tolist(), part["data"].tolist()))
 
     return requests.groupBy("bucket").applyInPandas(run, SCHEMA)
+
+
+def buckets_for(blocks: DataFrame, size: int = 2 << 20) -> int:
+    """Buckets in proportion to the blocks' data, so that a bucket's memory is the same at every size."""
+    total = blocks.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    return max(1, -(-total // size))

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import answer, bucket_of, cuts, deltas, each_block, gather, map_blocks, mix, pack, release, unpack
-from .common import LAST_ID, partitions, staged
+from .blocks import answer, bucket_of, buckets_for, cuts, deltas, each_block, gather, map_blocks, mix, pack, release, unpack
+from .common import LAST_ID, staged
 
 MATCH, GRAM = 50, 20
 BLOCK_BYTES = 1 << 20
@@ -350,8 +350,8 @@ def _finish(buckets: int, texts: bool):
 def dedup_substrings(docs: DataFrame, texts: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of docs; with texts also kept, the bytes left."""
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
     blocks = gather(docs, block_bytes, len, _build)
+    buckets = buckets_for(blocks)
     first = answer(map_blocks(blocks, _ask_runs(buckets)), _merge_runs)
     decided = staged(each_block(blocks.union(first), _decide_runs(buckets)), "runs")
     release(spark)
