@@ -13,7 +13,7 @@ Equal vectors are one point that carries its k + 1 smallest ids, more than any q
 nothing and none is lost. Queries with equal vectors are searched once. Cells with many points are dealt into
 blocks of bounded size, queries too; a task sees one block of each.
 
-Sample bound: `SAMPLE` points for the splits of the top levels; every point is indexed. Measured recall: README.
+Sample bound: 2 * `SAMPLE` points at most for the splits of the top levels; every point is indexed. Measured recall: README.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, have a null vec_id, or another
 length than most take no part; rows equal in vec_id and vector count once; rows of the query's vec_id are its own;
