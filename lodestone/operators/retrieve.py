@@ -40,30 +40,60 @@ def tfidf(queries: DataFrame, docs: DataFrame, q: str, d: str, k: int = 3) -> Da
     return top_k(met, q, [F.desc("score"), F.asc(d)], k)
 
 
-def vector_pairs(queries: DataFrame, base: DataFrame) -> DataFrame:
-    """q_id, q_label, vec_id, label, sim (cosine) of a stated query set against all rows, in blocks of Arrow batches.
+#: Rows in a block of queries and in a block of the base: a task holds one product of the two.
+QUERY_BLOCK, BASE_BLOCK = 1024, 4096
 
-    The query set is the small side: a bounded block of it goes to every task.
-    """
+
+def _vector_blocks(df: DataFrame, rows: int, prefix: str) -> DataFrame:
+    """One row per block of vectors: ids, labels and unit vectors as bytes. Vectors null or zero take no part."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    rows = queries.select("vec_id", "label", "embedding").orderBy("vec_id").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in a block")
-    ids, labels = np.array([r["vec_id"] for r in rows]), np.array([r["label"] for r in rows])
-    q = np.array([r["embedding"] for r in rows], np.float64).reshape(len(rows), -1)
-    q /= np.linalg.norm(q, axis=1, keepdims=True) if len(rows) else 1
+    names = [f"{prefix}_ids", f"{prefix}_labels", f"{prefix}_vectors"]
 
     def run(batches):
         for b in batches:
-            x = np.array(b["embedding"].tolist(), np.float64)
-            s = np.round(x @ q.T / np.linalg.norm(x, axis=1, keepdims=True), 5)
-            for j in range(len(ids)):
-                yield pd.DataFrame({"q_id": ids[j], "q_label": labels[j], "vec_id": b["vec_id"], "label": b["label"], "sim": s[:, j]})
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                x = x / np.linalg.norm(x, axis=1, keepdims=True)
+                ids, labels = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids, labels, x)], names=names)
 
-    return base.select("vec_id", "label", "embedding").mapInPandas(run, "q_id long, q_label int, vec_id long, label int, sim double").where("q_id <> vec_id")
+    e = F.col("embedding").cast("array<double>")
+    used = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(F.col("label").cast("long"), F.lit(-1)).alias("label"), e.alias("e"))
+    used = used.where("vec_id is not null and exists(e, x -> x <> 0) and forall(e, x -> x is not null)")
+    return used.mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
 
-#: A block of queries is at most so many rows.
-MAX_QUERIES = 4096
+def vector_top(queries: DataFrame, base: DataFrame, k: int, order: list, keep=None) -> DataFrame:
+    """q_id, q_label, vec_id, label, sim (cosine, 5 places), rank of each query's k nearest rows other than itself.
+
+    A stated query set meets all rows in blocks: a task takes a block of queries and a block of the base and
+    passes on k rows a query, so neither side has to fit on the driver or in one task. keep(sim, label, q_label)
+    gives a boolean array of the pairs that count.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                q_ids, q_labels, ids, labels = (np.frombuffer(v, np.int64) for v in (row.q_ids, row.q_labels, row.b_ids, row.b_labels))
+                if not len(ids) or not len(q_ids):
+                    continue
+                q, x = np.frombuffer(row.q_vectors).reshape(len(q_ids), -1), np.frombuffer(row.b_vectors).reshape(len(ids), -1)
+                sim = np.round(q @ x.T, 5)
+                out = []
+                for j in range(len(q_ids)):
+                    use = ids != q_ids[j]
+                    if keep is not None:
+                        use &= keep(sim[j], labels, q_labels[j])
+                    at = np.flatnonzero(use)
+                    at = at[np.lexsort((ids[at], -sim[j][at]))[:k]]
+                    out.append(pd.DataFrame({"q_id": q_ids[j], "q_label": q_labels[j], "vec_id": ids[at], "label": labels[at], "sim": sim[j][at]}))
+                yield pd.concat(out)
+
+    pairs = _vector_blocks(queries, QUERY_BLOCK, "q").crossJoin(_vector_blocks(base, BASE_BLOCK, "b"))
+    found = pairs.mapInPandas(run, "q_id long, q_label long, vec_id long, label long, sim double")
+    return top_k(found, "q_id", order, k)

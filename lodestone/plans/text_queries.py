@@ -228,25 +228,24 @@ p AS (SELECT q.vec_id AS q_id, q.label AS q_label, d.vec_id, d.label, round(list
   FROM u q JOIN u d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)"""
 
 
-def _pairs(spark, sf_dir):
+def _top(spark, sf_dir, k, keep=None):
     base = _read(spark, sf_dir, "embeddings")
-    return retrieve.vector_pairs(base.where("vec_id % 50 = 0"), base)
+    return retrieve.vector_top(base.where("vec_id % 50 = 0"), base, k, [F.desc("sim"), F.asc("vec_id")], keep)
 
 
 @_query(f"WITH {PAIRS_SQL} SELECT q_id, vec_id, sim, CAST(row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, vec_id) AS INT) AS rank FROM p QUALIFY rank <= 5")
 def vector_topk(spark, sf_dir):
-    return retrieve.top_k(_pairs(spark, sf_dir), "q_id", [F.desc("sim"), F.asc("vec_id")], 5).select("q_id", "vec_id", "sim", "rank")
+    return _top(spark, sf_dir, 5).select("q_id", "vec_id", "sim", "rank")
 
 
 @_query(f"WITH {PAIRS_SQL} SELECT q_id, vec_id, sim FROM p WHERE label <> q_label AND sim > 0.05 AND sim < 0.9 QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, vec_id) = 1")
 def vector_hard_negatives(spark, sf_dir):
-    band = _pairs(spark, sf_dir).where("label <> q_label and sim > 0.05 and sim < 0.9")
-    return retrieve.top_k(band, "q_id", [F.desc("sim"), F.asc("vec_id")], 1).select("q_id", "vec_id", "sim")
+    return _top(spark, sf_dir, 1, lambda sim, label, own: (label != own) & (sim > 0.05) & (sim < 0.9)).select("q_id", "vec_id", "sim")
 
 
 @_query(f"WITH {PAIRS_SQL}, t AS (SELECT q_id, label = q_label AS same FROM p QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, vec_id) <= 10), h AS (SELECT q_id, bool_or(same) AS hit FROM t GROUP BY q_id) SELECT count(*) AS queries, round(avg(CAST(hit AS INT)), 6) AS recall FROM h")
 def recall_at_10(spark, sf_dir):
-    top = retrieve.top_k(_pairs(spark, sf_dir), "q_id", [F.desc("sim"), F.asc("vec_id")], 10)
+    top = _top(spark, sf_dir, 10)
     hits = top.groupBy("q_id").agg(F.bool_or(F.col("label") == F.col("q_label")).alias("hit"))
     return hits.agg(F.count("*").alias("queries"), F.round(F.avg(F.col("hit").cast("int")), 6).alias("recall"))
 
