@@ -37,3 +37,55 @@ def carry_forward(rows: DataFrame, key: str, order: str, value: Column, default:
 def repeated_lines(rows: DataFrame, key: str, line: str, times: int) -> DataFrame:
     """key, line (lower case), n of the lines that a document has `times` or more often."""
     return rows.groupBy(key, F.lower(line).alias("line")).agg(F.count("*").alias("n")).where(F.col("n") >= times)
+
+
+def paragraph_groups(df: DataFrame, key: str, text: str, groups: int) -> DataFrame:
+    """key, segment, paragraphs: paragraphs over 30 characters in `groups` runs of equal number, the rest in the last.
+
+    A text with fewer paragraphs than groups gives no row.
+    """
+    parts = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^[\s\x0b]+|[\s\x0b]+$", ""))
+    made = df.select(key, F.filter(parts, lambda p: F.length(p) > 30).alias("_p")).where(F.size("_p") >= groups)
+    run = F.floor(F.size("_p") / groups).cast("int")
+    cut = lambda i: F.slice(F.col("_p"), i * run + 1, F.when(i < groups - 1, run).otherwise(F.size("_p")))
+    return made.select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), cut)).alias("segment", "paragraphs"))
+
+
+def sentence_packs(df: DataFrame, key: str, text: str, size: int = 300, modules: int | None = None) -> DataFrame:
+    """key, pack_no, words, pack: whole sentences in order, gathered greedily, joined by a space.
+
+    A pack ends before the sentence that would take it past `size` words (a longer sentence stands alone). With
+    modules, a pack ends once it has the text's words divided by modules, until modules - 1 packs have ended.
+    A null or blank text gives no row. One pass over each text: the greedy rule looks back, so it runs in Python.
+    """
+    import re
+
+    import pandas as pd
+
+    def run(batches):
+        end = re.compile(r"(?<=[.!?])\s+")
+        for b in batches:
+            rows = []
+            for k, t in zip(b["k"], b["t"], strict=True):
+                if not t.strip():
+                    continue
+                target = max(1, len(t.split()) // modules) if modules else 0
+                packs, now, n = [], [], 0
+                for s in end.split(t):
+                    w = len(s.split())
+                    if not modules and now and n + w > size:
+                        packs.append((n, " ".join(now)))
+                        now, n = [], 0
+                    now.append(s)
+                    n += w
+                    if modules and n >= target and len(packs) < modules - 1:
+                        packs.append((n, " ".join(now)))
+                        now, n = [], 0
+                if now:
+                    packs.append((n, " ".join(now)))
+                rows += [(k, i, n, p) for i, (n, p) in enumerate(packs)]
+            yield pd.DataFrame(rows, columns=[key, "pack_no", "words", "pack"])
+
+    kind = df.schema[key].dataType.simpleString()
+    used = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("k is not null")
+    return used.mapInPandas(run, f"`{key}` {kind}, pack_no int, words int, pack string")
