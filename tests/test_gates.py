@@ -33,7 +33,7 @@ def test_grammar(spark):
 
 
 def test_grounding(spark):
-    rows = [("What is entropy in 42 systems?", "Entropy of systems", "a"), ("What is it?", "Nothing", "b"), ("Entropy?", None, "c")]
+    rows = [("What is entropy in 42 systems?", "Entropy of systems", "a"), ("Is it so?", "Nothing", "b"), ("Entropy?", None, "c")]
     got = {r["k"]: r["g"] for r in spark.createDataFrame(rows, "q string, e string, k string").select("k", G.grounding(F.col("q"), F.col("e")).alias("g")).collect()}
     assert got["b"]["coverage"] == 0.75 and got["c"]["coverage"] == 0.70
     assert got["a"]["passed"] and abs(got["a"]["coverage"] - max(0.40, 2 / 3 - 0.15)) < 1e-9
