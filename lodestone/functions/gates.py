@@ -186,3 +186,24 @@ def grounding(question: Column, evidence: Column) -> Column:
         .when(F.size(terms) == 0, gate(F.lit(0.75), F.lit(True)))
         .otherwise(gate(coverage, coverage >= bar))
     )
+
+
+# The parts of an answer and the words that show them.
+COMPONENTS = {
+    "definition": ("is defined", "is a", "refers to"),
+    "explanation": ("explanation", "works by", "operates"),
+    "algorithm": ("algorithm", "steps", "procedure"),
+    "diagram": ("diagram", "figure", "draw"),
+    "applications": ("application", "used in", "example"),
+}
+
+
+def answer_components(text: Column) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.filter(F.array(*[F.when(any_of(low, v), k) for k, v in COMPONENTS.items()]), lambda c: c.isNotNull())
+
+
+def position_difficulty(index: Column, total: Column, easy: float = 0.25, medium: float = 0.50) -> Column:
+    """easy, medium or hard by a part's place (from 0) among all parts."""
+    ratio = index / F.greatest(total - 1, F.lit(1))
+    return F.when(ratio <= easy, "easy").when(ratio <= easy + medium, "medium").otherwise("hard")

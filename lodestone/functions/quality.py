@@ -46,3 +46,19 @@ def academic_quality(df: DataFrame, text: str = "text") -> DataFrame:
     overall = F.least(F.lit(1.0), F.col("language") * 0.4 + F.col("ocr") * 0.3 + F.col("formula") * 0.2 + F.col("diagram") * 0.1)
     out = out.withColumn("overall", overall).withColumn("valid", (F.col("ocr") >= 0.70) & (F.col("noise") <= 0.40) & (F.length(F.trim(t)) >= 20))
     return out.withColumns({c: F.round(c, 4) for c in ("language", "formula", "tabular", "diagram", "noise", "ocr", "overall")})
+
+#: Thresholds tried in turn, and the reasons that no threshold lifts.
+STEPS = (0.70, 0.55, 0.40)
+HARD = ("EMPTY", "CORRUPTION", "LOW_PRINTABLE", "TOO_SHORT", "LOW_WORD_DENSITY")
+
+
+def adaptive_threshold(scored: DataFrame, key: str) -> DataFrame:
+    """key, threshold, accepted, chunks, pass_rate: the first threshold that any chunk of a document passes holds for all.
+
+    scored is what chunk_quality gives; a document of which no chunk passes has the last threshold and 0 accepted.
+    """
+    fit = ~F.col("reason").isin(*HARD) & (F.col("academic") >= 1)
+    made = scored.groupBy(key).agg(*[F.count_if(fit & (F.col("quality") >= s)).alias(f"_{i}") for i, s in enumerate(STEPS)], F.count("*").alias("chunks"))
+    threshold = F.when(F.col("_0") > 0, STEPS[0]).when(F.col("_1") > 0, STEPS[1]).otherwise(STEPS[2])
+    accepted = F.when(F.col("_0") > 0, F.col("_0")).when(F.col("_1") > 0, F.col("_1")).otherwise(F.col("_2"))
+    return made.select(key, threshold.alias("threshold"), accepted.alias("accepted"), "chunks", F.round(accepted / F.col("chunks"), 4).alias("pass_rate"))

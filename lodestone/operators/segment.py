@@ -89,3 +89,20 @@ def sentence_packs(df: DataFrame, key: str, text: str, size: int = 300, modules:
     kind = df.schema[key].dataType.simpleString()
     used = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).where("k is not null")
     return used.mapInPandas(run, f"`{key}` {kind}, pack_no int, words int, pack string")
+
+
+def sentence_groups(df: DataFrame, key: str, text: str, groups: int) -> DataFrame:
+    """key, segment, sentences: sentences in `groups` runs of equal number, the rest in the last; empty runs go."""
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), r"(?<=[.!?])\s+")
+    run = F.greatest(F.lit(1), F.floor(F.size("_s") / groups).cast("int"))
+    cut = lambda i: F.slice(F.col("_s"), i * run + 1, F.when(i < groups - 1, run).otherwise(F.size("_s")))
+    made = df.select(key, parts.alias("_s")).select(key, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), cut)).alias("segment", "sentences"))
+    return made.where(r"array_join(sentences, ' ') rlike '[^\\s\\x0b]'")
+
+
+def page_range(chunk_no: Column, chunks: Column, pages: int, module: int = 1, modules: int = 1) -> tuple[Column, Column]:
+    """First and last page that chunk chunk_no (from 1) of `chunks` falls on, in proportion to its place in its module."""
+    span = max(1, pages // modules)
+    start = F.floor((chunk_no - 1) / F.greatest(chunks - 1, F.lit(1)) * span).cast("long") + (module - 1) * span + 1
+    end = start + F.greatest(F.lit(1), F.floor(span / F.greatest(chunks, F.lit(1))).cast("long"))
+    return F.greatest(F.lit(1), start), F.least(F.lit(pages), end)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import gates as G
+from ..functions import quality
 from ..functions import text as T
 from ..operators import segment
+from .text_queries import CHUNK_SQL, CHUNKS_SQL
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -164,3 +166,68 @@ def doc_sentence_modules(spark, sf_dir):
     """At most five modules of about equal words, cut at sentences. Greedy, so not in SQL: tests hold it against brute force."""
     made = segment.sentence_packs(_read(spark, sf_dir, "documents"), "doc_id", "text", modules=5)
     return made.select("doc_id", "pack_no", "words", F.md5("pack").alias("pack_hash"))
+
+
+_CHUNKED = "WITH " + CHUNKS_SQL.format(step=270, size=300)
+_SCORED = f"{_CHUNKED}, src AS (SELECT doc_id, chunk_no, chunk AS text FROM chunks), {CHUNK_SQL}"
+_FIT = f"reason NOT IN ({', '.join(repr(r) for r in quality.HARD)}) AND academic >= 1"
+
+
+def _chunks(spark, sf_dir):
+    return segment.word_chunks(_read(spark, sf_dir, "documents"), "doc_id", "text", 300, 30)
+
+
+@_query(
+    f"""{_SCORED}, n AS (SELECT doc_id, count(*) AS chunks, {", ".join(f"count(*) FILTER ({_FIT} AND quality >= {s}) AS n{i}" for i, s in enumerate(quality.STEPS))} FROM scored GROUP BY doc_id),
+a AS (SELECT *, CASE WHEN n0 > 0 THEN n0 WHEN n1 > 0 THEN n1 ELSE n2 END AS accepted FROM n)
+SELECT doc_id, CASE WHEN n0 > 0 THEN 7e-1 WHEN n1 > 0 THEN 55e-2 ELSE 4e-1 END AS threshold, accepted, chunks, round(accepted / chunks, 4) AS pass_rate FROM a"""
+)
+def doc_adaptive_threshold(spark, sf_dir):
+    return quality.adaptive_threshold(quality.chunk_quality(_chunks(spark, sf_dir), "chunk"), "doc_id")
+
+
+@_query(f"{_SCORED} SELECT reason, count(*) AS chunks, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM scored GROUP BY reason")
+def chunk_report(spark, sf_dir):
+    made = quality.chunk_quality(_chunks(spark, sf_dir), "chunk").groupBy("reason").agg(F.count("*").alias("chunks"))
+    # a handful of reasons is left by now
+    return made.select("reason", "chunks", F.round(F.col("chunks") / F.sum("chunks").over(Window.partitionBy(F.lit(1))), 6).alias("share"))
+
+
+@_query(
+    f"""{_CHUNKED}, n AS (SELECT doc_id, chunk_no, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_no) AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM chunks)
+SELECT doc_id, chunk_no, greatest(1, CAST(floor((i - 1) / greatest(n - 1, 1) * 100) AS BIGINT) + 1) AS first_page,
+  least(100, CAST(floor((i - 1) / greatest(n - 1, 1) * 100) AS BIGINT) + 1 + greatest(1, CAST(floor(100 / greatest(n, 1)) AS BIGINT))) AS last_page FROM n"""
+)
+def chunk_page_range(spark, sf_dir):
+    w = Window.partitionBy("doc_id")
+    rows = _chunks(spark, sf_dir).select("doc_id", "chunk_no", F.row_number().over(w.orderBy("chunk_no")).alias("i"), F.count("*").over(w).alias("n"))
+    first, last = segment.page_range(F.col("i"), F.col("n"), 100)
+    return rows.select("doc_id", "chunk_no", first.alias("first_page"), last.alias("last_page"))
+
+
+@_query(
+    r"""WITH s AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+g AS (SELECT doc_id, k, s[k * greatest(1, len(s) // 4) + 1:CASE WHEN k < 3 THEN (k + 1) * greatest(1, len(s) // 4) ELSE len(s) END] AS part FROM s, unnest(range(0, 4)) AS r(k))
+SELECT doc_id, CAST(k AS INT) AS segment, CAST(len(part) AS INT) AS sentences, md5(array_to_string(part, ' ')) AS hash FROM g WHERE regexp_matches(array_to_string(part, ' '), '[^\s\x0b]')"""
+)
+def doc_sentence_groups(spark, sf_dir):
+    made = segment.sentence_groups(_read(spark, sf_dir, "documents"), "doc_id", "text", 4)
+    return made.select("doc_id", "segment", F.size("sentences").alias("sentences"), F.md5(F.array_join("sentences", " ")).alias("hash"))
+
+
+_PARTS = ", ".join(f"CASE WHEN {_any(v)} THEN '{k}' END" for k, v in G.COMPONENTS.items())
+
+
+@_query(f"{TURNS} SELECT conv_id, turn, array_to_string(list_filter([{_PARTS}], lambda c: c IS NOT NULL), ',') AS components FROM b")
+def answer_components(spark, sf_dir):
+    return _turns(spark, sf_dir, components=F.array_join(G.answer_components(F.col("text")), ","))
+
+
+@_query(
+    """WITH n AS (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT l_orderkey AS paper, l_linenumber AS part, CASE WHEN i / greatest(n - 1, 1) <= 25e-2 THEN 'easy' WHEN i / greatest(n - 1, 1) <= 75e-2 THEN 'medium' ELSE 'hard' END AS difficulty FROM n"""
+)
+def paper_part_difficulty(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey")
+    rows = _read(spark, sf_dir, "lineitem").withColumns({"i": F.row_number().over(w.orderBy("l_linenumber")) - 1, "n": F.count("*").over(w)})
+    return rows.select(F.col("l_orderkey").alias("paper"), F.col("l_linenumber").alias("part"), G.position_difficulty(F.col("i"), F.col("n")).alias("difficulty"))

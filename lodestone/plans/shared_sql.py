@@ -226,6 +226,16 @@ SELECT p_type AS term FROM {part} WHERE p_size > 25 EXCEPT SELECT p_type AS term
 SQL["term_set_common"] = """
 SELECT p_brand AS term FROM {part} WHERE p_size > 25 INTERSECT SELECT p_brand AS term FROM {part} WHERE p_size <= 10"""
 
+SQL["health_ledger"] = """
+WITH costs AS (SELECT * FROM (VALUES ('error', 15), ('view', 1)) AS t(kind, cost))
+SELECT user_id, greatest(0, 100 - CAST(sum(coalesce(cost, 0)) AS BIGINT)) AS score, sum(coalesce(cost, 0)) <= 60 AS exportable
+FROM {events} LEFT JOIN costs ON event_type = kind GROUP BY user_id"""
+
+SQL["qa_report_score"] = """
+WITH penalty AS (SELECT * FROM (VALUES ('R', 5), ('A', 15)) AS t(flag, points))
+SELECT l_orderkey AS paper, greatest(0, least(100, 100 - CAST(sum(coalesce(points, 0)) AS BIGINT))) AS score
+FROM {lineitem} LEFT JOIN penalty ON l_returnflag = flag GROUP BY l_orderkey"""
+
 # -- graphs ------------------------------------------------------------------------
 SQL["prerequisite_closure"] = """
 WITH RECURSIVE edges AS (SELECT c_custkey AS src, CAST(floor(c_custkey / 3) AS BIGINT) AS dst FROM {customer} WHERE c_custkey >= 3),
