@@ -236,6 +236,22 @@ WITH penalty AS (SELECT * FROM (VALUES ('R', 5), ('A', 15)) AS t(flag, points))
 SELECT l_orderkey AS paper, greatest(0, least(100, 100 - CAST(sum(coalesce(points, 0)) AS BIGINT))) AS score
 FROM {lineitem} LEFT JOIN penalty ON l_returnflag = flag GROUP BY l_orderkey"""
 
+SQL["coverage_by_type"] = """
+SELECT l_returnflag AS kind, count(*) AS parts, round(sum(l_quantity) / sum(sum(l_quantity)) OVER (), 6) AS share FROM {lineitem} GROUP BY l_returnflag"""
+
+SQL["preferred_verb"] = """
+WITH n AS (
+  SELECT p_size AS marks, p_brand AS verb, count(*) AS frequency, min(p_partkey) AS met FROM {part} GROUP BY p_size, p_brand)
+SELECT marks, verb, frequency FROM (SELECT *, row_number() OVER (PARTITION BY marks ORDER BY frequency DESC, met) AS rn FROM n) x WHERE rn = 1"""
+
+SQL["monotonous_verbs"] = """
+WITH n AS (SELECT l_orderkey AS paper, l_returnflag AS verb, count(*) AS uses, sum(count(*)) OVER (PARTITION BY l_orderkey) AS total FROM {lineitem} GROUP BY l_orderkey, l_returnflag)
+SELECT paper, verb, round(uses * 1e0 / total, 4) AS share FROM n WHERE uses * 2 > total AND total >= 4"""
+
+SQL["acceptance_rates"] = """
+SELECT source, round(sum(quality) * 1e0 / count(*), 4) AS accepted, round(sum(toxic) * 1e0 / count(*), 4) AS flagged
+FROM {documents} JOIN {labels} USING (doc_id) GROUP BY source"""
+
 # -- graphs ------------------------------------------------------------------------
 SQL["prerequisite_closure"] = """
 WITH RECURSIVE edges AS (SELECT c_custkey AS src, CAST(floor(c_custkey / 3) AS BIGINT) AS dst FROM {customer} WHERE c_custkey >= 3),
