@@ -39,12 +39,12 @@ def repeated_lines(rows: DataFrame, key: str, line: str, times: int) -> DataFram
     return rows.groupBy(key, F.lower(line).alias("line")).agg(F.count("*").alias("n")).where(F.col("n") >= times)
 
 
-def paragraph_groups(df: DataFrame, key: str, text: str, groups: int) -> DataFrame:
+def paragraph_groups(df: DataFrame, key: str, text: str, groups: int, between: str = r"\n\s*\n") -> DataFrame:
     """key, segment, paragraphs: paragraphs over 30 characters in `groups` runs of equal number, the rest in the last.
 
-    A text with fewer paragraphs than groups gives no row.
+    Blank lines part paragraphs unless told otherwise. A text with fewer paragraphs than groups gives no row.
     """
-    parts = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^[\s\x0b]+|[\s\x0b]+$", ""))
+    parts = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), between), lambda p: F.regexp_replace(p, r"^[\s\x0b]+|[\s\x0b]+$", ""))
     made = df.select(key, F.filter(parts, lambda p: F.length(p) > 30).alias("_p")).where(F.size("_p") >= groups)
     run = F.floor(F.size("_p") / groups).cast("int")
     cut = lambda i: F.slice(F.col("_p"), i * run + 1, F.when(i < groups - 1, run).otherwise(F.size("_p")))

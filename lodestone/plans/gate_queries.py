@@ -144,13 +144,14 @@ def grounding_gate(spark, sf_dir):
 
 
 @_query(
-    r"""WITH p AS (SELECT doc_id, regexp_replace(regexp_split_to_array(coalesce(text, ''), '\n\s*\n')[i], '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS p, i
-  FROM documents, unnest(range(1, len(regexp_split_to_array(coalesce(text, ''), '\n\s*\n')) + 1)) AS r(i)),
+    r"""WITH p AS (SELECT doc_id, regexp_replace(regexp_split_to_array(coalesce(text, ''), '\n+')[i], '^[\s\x0b]+|[\s\x0b]+$', '', 'g') AS p, i
+  FROM documents, unnest(range(1, len(regexp_split_to_array(coalesce(text, ''), '\n+')) + 1)) AS r(i)),
 n AS (SELECT doc_id, p, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n FROM p WHERE length(p) > 30)
 SELECT doc_id, CAST(least(i // (n // 5), 4) AS INT) AS segment, count(*) AS paragraphs, CAST(sum(len(regexp_extract_all(p, '[^\s\x0b]+'))) AS BIGINT) AS words FROM n WHERE n >= 5 GROUP BY ALL"""
 )
 def doc_paragraph_groups(spark, sf_dir):
-    made = segment.paragraph_groups(_read(spark, sf_dir, "documents"), "doc_id", "text", 5)
+    """The texts of the table have no blank lines: every line is a paragraph here."""
+    made = segment.paragraph_groups(_read(spark, sf_dir, "documents"), "doc_id", "text", 5, r"\n+")
     return made.select("doc_id", "segment", F.size("paragraphs").cast("long").alias("paragraphs"), F.aggregate("paragraphs", F.lit(0).cast("long"), lambda a, p: a + F.size(G.words(p))).alias("words"))
 
 
