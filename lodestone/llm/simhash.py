@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import order_id, staged
+from .common import staged
 from .components import connected_components
 
 SEED = 42
@@ -48,17 +48,16 @@ def fingerprint(text: bytes, width: int) -> int:
     return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little", signed=True)
 
 
-def fingerprints(docs: DataFrame, width: int = 3, hashed: bool = False) -> DataFrame:
-    """doc_id and _fp, the fingerprint as a signed long; or _id, _th and _fp. A scan; texts go to Python in Arrow batches."""
-    names = ["_id", "_th", "_fp"] if hashed else ["doc_id", "_fp"]
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id and _fp, the fingerprint as a signed long. A scan; texts go to Python in Arrow batches."""
+    names = ["doc_id", "_fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint(t.as_py() or b"", width) for t in b.column(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.int64())], names=names)
 
-    key = [order_id(F.col("doc_id")).alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_th")] if hashed else [F.col("doc_id").cast("long").alias("doc_id")]
-    return docs.select(*key, F.encode(F.col("text"), "UTF-8").alias("t")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.col("text"), "UTF-8").alias("t")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -89,18 +88,3 @@ def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     smallest = named.groupBy("c").agg(F.min("first").alias("component_id"))
     by_fp = named.join(smallest, "c").select("_fp", "component_id")
     return made.join(by_fp, "_fp").select("doc_id", "_fp", "component_id")
-
-
-def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """The rows of docs without all but one document of each group: the smallest (doc_id, text hash) stays.
-
-    Rows equal in doc_id and text are one document; one of them stays.
-    """
-    named = docs.select(F.struct("*").alias("_row"), F.col("text"), order_id(F.col("doc_id")).alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_th"))
-    made = staged(fingerprints(docs, width, hashed=True), "fingerprints")
-    each = made.groupBy("_fp").agg(F.min(F.struct("_id", "_th")).alias("first"))
-    comps = staged(connected_components(links(each.select("_fp"))), "components")
-    best = each.join(comps, each["_fp"] == comps["node"], "left").groupBy(F.coalesce("component", "_fp").alias("c")).agg(F.min("first").alias("first"))
-    keep = best.select("first._id", "first._th")
-    one = Window.partitionBy("_id", "_th").orderBy("_id")
-    return named.join(keep, ["_id", "_th"], "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_row.*")
