@@ -5,12 +5,14 @@ common-word histogram of each known language, summed over all its documents) and
 passes are one scan without a shuffle of documents: the first sends one row a task and language.
 
 Defined results: a null or empty text has no words and fails `n_words < 20`; a null or unlisted language is
-compared with the pooled reference of all documents; a document shorter than the length guards is not judged by
+compared with the pooled reference of all documents, in the words by the share of all languages' common words (its
+language alone sets it apart from their pooled histogram); a document shorter than the length guards is not judged by
 the histogram that its length can't support; repeated rows and ties are judged alike, each row by itself.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,8 +38,11 @@ CLASSES = ("space", "upper", "lower", "digit", "symbol", "punct")
 
 #: Length guards: a histogram of fewer characters or words says too little to reject a document.
 GUARD_CHARS, GUARD_WORDS = 200, 100
-#: Jensen-Shannon distances (base 2, from 0 to 1) beyond which a document is rejected.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.3, 0.75
+#: Jensen-Shannon distance (base 2, from 0 to 1) of the classes beyond which a document is rejected.
+MAX_CLASS_DISTANCE = 0.3
+#: The words' limit, in parts of the reference's distance from a text without any common word: a fixed part, and one
+#: over the square root of the number of words, as a sample's distance from its own source is. 0.8 at GUARD_WORDS.
+MAX_WORD_PART, MAX_WORD_NOISE = 0.35, 4.5
 
 
 def _repeat_words(ws: Column) -> Column:
@@ -149,9 +154,16 @@ def _js_distance(p: list[Column], q: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), reduce(lambda a, b: a + b, [part(x, b) for x, b in zip(p, q, strict=True)]) / 2))
 
 
-def judge(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_words: float = MAX_WORD_DISTANCE, guard_chars: int = GUARD_CHARS, guard_words: int = GUARD_WORDS, keep_rows: bool = False) -> DataFrame:
+def _without_common(q: list[float]) -> float:
+    """Jensen-Shannon distance of a text without any common word from a reference of the word shares q."""
+    c = 1 - q[-1]
+    return math.sqrt(max(0.0, (math.log2(2 / (2 - c)) + c + ((1 - c) * math.log2(2 * (1 - c) / (2 - c)) if c < 1 else 0)) / 2))
+
+
+def judge(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, word_part: float = MAX_WORD_PART, word_noise: float = MAX_WORD_NOISE, guard_chars: int = GUARD_CHARS, guard_words: int = GUARD_WORDS, keep_rows: bool = False) -> DataFrame:
     """Rule counts, both distances to the document's language reference, and the verdict `kept`; doc_id, or the whole row as _row."""
     refs = references(docs)
+    said = {r: [1 - w[-1], w[-1]] if r == POOLED else w for r, (_, w) in refs.items()}
     made = profile(docs)
     total = F.greatest(F.col("n_all"), F.lit(1)).cast("double")
     shares = [F.col(c) / total for c in CLASSES]
@@ -161,6 +173,8 @@ def judge(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_words: flo
         n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
         hits = [_times(w) / n for w in mine]
         inside = F.size(F.filter(F.col("_common"), lambda x: x.isin(list(mine)))) / n
+        if ref == POOLED:
+            return [inside, F.lit(1.0) - inside]
         return [*hits, F.lit(1.0) - inside]
 
     def by_ref(make) -> Column:
@@ -172,8 +186,9 @@ def judge(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_words: flo
 
     made = made.withColumns({
         "class_distance": by_ref(lambda r: _js_distance(shares, refs[r][0])),
-        "word_distance": by_ref(lambda r: _js_distance(word_shares(r), refs[r][1])),
+        "word_distance": by_ref(lambda r: _js_distance(word_shares(r), said[r])),
     })
+    max_words = by_ref(lambda r: F.lit(_without_common(said[r]))) * (word_part + word_noise / F.sqrt(F.greatest(F.col("n_words"), F.lit(1))))
     far = ((F.col("n_all") >= guard_chars) & (F.col("class_distance") > max_class)) | ((F.col("n_words") >= guard_words) & (F.col("word_distance") > max_words))
     return made.select(
         F.col("_row") if keep_rows else F.col("_row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
