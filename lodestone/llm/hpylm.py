@@ -8,16 +8,18 @@ to the parent, the unigram restaurant, whose base is uniform over the training w
 
 with c customers, t tables and m tables of the parent. Seating is sampled by Gibbs: a sweep lifts all customers of
 a dish and seats them again one by one, each at a new table with the weight (s + d t) P(w) against c - d t. Within
-a sweep the parent's probabilities stand still, so all restaurants are sampled at once; between sweeps over the
-restaurants the parent takes the tables sent to it and is seated again. Predictive probabilities are averaged over
-the sweeps after the burn-in (they are linear in the numbers of tables, so those are averaged). Past `EXACT`
+a seating (SWEEPS sweeps) the parent's probabilities stand still, so all restaurants are sampled at once. There are
+ROUNDS seatings; between two of them the parent takes the mean tables sent to it and is seated again. Predictive
+probabilities are averaged over the last seating's sweeps after the burn-in under its one parent (they are linear in
+the numbers of tables, so those are averaged); the last tables are not sent. Past `EXACT`
 customers of a dish the new tables of the next sixth of its customers are drawn at once. The discount comes from the
 counts of counts.
 
 Documents are gathered into blocks. A block asks the words' buckets for corpus counts, and the contexts' buckets
 for probabilities of its distinct word pairs; it then scores its documents by itself. Pairs of contexts that make
 up more than 1 in HOT_SHARE of the corpus (there can't be more than HOT_SHARE of them) are dealt by both words,
-and their restaurants' totals are put together by a table of that bounded size. All pairs of all documents take
+and their restaurants' totals are put together by a table of that bounded size after each seating: the next one
+seats a dish against its restaurant's tables over all buckets. All pairs of all documents take
 part; nothing is pruned.
 
 Defined results: a null or empty text is one end token; a null doc_id is written as the empty text for the hash
@@ -45,7 +47,7 @@ from .common import discard, staged
 BLOCK_BYTES = 16 << 20
 FOLDS, HELD = 7, 2
 STRENGTH, PARENT_STRENGTH, PARENT_DISCOUNT = 1.0, 10.0, 0.5
-SWEEPS, BURN_IN, ROUNDS = 6, 2, 2
+SWEEPS, BURN_IN, ROUNDS = 6, 2, 3
 EXACT = 16
 HOT_SHARE = 4096
 #: Hashes that no word is likely to have: the end of a text as a word, its start as a context.
@@ -54,6 +56,7 @@ START = np.uint64(xxhash.xxh64_intdigest(b"\x00start", 1))
 #: Parent probabilities travel to the seating, and pairs' own probabilities back, as logarithms in steps of 2 ** (1 / FINE) (0.07 %).
 FINE = 512
 PARENT_MARK = 1 << 30
+HOT_MARK = -(1 << 30)
 _U64 = np.uint64
 _SIX = _U64(16)
 
@@ -155,11 +158,11 @@ def _ask_pairs(buckets: int, hot: np.ndarray):
     return work
 
 
-def seat(count: np.ndarray, group: np.ndarray, base: np.ndarray, discount: float, strength: float, sweeps: int, burn_in: int, share: np.ndarray, seed: int):
+def seat(count: np.ndarray, group: np.ndarray, base: np.ndarray, discount: float, strength: float, sweeps: int, burn_in: int, whole: np.ndarray, seed: int, totals: np.ndarray | None = None):
     """Mean numbers of tables of each dish, by Gibbs sweeps over all restaurants.
 
-    count: customers of a dish (0: none); group: its restaurant; base: its parent probability; share: what part of
-    the restaurant's dishes is here (its tables elsewhere are estimated from those).
+    count: customers of a dish (0: none); group: its restaurant; base: its parent probability; whole: 1 where all the
+    restaurant's dishes are here; totals: the tables of the others over all buckets, from the seating before.
     """
     rng = np.random.default_rng(seed)
     n = int(group.max()) + 1 if len(group) else 0
@@ -170,7 +173,9 @@ def seat(count: np.ndarray, group: np.ndarray, base: np.ndarray, discount: float
     size = lambda k: int(np.searchsorted(-c, -k, side="right"))  # noqa: E731  dishes with at least k customers
     mean = np.zeros(len(many))
     for sweep in range(sweeps):
-        room = np.bincount(group, tables, n) / share
+        room = np.bincount(group, tables, n)
+        if totals is not None:
+            room = np.where(whole > 0, room, totals)
         weight = (strength + discount * np.maximum(room[g] - tables[many], 0)) * p
         t = np.ones(len(many))
         for k in range(2, EXACT + 1):
@@ -224,9 +229,13 @@ def _long(x: np.ndarray) -> np.ndarray:
     return np.where(x > -32768, np.exp2(x / FINE), 0.0)
 
 
-def _seat_bucket(buckets: int, hot: np.ndarray, discount: float | None, last: bool):
+def _seat_bucket(buckets: int, hot: np.ndarray, discount: float | None, last: bool, before: tuple | None = None):
     """One sweep over a bucket's restaurants. Not last: tables by word, to the parent. Last: answers to the blocks.
 
+    before: hot contexts, their customers and tables over all buckets in the seating before. The first seating has
+    none and takes no other tables, so its tables are at least one a dish; each seating's row (HOT_MARK, bucket) has
+    the hot contexts' totals here for the next one.
+
     An answer has each pair's own probability and each context's weight of the parent. For a hot context they can't
     be told here: the answer is the discounted customers, and row (-1, bucket) has the context's totals here.
     """
@@ -236,7 +245,11 @@ def _seat_bucket(buckets: int, hot: np.ndarray, discount: float | None, last: bo
         contexts, u, w, count, parent, which = _restaurants(parts)
         shared = np.isin(contexts, hot >> _SIX)
         d = discount if discount is not None else 0.75
-        t = seat(count, u, parent, d, STRENGTH, SWEEPS, BURN_IN, np.where(shared, 1 / buckets, 1.0), bucket)
+        totals = np.zeros(len(contexts))
+        if before is not None and len(before[0]):
+            at = np.minimum(np.searchsorted(before[0], contexts), len(before[0]) - 1)
+            totals = np.where(before[0][at] == contexts, before[2][at], 0.0)
+        t = seat(count, u, parent, d, STRENGTH, SWEEPS, BURN_IN, np.where(shared, 0.0, 1.0), bucket, totals)
         if not last:
             ones, twos = np.count_nonzero(count == 1), np.count_nonzero(count == 2)
             seen = np.flatnonzero(count > 0)
@@ -244,7 +257,9 @@ def _seat_bucket(buckets: int, hot: np.ndarray, discount: float | None, last: bo
             sent = np.bincount(place, t[seen], len(words)).astype(np.float32)
             at = cuts(bucket_of(words << _SIX, buckets), buckets)
             rows = [(-2 - bucket, k, pack(deltas(words[s:e]), sent[s:e])) for k, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
-            return [*rows, (-1, bucket, pack(np.array([ones, twos], np.int64)))]
+            here = np.flatnonzero(shared)
+            hot_rows = pack(contexts[here], np.bincount(u, count, len(contexts))[here], np.bincount(u, t, len(contexts))[here])
+            return [*rows, (HOT_MARK, bucket, hot_rows), (-1, bucket, pack(np.array([ones, twos], np.int64)))]
         total, tables = np.bincount(u, count, len(contexts)), np.bincount(u, t, len(contexts))
         value = np.maximum(count - d * t, 0).astype(np.float32)
         odds = np.where(shared, 0, STRENGTH + d * tables)
@@ -384,16 +399,17 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS)
 
     known = counts.where("block >= 0")
     parent_now = each_block(known, _first_parent(total, n_words))
-    discount = None
+    discount = hot_before = None
     for _ in range(rounds - 1):
         first_rows = staged(parent_now, "parent")
         release(spark)
         asked = each_block(blocks.union(first_rows), _ask_pairs(buckets, hot))
-        tables = staged(answer(asked, _seat_bucket(buckets, hot, discount, last=False)), "tables")
+        tables = staged(answer(asked, _seat_bucket(buckets, hot, discount, False, hot_before)), "tables")
         release(spark)
         ones, twos = (sum(int(s[0][k]) for s in _specials(tables)) for k in (0, 1))
         discount = ones / (ones + 2 * twos) if ones and twos else 0.75
-        replies = staged(answer(ask_words.union(tables.where("block < -1")), lambda k, b, x: _parent(k, b, x, n_words)), "parents")
+        hot_before = _hot_totals(tables.where(F.col("block") == HOT_MARK))
+        replies = staged(answer(ask_words.union(tables.where((F.col("block") < -1) & (F.col("block") != HOT_MARK))), lambda k, b, x: _parent(k, b, x, n_words)), "parents")
         for done in (tables, first_rows):
             discard(spark, done)
         release(spark)
@@ -404,7 +420,7 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS)
     parent_rows = staged(parent_now, "parent")
     release(spark)
     asked = each_block(blocks.union(parent_rows), _ask_pairs(buckets, hot))
-    final = staged(answer(asked, _seat_bucket(buckets, hot, discount, last=True)), "answers")
+    final = staged(answer(asked, _seat_bucket(buckets, hot, discount, True, hot_before)), "answers")
     release(spark)
     hot_rows = _hot_totals(final.where("block = -1"))
     # what a block knows of its words: corpus counts and parent probabilities, in one row
