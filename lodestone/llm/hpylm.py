@@ -3,29 +3,33 @@
 Each context word u has a restaurant in which the words after it are customers; every table there sends a customer
 to the parent, the unigram restaurant, whose base is uniform over the training words and one unknown word:
 
-    P(w)   = (t_w - d0 m_w + (s0 + d0 m) / (V + 1)) / (s0 + t)
-    P(w|u) = (c_uw - d1 t_uw + (s1 + d1 t_u) P(w)) / (s1 + c_u)
-
-with c customers, t tables and m tables of the parent. Seating is sampled by Gibbs: a sweep lifts all customers of
-a dish and seats them again one by one, each at a new table with the weight (s + d t) P(w) against c - d t. Within
-a seating (SWEEPS sweeps) the parent's probabilities stand still, so all restaurants are sampled at once. There are
-ROUNDS seatings; between two of them the parent takes the mean tables sent to it and is seated again. Predictive
-probabilities are averaged over the last seating's sweeps after the burn-in under its one parent (they are linear in
-the numbers of tables, so those are averaged); the last tables are not sent. Past `EXACT`
-customers of a dish the new tables of the next sixth of its customers are drawn at once. The discount comes from the
-counts of counts.
+    P(w)   = (t_w - d m_w + (s0 + d m) / (V + 1)) / (s0 + t)
+    P(w|u) = (c_uw - d t_uw + (s1 + d t_u) P(w)) / (s1 + c_u)
+
+with c customers, t tables and m tables of the parent, and discount d = 1/2 in both.
+
+Seating is sampled by Gibbs. A restaurant's new tables depend on its other dishes by the factor (s + d)(s + 2d) ... of
+the number of its tables alone; a gamma variable x with shape s / d + tables takes its place, given which dishes
+are independent: a dish of c customers has t tables with weight S(c, t) (d x P)^t, S being the generalised Stirling
+numbers, which have a closed form at d = 1/2. So a sweep draws x for each restaurant, then all its dishes' tables from
+their exact conditionals, for any number of customers. ROUNDS seatings alternate with the parent: it takes the tables
+of the last sweep as customers, is seated in the same way, and its new probabilities are those of the next seating.
+The strength s1 is drawn after each seating from its conditional on the grid STRENGTHS. Predictive probabilities are
+averaged: the parent's over the rounds, the restaurants' own parts over the last seating's sweeps after the burn-in
+(they are linear in the numbers of tables, so those are averaged).
 
 Documents are gathered into blocks. A block asks the words' buckets for corpus counts, and the contexts' buckets
 for probabilities of its distinct word pairs; it then scores its documents by itself. Pairs of contexts that make
-up more than 1 in HOT_SHARE of the corpus (there can't be more than HOT_SHARE of them) are dealt by both words,
-and their restaurants' totals are put together by a table of that bounded size after each seating: the next one
-seats a dish against its restaurant's tables over all buckets. All pairs of all documents take
+up more than 1 in HOT_SHARE of the corpus (there can't be more than HOT_SHARE of them) are dealt by both words.
+Their x is drawn alike in all buckets, from their tables over all buckets after the seating before, which a table
+of that bounded size tells; so dishes in different buckets are sampled as those in one. All pairs of all documents take
 part; nothing is pruned.
 
 Defined results: a null or empty text is one end token; a null doc_id is written as the empty text for the hash
-and so trains; repeated rows train and are scored each; other columns are ignored; an empty table gives no rows.
-Words are told apart by 64-bit hashes, in pairs by 48 bits of each beside the bucket. The same table,
-partitioned alike, gives the same scores (the sampler is seeded by bucket).
+and so trains; repeated rows train and are scored each; ties don't arise, as nothing is ranked; a very long text is
+one block's; other columns are ignored; an empty table gives no rows. Words are told apart by 64-bit hashes, in pairs
+by 48 bits of each beside the bucket. Probabilities of pairs travel as 16-bit logarithms (steps of 0.07 %). The same
+table, partitioned alike, gives the same scores (the sampler is seeded by bucket and round).
 """
 
 from __future__ import annotations
@@ -46,9 +50,11 @@ from .common import discard, staged
 
 BLOCK_BYTES = 16 << 20
 FOLDS, HELD = 7, 2
-STRENGTH, PARENT_STRENGTH, PARENT_DISCOUNT = 1.0, 10.0, 0.5
-SWEEPS, BURN_IN, ROUNDS = 6, 2, 3
-EXACT = 16
+DISCOUNT, PARENT_STRENGTH = 0.5, 10.0
+STRENGTHS = 0.25 * 2.0 ** np.arange(16)
+#: Sweeps of a seating, of the last one, and those of the last one that are not averaged.
+SWEEPS, LAST_SWEEPS, BURN_IN, ROUNDS = 3, 6, 2, 4
+SEED = 29
 HOT_SHARE = 4096
 #: Hashes that no word is likely to have: the end of a text as a word, its start as a context.
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end", 1))
@@ -145,7 +151,7 @@ def _ask_pairs(buckets: int, hot: np.ndarray):
 
     def work(block: int, data: dict[int, bytes]):
         b = Block(data.pop(-1))
-        parent = np.rint(np.log2(_told(data)) * FINE).astype(np.int16)
+        parent = np.rint(np.log2(unpack(data[PARENT_MARK])[0]) * FINE).astype(np.int16)
         u, w, count, bucket, _, hashes = b.pairs(hot, buckets)
         rows, at = [], cuts(bucket, buckets)
         for k, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)):
@@ -158,47 +164,78 @@ def _ask_pairs(buckets: int, hot: np.ndarray):
     return work
 
 
-def seat(count: np.ndarray, group: np.ndarray, base: np.ndarray, discount: float, strength: float, sweeps: int, burn_in: int, whole: np.ndarray, seed: int, totals: np.ndarray | None = None):
-    """Mean numbers of tables of each dish, by Gibbs sweeps over all restaurants.
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Logarithm of the gamma function of positive numbers: Stirling's series beyond 8."""
+    y, low = np.asarray(x, float), np.ones(np.shape(x))
+    for _ in range(8):
+        low, y = low * np.where(y < 8, y, 1.0), np.where(y < 8, y + 1, y)
+    r = 1 / (y * y)
+    return (y - 0.5) * np.log(y) - y + 0.91893853320467274 + (1 / 12 - r * (1 / 360 - r * (1 / 1260 - r / 1680))) / y - np.log(low)
+
 
-    count: customers of a dish (0: none); group: its restaurant; base: its parent probability; whole: 1 where all the
-    restaurant's dishes are here; totals: the tables of the others over all buckets, from the seating before.
+def draw_tables(count: np.ndarray, rate: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables t of dishes of count customers (1 or more), with weight S(count, t) rate ** t.
+
+    S are the generalised Stirling numbers of discount 1/2: S(c, t + 1) / S(c, t) = 4 (c - t) / (t (2c - t - 1)). The
+    weights fall on both sides of one mode; all t within 9 of its roots and 12 are weighed, the rest is below 1e-12.
+    """
+    out = np.ones(len(count))
+    many = np.flatnonzero(count > 1)
+    c, rate = count[many].astype(float), rate[many]
+    b = 2 * c - 1 + 4 * rate
+    mode = np.clip(np.ceil(8 * rate * c / (b + np.sqrt(np.maximum(b * b - 16 * rate * c, 0)))), 1, c)
+    reach = np.ceil(9 * np.sqrt(mode)) + 12
+    low, high = np.maximum(1, mode - reach), np.minimum(c, mode + reach)
+    n = (high - low + 1).astype(np.int64)
+    done = np.cumsum(n)
+    at = 0
+    while at < len(many):
+        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + (1 << 21), side="right")))
+        k = n[at:to]
+        starts = np.cumsum(k) - k
+        which = np.repeat(np.arange(len(k)), k)
+        t = low[at:to][which] + (np.arange(len(which)) - starts[which])
+        here, own = c[at:to][which], rate[at:to][which]
+        with np.errstate(divide="ignore"):
+            step = np.log(4 * own * np.maximum(here - t, 0) / (t * np.maximum(2 * here - t - 1, 0.5)))
+        step = np.where(np.isfinite(step), step, 0.0)
+        total = np.append(0.0, np.cumsum(step))[:-1]
+        weight = total - total[starts][which]
+        weight = np.exp(weight - np.maximum.reduceat(weight, starts)[which])
+        run = np.cumsum(weight)
+        before = np.append(0.0, run[starts[1:] - 1])
+        chosen = np.searchsorted(run, before + rng.random(len(k)) * (run[starts + k - 1] - before), side="right")
+        out[many[at:to]] = t[np.clip(chosen, starts, starts + k - 1)]
+        at = to
+    return out
+
+
+def seat(count: np.ndarray, group: np.ndarray, base: np.ndarray, strength: float, sweeps: int, burn_in: int, seed, given: np.ndarray | None = None):
+    """Numbers of tables of each dish by Gibbs sweeps over all restaurants: their mean after the burn-in, and the last ones.
+
+    count: customers of a dish (0: none); group: its restaurant; base: its parent probability; given: the gamma
+    variables of restaurants that lie in several buckets, nan for the others.
     """
     rng = np.random.default_rng(seed)
     n = int(group.max()) + 1 if len(group) else 0
-    tables = np.minimum(count, 1).astype(np.float64)
-    many = np.flatnonzero(count > 1)
-    many = many[np.argsort(-count[many], kind="stable")]
-    c, g, p = count[many], group[many], base[many].astype(np.float64)
-    size = lambda k: int(np.searchsorted(-c, -k, side="right"))  # noqa: E731  dishes with at least k customers
-    mean = np.zeros(len(many))
+    tables = np.minimum(count, 1).astype(float)
+    seen = np.flatnonzero(count > 0)
+    mean = np.zeros(len(count))
     for sweep in range(sweeps):
-        room = np.bincount(group, tables, n)
-        if totals is not None:
-            room = np.where(whole > 0, room, totals)
-        weight = (strength + discount * np.maximum(room[g] - tables[many], 0)) * p
-        t = np.ones(len(many))
-        for k in range(2, EXACT + 1):
-            m = size(k)
-            if not m:
-                break
-            new = weight[:m] + discount * t[:m] * p[:m]
-            t[:m] += rng.random(m) * (k - 1 - discount * t[:m] + new) < new
-        live = np.arange(size(EXACT + 1))
-        at = np.full(len(live), float(EXACT))
-        while len(live):
-            # from customer x to y, with few new tables between, their number is about Poisson
-            to = np.minimum(np.ceil(at * 1.2), c[live])
-            opened = discount * t[live]
-            rate = (weight[live] + opened * p[live]) * np.log((to - opened) / (at - opened))
-            t[live] += np.minimum(rng.poisson(np.minimum(rate, to - at)), to - at)
-            on = to < c[live]
-            live, at = live[on], to[on]
-        tables[many] = t
+        x = rng.standard_gamma(strength / DISCOUNT + np.bincount(group, tables, n))
+        if given is not None:
+            x = np.where(np.isnan(given), x, given)
+        tables[seen] = draw_tables(count[seen], DISCOUNT * x[group[seen]] * base[seen], rng)
         if sweep >= burn_in:
-            mean += t / (sweeps - burn_in)
-    tables[many] = mean if sweeps > burn_in else tables[many]
-    return tables
+            mean += tables / (sweeps - burn_in)
+    return mean, tables
+
+
+def log_likelihoods(customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Of each strength in STRENGTHS, up to a constant: summed over restaurants of these customers and tables."""
+    used = customers > 0
+    c, t = customers[used].astype(float), tables[used].astype(float)
+    return np.array([(log_gamma(s / DISCOUNT + t) - log_gamma(s + c)).sum() + len(c) * float(log_gamma(np.array([s]))[0] - log_gamma(np.array([s / DISCOUNT]))[0]) for s in STRENGTHS])
 
 
 def _restaurants(parts):
@@ -229,12 +266,12 @@ def _long(x: np.ndarray) -> np.ndarray:
     return np.where(x > -32768, np.exp2(x / FINE), 0.0)
 
 
-def _seat_bucket(buckets: int, hot: np.ndarray, discount: float | None, last: bool, before: tuple | None = None):
-    """One sweep over a bucket's restaurants. Not last: tables by word, to the parent. Last: answers to the blocks.
+def _seat_bucket(buckets: int, hot: np.ndarray, strength: float, number: int, last: bool, before: tuple | None = None):
+    """Seating `number` of a bucket's restaurants. Not last: tables by word, to the parent. Last: answers to the blocks.
 
-    before: hot contexts, their customers and tables over all buckets in the seating before. The first seating has
-    none and takes no other tables, so its tables are at least one a dish; each seating's row (HOT_MARK, bucket) has
-    the hot contexts' totals here for the next one.
+    before: hot contexts, their customers and tables over all buckets in the seating before (none in the first); each
+    seating's row (HOT_MARK, bucket) has the hot contexts' totals here for the next one. Row (-1, bucket) has the log
+    likelihoods of the strengths from the other contexts.
 
     An answer has each pair's own probability and each context's weight of the parent. For a hot context they can't
     be told here: the answer is the discounted customers, and row (-1, bucket) has the context's totals here.
@@ -244,26 +281,26 @@ def _seat_bucket(buckets: int, hot: np.ndarray, discount: float | None, last: bo
         parts = [unpack(x) for x in blobs]
         contexts, u, w, count, parent, which = _restaurants(parts)
         shared = np.isin(contexts, hot >> _SIX)
-        d = discount if discount is not None else 0.75
-        totals = np.zeros(len(contexts))
-        if before is not None and len(before[0]):
-            at = np.minimum(np.searchsorted(before[0], contexts), len(before[0]) - 1)
-            totals = np.where(before[0][at] == contexts, before[2][at], 0.0)
-        t = seat(count, u, parent, d, STRENGTH, SWEEPS, BURN_IN, np.where(shared, 0.0, 1.0), bucket, totals)
+        told = dict(zip(before[0].tolist(), before[2].tolist(), strict=True)) if before is not None else {}
+        given = np.full(len(contexts), np.nan)
+        for k in np.flatnonzero(shared):
+            name = int(contexts[k])
+            given[k] = np.random.default_rng([SEED, number, name]).standard_gamma(strength / DISCOUNT + told.get(name, 0.0))
+        mean, now = seat(count, u, parent, strength, LAST_SWEEPS if last else SWEEPS, BURN_IN, [SEED, number, bucket], given)
         if not last:
-            ones, twos = np.count_nonzero(count == 1), np.count_nonzero(count == 2)
             seen = np.flatnonzero(count > 0)
             words, place = np.unique(w[seen], return_inverse=True)
-            sent = np.bincount(place, t[seen], len(words)).astype(np.float32)
+            sent = np.bincount(place, now[seen], len(words)).astype(np.int64)
             at = cuts(bucket_of(words << _SIX, buckets), buckets)
             rows = [(-2 - bucket, k, pack(deltas(words[s:e]), sent[s:e])) for k, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
             here = np.flatnonzero(shared)
-            hot_rows = pack(contexts[here], np.bincount(u, count, len(contexts))[here], np.bincount(u, t, len(contexts))[here])
-            return [*rows, (HOT_MARK, bucket, hot_rows), (-1, bucket, pack(np.array([ones, twos], np.int64)))]
-        total, tables = np.bincount(u, count, len(contexts)), np.bincount(u, t, len(contexts))
-        value = np.maximum(count - d * t, 0).astype(np.float32)
-        odds = np.where(shared, 0, STRENGTH + d * tables)
-        whole = np.where(shared, 0, STRENGTH + total)
+            customers, tables = np.bincount(u, count, len(contexts)), np.bincount(u, now, len(contexts))
+            hot_rows = pack(contexts[here], customers[here], tables[here])
+            return [*rows, (HOT_MARK, bucket, hot_rows), (-1, bucket, pack(log_likelihoods(customers[~shared], tables[~shared])))]
+        total, tables = np.bincount(u, count, len(contexts)), np.bincount(u, mean, len(contexts))
+        value = np.maximum(count - DISCOUNT * mean, 0).astype(np.float32)
+        odds = np.where(shared, 0, strength + DISCOUNT * tables)
+        whole = np.where(shared, 0, strength + total)
         value = np.where(shared[u], value, value / np.where(whole > 0, whole, 1)[u]).astype(np.float32)
         weight = (odds / np.where(whole > 0, whole, 1)).astype(np.float32)
         ends = np.cumsum([len(p[2]) for p in parts])
@@ -276,30 +313,30 @@ def _seat_bucket(buckets: int, hot: np.ndarray, discount: float | None, last: bo
     return work
 
 
-def _parent(bucket: int, blocks: list[int], blobs: list[bytes], n_words: int):
-    """Blocks' words against the tables sent: answers customers and tables of each word in the parent restaurant."""
-    asked = [(b, unpack(x)) for b, x in zip(blocks, blobs, strict=True) if b >= 0]
-    sent = [unpack(x) for b, x in zip(blocks, blobs, strict=True) if b < 0]
+def _parent(bucket: int, blocks: list[int], blobs: list[bytes], n_words: int, x: float, number: int):
+    """Blocks' words against the tables sent: answers each word's discounted customers in the parent restaurant.
+
+    x: the parent's gamma variable. Row (-1, bucket) has the customers and tables here.
+    """
+    asked = [(b, unpack(y)) for b, y in zip(blocks, blobs, strict=True) if b >= 0]
+    sent = [unpack(y) for b, y in zip(blocks, blobs, strict=True) if b < 0]
     words, place = np.unique(np.concatenate([np.cumsum(s[0], dtype=np.uint64) for s in sent] or [np.zeros(0, np.uint64)]), return_inverse=True)
-    customers = np.bincount(place, np.concatenate([s[1] for s in sent] or [np.zeros(0)]), len(words))
-    base = np.full(len(words), 1 / (n_words + 1))
-    whole = np.maximum(np.rint(customers), 1).astype(np.int64)
-    # the base is uniform and tiny: a word's tables hardly depend on the other words' ones, which are taken as one each
-    room = PARENT_STRENGTH + PARENT_DISCOUNT * n_words
-    tables = seat(whole, np.arange(len(words)), base, PARENT_DISCOUNT, room, SWEEPS, BURN_IN, np.ones(len(words)), bucket)
-    value = np.maximum(customers - PARENT_DISCOUNT * tables, 0)
+    customers = np.bincount(place, np.concatenate([s[1] for s in sent] or [np.zeros(0)]), len(words)).astype(np.int64)
+    rng = np.random.default_rng([SEED, number, bucket, 1])
+    tables = draw_tables(customers, np.full(len(words), DISCOUNT * x / (n_words + 1)), rng)
+    value = customers - DISCOUNT * tables
     rows = []
     for b, a in asked:
-        x = np.cumsum(a[0], dtype=np.uint64) >> _SIX
-        at = np.minimum(np.searchsorted(words, x), max(len(words) - 1, 0))
-        rows.append((b, bucket, pack(np.where(words[at] == x, value[at], 0.0).astype(np.float32) if len(words) else np.zeros(len(x), np.float32))))
+        y = np.cumsum(a[0], dtype=np.uint64) >> _SIX
+        at = np.minimum(np.searchsorted(words, y), max(len(words) - 1, 0))
+        rows.append((b, bucket, pack(np.where(words[at] == y, value[at], 0.0).astype(np.float32) if len(words) else np.zeros(len(y), np.float32))))
     return [*rows, (-1, bucket, pack(np.array([customers.sum(), tables.sum()])))]
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(buckets: int, hot: np.ndarray, total: int, n_words: int, hot_rows: tuple, discount: float):
+def _score(buckets: int, hot: np.ndarray, total: int, n_words: int, hot_rows: tuple, strength: float):
     names, customers, tables = hot_rows
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
@@ -313,7 +350,7 @@ def _score(buckets: int, hot: np.ndarray, total: int, n_words: int, hot_rows: tu
         p = own + weight[at_run] * parent[w]
         shared = np.flatnonzero(np.isin(hashes[u], hot))
         at = np.searchsorted(names, hashes[u[shared]] >> _SIX)
-        p[shared] = (own[shared] + (STRENGTH + discount * tables[at]) * parent[w[shared]]) / (STRENGTH + customers[at])
+        p[shared] = (own[shared] + (strength + DISCOUNT * tables[at]) * parent[w[shared]]) / (strength + customers[at])
         log_p = np.log10(p)[which]
         log_base = np.log10((count + 1) / (total + n_words + 1))[b.tokens]
         starts = np.cumsum(b.sizes) - b.sizes
@@ -362,27 +399,41 @@ def _hot_totals(rows: DataFrame):
 
 
 def _first_parent(total: int, n_words: int):
-    """Before any seating the parent is the smoothed unigram."""
+    """Before any seating the parent is the smoothed unigram. A row (block, PARENT_MARK): probabilities now, and their sum over the rounds."""
 
     def work(block: int, data: dict[int, bytes]):
-        return [(block, 0, pack(((_told(data) + 1) / (total + n_words + 1)).astype(np.float32)))]
+        p = ((_told(data) + 1) / (total + n_words + 1)).astype(np.float32)
+        return [(block, PARENT_MARK, pack(p, np.zeros(len(p), np.float32)))]
 
     return work
 
 
 def _next_parent(customers: float, seated: float, n_words: int):
-    left = (PARENT_STRENGTH + PARENT_DISCOUNT * seated) / (n_words + 1)
+    left = (PARENT_STRENGTH + DISCOUNT * seated) / (n_words + 1)
 
     def work(block: int, data: dict[int, bytes]):
-        return [(block, 0, pack(((_told(data).astype(np.float64) + left) / (PARENT_STRENGTH + customers)).astype(np.float32)))]
+        summed = unpack(data.pop(PARENT_MARK))[1]
+        p = ((_told(data).astype(np.float64) + left) / (PARENT_STRENGTH + customers)).astype(np.float32)
+        return [(block, PARENT_MARK, pack(p, summed + p))]
 
     return work
 
 
-def _both(block: int, data: dict[int, bytes]):
-    """Counts (by bucket) and parent probabilities (one blob, marked by its number) of a block's words, as row -3."""
-    parent = data.pop(PARENT_MARK)
-    return [(block, -3, pack(_told(data), unpack(parent)[0]))]
+def _both(rounds: int):
+    """Counts and mean parent probabilities of a block's words, as row -3."""
+
+    def work(block: int, data: dict[int, bytes]):
+        now, summed = unpack(data.pop(PARENT_MARK))
+        return [(block, -3, pack(_told(data), summed / (rounds - 1) if rounds > 1 else now))]
+
+    return work
+
+
+def _strength(rows: DataFrame, hot: tuple, seed: int) -> float:
+    """Drawn from its conditional on the grid: the likelihoods of all buckets and of the hot contexts."""
+    logs = sum((s[0] for s in _specials(rows)), log_likelihoods(hot[1], hot[2]))
+    p = np.exp(logs - logs.max())
+    return float(np.random.default_rng([SEED, seed]).choice(STRENGTHS, p=p / p.sum()))
 
 
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS) -> DataFrame:
@@ -398,33 +449,30 @@ def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS)
     hot = _hot(counts.where("block = -2"), total)
 
     known = counts.where("block >= 0")
-    parent_now = each_block(known, _first_parent(total, n_words))
-    discount = hot_before = None
-    for _ in range(rounds - 1):
-        first_rows = staged(parent_now, "parent")
-        release(spark)
-        asked = each_block(blocks.union(first_rows), _ask_pairs(buckets, hot))
-        tables = staged(answer(asked, _seat_bucket(buckets, hot, discount, False, hot_before)), "tables")
+    parent = staged(each_block(known, _first_parent(total, n_words)), "parent")
+    strength, seated, hot_before = 1.0, float(n_words), None
+    for number in range(rounds - 1):
+        asked = each_block(blocks.union(parent), _ask_pairs(buckets, hot))
+        tables = staged(answer(asked, _seat_bucket(buckets, hot, strength, number, False, hot_before)), "tables")
         release(spark)
-        ones, twos = (sum(int(s[0][k]) for s in _specials(tables)) for k in (0, 1))
-        discount = ones / (ones + 2 * twos) if ones and twos else 0.75
         hot_before = _hot_totals(tables.where(F.col("block") == HOT_MARK))
-        replies = staged(answer(ask_words.union(tables.where((F.col("block") < -1) & (F.col("block") != HOT_MARK))), lambda k, b, x: _parent(k, b, x, n_words)), "parents")
-        for done in (tables, first_rows):
-            discard(spark, done)
+        strength = _strength(tables, hot_before, number)
+        x = float(np.random.default_rng([SEED, number]).standard_gamma(PARENT_STRENGTH / DISCOUNT + seated))
+        sent = ask_words.union(tables.where((F.col("block") < -1) & (F.col("block") != HOT_MARK)))
+        replies = staged(answer(sent, lambda k, b, y, x=x, number=number: _parent(k, b, y, n_words, x, number)), "parents")
+        discard(spark, tables)
         release(spark)
         sums = _specials(replies)
         customers, seated = (float(sum(s[0][k] for s in sums)) for k in (0, 1))
-        parent_now = each_block(replies.where("block >= 0"), _next_parent(customers, seated, n_words))
-    discount = 0.75 if discount is None else discount
-    parent_rows = staged(parent_now, "parent")
-    release(spark)
-    asked = each_block(blocks.union(parent_rows), _ask_pairs(buckets, hot))
-    final = staged(answer(asked, _seat_bucket(buckets, hot, discount, True, hot_before)), "answers")
+        after = staged(each_block(replies.where("block >= 0").union(parent), _next_parent(customers, seated, n_words)), "parent")
+        for done in (parent, replies):
+            discard(spark, done)
+        parent = after
+    asked = each_block(blocks.union(parent), _ask_pairs(buckets, hot))
+    final = staged(answer(asked, _seat_bucket(buckets, hot, strength, rounds, True, hot_before)), "answers")
     release(spark)
     hot_rows = _hot_totals(final.where("block = -1"))
     # what a block knows of its words: corpus counts and parent probabilities, in one row
-    joined = known.union(parent_rows.select("block", F.lit(PARENT_MARK).cast("int").alias("bucket"), "data"))
-    words = each_block(joined, _both)
+    words = each_block(known.union(parent), _both(rounds))
     rows = blocks.union(final.where("block >= 0")).union(words)
-    return rows.groupBy("block").applyInPandas(_score(buckets, hot, total, n_words, hot_rows, discount), RESULT)
+    return rows.groupBy("block").applyInPandas(_score(buckets, hot, total, n_words, hot_rows, strength), RESULT)
