@@ -12,7 +12,6 @@ Everything travels as (block, bucket, data) rows; a block's own data has bucket
 from __future__ import annotations
 
 import gc
-import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -78,11 +77,9 @@ def frame(rows: list[tuple[int, int, bytes]]) -> pd.DataFrame:
 
 
 def release(spark) -> None:
-    """Let Spark delete the shuffle files of what has been written by now."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+    """Let go of the plans of what has been written by now: Spark's cleaner then deletes their shuffle files, on its own time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def gather(docs: DataFrame, limit: int, weigh: Callable, build: Callable) -> DataFrame:
