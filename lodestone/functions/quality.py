@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def chunk_quality(df: DataFrame, text: str = "text") -> DataFrame:
     out = out.withColumn("quality", F.round(F.least(F.lit(1.0), raw + bonus), 4))
     reason = (
         F.when(F.col("_t") == "", "EMPTY")
-        .when(F.col("_t").rlike(T.CORRUPTION), "CORRUPTION")
+        .when(reduce(lambda a, b: a | b, [F.col("_t").rlike(p) for p in T.CORRUPTION]), "CORRUPTION")
         .when(F.col("printable") < MIN_PRINTABLE, "LOW_PRINTABLE")
         .when(F.col("word_count") < MIN_WORDS, "TOO_SHORT")
         .when(F.col("density") < MIN_DENSITY, "LOW_WORD_DENSITY")
@@ -43,8 +45,11 @@ def academic_quality(df: DataFrame, text: str = "text") -> DataFrame:
     out = df.withColumns({
         "language": T.language_score(t), "formula": T.formula_score(t), "tabular": T.table_score(t), "diagram": T.diagram_score(t), "noise": T.noise_score(t), "ocr": T.printable_ratio(t),
     })
+    # a text of under 20 characters is noise and nothing else
+    enough = F.length(F.regexp_replace(t, r"^[\s\x0b]+|[\s\x0b]+$", "")) >= 20
+    out = out.withColumns({c: F.when(enough, F.col(c)).otherwise(F.lit(1.0 if c == "noise" else 0.0)) for c in ("language", "formula", "tabular", "diagram", "noise", "ocr")})
     overall = F.least(F.lit(1.0), F.col("language") * 0.4 + F.col("ocr") * 0.3 + F.col("formula") * 0.2 + F.col("diagram") * 0.1)
-    out = out.withColumn("overall", overall).withColumn("valid", (F.col("ocr") >= 0.70) & (F.col("noise") <= 0.40) & (F.length(F.trim(t)) >= 20))
+    out = out.withColumn("overall", overall).withColumn("valid", (F.col("ocr") >= 0.70) & (F.col("noise") <= 0.40) & enough)
     return out.withColumns({c: F.round(c, 4) for c in ("language", "formula", "tabular", "diagram", "noise", "ocr", "overall")})
 
 #: Thresholds tried in turn, and the reasons that no threshold lifts.

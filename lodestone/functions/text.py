@@ -25,15 +25,40 @@ CLUTTER = (
     r"(?i)isbn[:\s]*[0-9\-]{10,17}", r"(?i)copyright\s+©?\s*\d{4}", r"(?i)all\s+rights\s+reserved", r"(?i)page\s+\d+\s+of\s+\d+",
     r"(?i)downloaded\s+from", r"(?i)watermark", r"(?i)www\.[a-z0-9\-]+\.[a-z]{2,}", r"(?i)table\s+of\s+contents", r"(?i)\[\s*ad\s*\]|advertisement",
 )
-CORRUPTION = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]|\$[A-Za-z0-9+/]{8,}={0,2}|obj\s+\d+\s+\d+|stream|endstream|xref"
+CORRUPTION = (
+    r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]",
+    r"(?:[^\x00-\x7f]{3,}\s*){3,}",
+    r"\$[A-Za-z0-9+/]{8,}={0,2}",
+    r"(?:obj\s+[0-9]+\s+[0-9]+|stream|endstream|xref)",
+    r"\\u[0-9a-fA-F]{4}(?:\\u[0-9a-fA-F]{4}){3,}",
+)
 VERBS = {
-    "L1": ("define", "list", "state", "name", "recall", "identify"),
-    "L2": ("explain", "describe", "summarize", "discuss", "illustrate", "classify"),
-    "L3": ("apply", "solve", "calculate", "compute", "demonstrate", "use"),
-    "L4": ("analyze", "compare", "contrast", "differentiate", "examine", "distinguish"),
-    "L5": ("evaluate", "justify", "assess", "critique", "argue", "judge"),
-    "L6": ("create", "design", "develop", "formulate", "construct", "propose"),
+    "L1": ("define", "list", "name", "state"),
+    "L2": ("explain", "describe", "discuss", "summarize"),
+    "L3": ("apply", "solve", "calculate", "demonstrate"),
+    "L4": ("analyze", "examine", "break down", "differentiate"),
+    "L5": ("evaluate", "judge", "critique", "argue"),
+    "L6": ("design", "create", "propose", "derive"),
 }
+#: Levels by name, the highest first, with what each shows in a question, and what each counts for its difficulty.
+NAMED_LEVELS = {
+    "create": "design, create, develop, propose, formulate, construct, plan, devise, invent, compose, write a program, build, derive",
+    "evaluate": "evaluate, justify, assess, argue, critique, judge, defend, support, validate, recommend, which is better, pros and cons",
+    "analyze": "analyze, examine, investigate, break down, categorize, compare and contrast, differentiate, distinguish between, relate, why, how does, what causes",
+    "apply": "apply, solve, calculate, compute, determine, demonstrate, use, implement, execute, find, show that, construct, draw, sketch, plot",
+    "understand": "explain, describe, discuss, summarize, interpret, classify, compare, contrast, distinguish, illustrate, paraphrase, differentiate, elaborate",
+    "remember": "define, list, state, name, identify, recall, recognize, label, match, select, what is, who, when, where, enumerate, mention, write",
+}
+NAMED_LEVELS = {k: tuple(v.split(", ")) for k, v in NAMED_LEVELS.items()}
+LEVEL_COST = {"remember": 1, "understand": 2, "apply": 3, "analyze": 4, "evaluate": 5, "create": 5}
+#: Marks of a question, tried in this order; numbers from 1 to 20 count.
+MARKS = (
+    r"(?i)\[([0-9]+)\]",
+    r"(?i)\(([0-9]+)\s*(?:marks?|pts?|points?)\)",
+    r"(?i)([0-9]+)\s*(?:marks?|pts?|points?)",
+    r"(?i)\[([0-9]+)\s*m\]",
+    r"(?i)([0-9]+)\s*m\b",
+)
 
 
 def squeeze(text: Column) -> Column:
@@ -86,37 +111,39 @@ def diagram_score(text: Column) -> Column:
 def noise_score(text: Column) -> Column:
     hits = reduce(lambda a, b: a + b, [F.regexp_count(text, F.lit(p)) for p in CLUTTER])
     control = F.regexp_count(text, F.lit(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"))
-    return F.least(F.lit(1.0), hits * F.lit(0.2) + control / F.greatest(F.length(text), F.lit(1)))
+    return F.when(text == "", 1.0).otherwise(F.least(F.lit(1.0), hits * F.lit(0.2) + control / F.greatest(F.length(text), F.lit(1))))
 
 
 def bloom_ascending(text: Column) -> Column:
-    """The first level, from L1 up, of which a verb occurs; L2 if none does."""
-    return _bloom(text, list(VERBS))
+    """The first level, from L1 up, of which a verb occurs anywhere; L2 if none does."""
+    return _bloom(text, VERBS, "L2")
 
 
 def bloom_descending(text: Column) -> Column:
-    """The first level, from L6 down, of which a verb occurs; L2 if none does."""
-    return _bloom(text, list(VERBS)[::-1])
+    """The first level by name, from create down, of which a sign occurs anywhere; understand if none does."""
+    return _bloom(text, NAMED_LEVELS, "understand")
 
 
-def _bloom(text: Column, order: list[str]) -> Column:
+def _bloom(text: Column, levels: dict[str, tuple[str, ...]], default: str) -> Column:
     low, chain = F.lower(F.coalesce(text, F.lit(""))), None
-    for level in order:
-        hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(v)) for v in VERBS[level]])
+    for level, signs in levels.items():
+        hit = reduce(lambda a, b: a | b, [F.contains(low, F.lit(v)) for v in signs])
         chain = F.when(hit, level) if chain is None else chain.when(hit, level)
-    return chain.otherwise("L2")
+    return chain.otherwise(default)
 
 
 def marks(text: Column) -> Column:
-    """The first number from 1 to 20 that a text names as marks, by patterns in order."""
+    """The first number from 1 to 20 that a text names as marks, by patterns in order; each pattern's first match counts."""
     found = []
-    for p in (r"(?i)\[\s*([0-9]{1,2})\s*(?:marks?|m)\s*\]", r"(?i)\(\s*([0-9]{1,2})\s*(?:marks?|m)?\s*\)", r"(?i)\b([0-9]{1,2})\s*marks?\b"):
+    for p in MARKS:
         n = F.regexp_extract(text, p, 1)
-        value = F.when(n != "", n.cast("int"))
+        value = F.when((n != "") & (F.length(n) <= 9), n.cast("int"))
         found.append(F.when((value >= 1) & (value <= 20), value))
     return F.coalesce(*found)
 
 
-def difficulty(bloom: Column, value: Column) -> Column:
-    score = F.substring(bloom, 2, 1).cast("int") + (value > 8).cast("int") + (value > 12).cast("int")
+def difficulty(level: Column, value: Column) -> Column:
+    """easy, medium or hard by a level's name and the marks (null: none)."""
+    cost = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LEVEL_COST.items() for x in kv]), level), F.lit(2))
+    score = cost + (F.coalesce(value, F.lit(0)) > 8).cast("int") + (F.coalesce(value, F.lit(0)) > 12).cast("int")
     return F.when(score <= 2, "easy").when(score <= 4, "medium").otherwise("hard")

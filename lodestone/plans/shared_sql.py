@@ -39,7 +39,10 @@ SQL["replay_mix"] = """
 WITH fresh AS (SELECT doc_id FROM {labels} WHERE quality = 1),
 old AS (SELECT doc_id FROM {labels} WHERE quality = 0 AND toxic = 0),
 want AS (SELECT CAST(floor(count(*) * 3e-1 / 7e-1) AS BIGINT) AS n FROM fresh),
-ranked AS (SELECT doc_id, row_number() OVER (ORDER BY md5(CAST(doc_id AS STRING)), doc_id) AS rn FROM old)
+hashed AS (SELECT doc_id, md5(CAST(doc_id AS STRING)) AS h FROM old),
+slots AS (SELECT substr(h, 1, 3) AS slot, count(*) AS c FROM hashed GROUP BY substr(h, 1, 3)),
+before AS (SELECT slot, sum(c) OVER (ORDER BY slot) - c AS met FROM slots),
+ranked AS (SELECT doc_id, row_number() OVER (PARTITION BY substr(h, 1, 3) ORDER BY h, doc_id) + met AS rn FROM hashed JOIN before ON substr(h, 1, 3) = slot)
 SELECT doc_id, 'new' AS origin FROM fresh
 UNION ALL SELECT doc_id, 'replay' AS origin FROM ranked JOIN want ON rn <= n"""
 
@@ -81,42 +84,13 @@ WITH scored AS (
 raised AS (SELECT *, exp(s - max(s) OVER (PARTITION BY doc_id)) AS e FROM scored)
 SELECT doc_id, kind, round(e / sum(e) OVER (PARTITION BY doc_id), 6) AS p FROM raised"""
 
-SQL["trust_geomean"] = """
-SELECT source, round(exp(avg(ln(CAST(quality AS DOUBLE) * 5e-1 + 4e-1))), 6) AS confidence,
-       greatest(0, 100 - 20 * CAST(sum(toxic) AS INT)) AS trust
-FROM {documents} JOIN {labels} USING (doc_id) GROUP BY source"""
-
-SQL["weakest_dimension"] = """
-WITH dims AS (
-  SELECT lang, 'length' AS dim, avg(CASE WHEN n_chars > 1000 THEN 1e0 ELSE 0e0 END) AS v FROM {documents} GROUP BY lang
-  UNION ALL SELECT lang, 'lines' AS dim, avg(CASE WHEN text LIKE '%' || chr(10) || '%' THEN 1e0 ELSE 0e0 END) AS v FROM {documents} GROUP BY lang)
-SELECT lang, dim, round(v, 6) AS v FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY v, dim) AS rn FROM dims) x WHERE rn = 1"""
-
 SQL["majority_vote"] = """
 SELECT source, lang, n, round(share, 6) AS share FROM (
   SELECT source, lang, n, n * 1e0 / sum(n) OVER (PARTITION BY source) AS share, row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) AS rn
   FROM (SELECT source, lang, count(*) AS n FROM {documents} GROUP BY source, lang) c) x
 WHERE rn = 1 AND share >= 6e-1"""
 
-SQL["evidence_confidence"] = """
-WITH seen AS (
-  SELECT c.c_custkey, count(o.o_orderkey) AS orders, count(DISTINCT o.o_orderpriority) AS kinds, max(CASE WHEN o.o_orderstatus = 'F' THEN 1 ELSE 0 END) AS closed
-  FROM {customer} c LEFT JOIN {orders} o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey)
-SELECT c_custkey, orders, round(greatest(0e0, least(1e0, CASE WHEN orders > 0 THEN 4e-1 ELSE -5e-2 END + least(25e-2, 1e-1 * kinds)
-  + least(15e-2, 3e-2 * orders) + 1e-1 * coalesce(closed, 0))), 4) AS confidence FROM seen"""
-
-SQL["importance_score"] = """
-SELECT p_partkey, round(least(1e0, 4e-1 * least(p_retailprice / 2000e0, 1e0) + 3e-1 * least(p_size / 50e0, 1e0)
-  + 2e-1 * CASE WHEN p_type LIKE '%STEEL%' THEN 1 ELSE 0 END + 1e-1 * least(length(p_name) / 40e0, 1e0)), 4) AS importance FROM {part}"""
-
 # -- joins -----------------------------------------------------------------------
-SQL["merge_enrich"] = """
-WITH ranked AS (
-  SELECT p_brand, p_name, p_type, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS by_price,
-         row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name) DESC, p_partkey) AS by_length FROM {part})
-SELECT p_brand, max(CASE WHEN by_price = 1 THEN p_name END) AS definition, max(CASE WHEN by_length = 1 THEN p_name END) AS explanation,
-       count(DISTINCT p_type) AS kinds, count(*) AS members FROM ranked GROUP BY p_brand"""
-
 SQL["alias_canonical"] = """
 WITH alias AS (SELECT * FROM (VALUES ('Brand#11', 'first'), ('Brand#12', 'first'), ('Brand#21', 'second')) AS t(name, canonical))
 SELECT coalesce(a.canonical, p.p_brand) AS brand, count(*) AS n FROM {part} p LEFT JOIN alias a ON p.p_brand = a.name
@@ -186,8 +160,7 @@ SELECT l_orderkey AS paper, round(100 * sum(CASE WHEN l_returnflag = 'N' THEN l_
        sum(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE 0 END) / sum(l_quantity) < 15e-2 AS too_few_high FROM {lineitem} GROUP BY l_orderkey"""
 
 SQL["missing_outcomes"] = """
-WITH want AS (SELECT p.paper, co.n FROM (SELECT DISTINCT l_orderkey AS paper FROM {lineitem}) p
-              JOIN (VALUES (1), (2), (3), (4), (5)) AS co(n) ON p.paper > 0)
+WITH want AS (SELECT paper, <<each 1 5>> AS n FROM (SELECT DISTINCT l_orderkey AS paper FROM {lineitem}) p)
 SELECT w.paper, w.n AS missing FROM want w LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM {lineitem}) l
   ON w.paper = l.l_orderkey AND w.n = l.l_linenumber WHERE l.l_orderkey IS NULL"""
 
@@ -200,7 +173,7 @@ f AS (SELECT *, floor(exact) AS low, 100 - sum(floor(exact)) OVER (PARTITION BY
 SELECT paper, part, CAST(low + CASE WHEN rn <= spare THEN 1 ELSE 0 END AS BIGINT) AS marks FROM f"""
 
 SQL["coverage_diversity"] = """
-SELECT l_orderkey AS paper, round((count(DISTINCT l_returnflag) / 3e0 + count(DISTINCT l_linestatus) / 2e0 + least(1e0, count(DISTINCT l_suppkey) / 5e0)) / 3, 6) AS diversity
+SELECT l_orderkey AS paper, round((count(DISTINCT l_returnflag) / 6e0 + count(DISTINCT l_linestatus) / 5e0 + least(1e0, count(DISTINCT l_suppkey) / 5e0)) / 3, 6) AS diversity
 FROM {lineitem} GROUP BY l_orderkey"""
 
 SQL["slot_fill"] = """
@@ -253,28 +226,22 @@ SELECT source, round(sum(quality) * 1e0 / count(*), 4) AS accepted, round(sum(to
 FROM {documents} JOIN {labels} USING (doc_id) GROUP BY source"""
 
 # -- graphs ------------------------------------------------------------------------
-SQL["prerequisite_closure"] = """
-WITH RECURSIVE edges AS (SELECT c_custkey AS src, CAST(floor(c_custkey / 3) AS BIGINT) AS dst FROM {customer} WHERE c_custkey >= 3),
-reach(src, dst, depth) AS (
-  SELECT src, dst, 1 FROM edges UNION ALL SELECT r.src, e.dst, r.depth + 1 FROM reach r JOIN edges e ON r.dst = e.src WHERE r.depth < 20)
-SELECT src, dst, min(depth) AS depth FROM reach GROUP BY src, dst"""
-
-SQL["topological_depth"] = """
-WITH RECURSIVE edges AS (SELECT c_custkey AS src, CAST(floor(c_custkey / 3) AS BIGINT) AS dst FROM {customer} WHERE c_custkey >= 3),
-walk(node, depth) AS (SELECT DISTINCT dst, 0 FROM edges WHERE dst < 3 UNION ALL SELECT e.src, w.depth + 1 FROM walk w JOIN edges e ON e.dst = w.node WHERE w.depth < 20)
-SELECT node, max(depth) AS depth FROM walk GROUP BY node"""
-
 SQL["typed_edges"] = """
 SELECT DISTINCT n.n_nationkey AS src, r.r_regionkey AS dst, 'part_of' AS relation FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey"""
 
 _EPOCH = re.compile(r"<<epoch (\w+)>>")
 
 
+_EACH = re.compile(r"<<each (\d+) (\d+)>>")
+
+
 def spark_text(text: str) -> str:
+    text = _EACH.sub(r"explode(sequence(\1, \2))", text)
     return _EPOCH.sub(r"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(\1 AS TIMESTAMP_NTZ))", text)
 
 
 def duck_text(text: str) -> str:
+    text = _EACH.sub(r"unnest(generate_series(\1, \2))", text)
     text = _EPOCH.sub(r"date_diff('second', TIMESTAMP '1970-01-01 00:00:00', CAST(\1 AS TIMESTAMP))", text)
     return re.sub(r"\{(\w+)\}", r"\1", text)
 

@@ -44,7 +44,7 @@ m AS (SELECT *, CAST(len(ws) AS INT) AS word_count, {_n(r"[\p{L}\p{N}\p{P}\p{Z}]
 q AS (SELECT *, round(least(1, 0.40::DOUBLE * printable + 0.35::DOUBLE * density + 0.25::DOUBLE * least(1, academic / 10)
         + CASE WHEN word_count BETWEEN 50 AND 400 THEN 0.05::DOUBLE ELSE 0 END), 4) AS quality FROM m),
 scored AS (SELECT *, CASE WHEN t = '' THEN 'EMPTY'
-        WHEN regexp_matches(t, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{{9f}}]|\$[A-Za-z0-9+/]{{8,}}={{0,2}}|obj\s+\d+\s+\d+|stream|endstream|xref') THEN 'CORRUPTION'
+        WHEN {" OR ".join(f"regexp_matches(t, '{p}')" for p in T.CORRUPTION).replace("-\\x9f", "-\\x{9f}")} THEN 'CORRUPTION'
         WHEN printable < 0.85 THEN 'LOW_PRINTABLE' WHEN word_count < 25 THEN 'TOO_SHORT' WHEN density < 0.60 THEN 'LOW_WORD_DENSITY'
         WHEN academic < 2 THEN 'LOW_ACADEMIC' WHEN quality < 0.70 THEN 'LOW_QUALITY' ELSE '' END AS reason FROM q)
 """
@@ -66,10 +66,13 @@ s AS (SELECT doc_id, t,
   CASE WHEN len(ls) = 0 THEN 0 ELSE len(list_filter(ls, lambda x: regexp_matches(x, '\||\t|\s{{3,}}'))) / len(ls) END AS tabular,
   least(1, {_n(r"(?i)\b(fig|figure|block diagram|circuit|schematic|architecture)\b")} * 0.33::DOUBLE) AS diagram,
   least(1, ({" + ".join(_n(p) for p in T.CLUTTER)}) * 0.2::DOUBLE + {_n(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")} / greatest(length(t), 1)) AS noise,
-  {_n(r"[\p{L}\p{N}\p{P}\p{Z}]")} / greatest(length(t), 1) AS ocr FROM w)
+  {_n(r"[\p{L}\p{N}\p{P}\p{Z}]")} / greatest(length(t), 1) AS ocr FROM w),
+e AS (SELECT *, length(regexp_replace(t, '^[\s\x0b]+|[\s\x0b]+$', '', 'g')) >= 20 AS enough FROM s),
+f AS (SELECT doc_id, t, enough, CASE WHEN enough THEN language ELSE 0 END AS language, CASE WHEN enough THEN formula ELSE 0 END AS formula, CASE WHEN enough THEN tabular ELSE 0 END AS tabular,
+  CASE WHEN enough THEN diagram ELSE 0 END AS diagram, CASE WHEN enough THEN noise ELSE 1 END AS noise, CASE WHEN enough THEN ocr ELSE 0 END AS ocr FROM e)
 SELECT doc_id, round(language, 4) AS language, round(formula, 4) AS formula, round(tabular, 4) AS tabular, round(diagram, 4) AS diagram, round(noise, 4) AS noise,
   round(ocr, 4) AS ocr, round(least(1, language * 0.4::DOUBLE + ocr * 0.3::DOUBLE + formula * 0.2::DOUBLE + diagram * 0.1::DOUBLE), 4) AS overall,
-  ocr >= 0.7 AND noise <= 0.4 AND length(trim(t)) >= 20 AS valid FROM s"""
+  ocr >= 0.7 AND noise <= 0.4 AND enough AS valid FROM f"""
 )
 def doc_academic_score(spark, sf_dir):
     made = quality.academic_quality(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -149,11 +152,14 @@ def topic_carry_forward(spark, sf_dir):
     return made.groupBy("doc_id", "topic").agg(F.count("*").alias("lines"))
 
 
-def _bloom_sql(levels) -> str:
-    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(low, {v!r})' for v in T.VERBS[x])} THEN '{x}'" for x in levels) + " ELSE 'L2' END"
+def _bloom_sql(levels, default) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains(low, {v!r})' for v in signs)} THEN '{x}'" for x, signs in levels.items()) + f" ELSE '{default}' END"
 
 
-@_query(f"WITH b AS (SELECT role, lower(coalesce(text, '')) AS low FROM conversations) SELECT role, {_bloom_sql(T.VERBS)} AS ascending, {_bloom_sql(list(T.VERBS)[::-1])} AS descending, count(*) AS n FROM b GROUP BY ALL")
+ASCENDING, DESCENDING = _bloom_sql(T.VERBS, "L2"), _bloom_sql(T.NAMED_LEVELS, "understand")
+
+
+@_query(f"WITH b AS (SELECT role, lower(coalesce(text, '')) AS low FROM conversations) SELECT role, {ASCENDING} AS ascending, {DESCENDING} AS descending, count(*) AS n FROM b GROUP BY ALL")
 def bloom_level_distribution(spark, sf_dir):
     text = F.col("text")
     return _read(spark, sf_dir, "conversations").groupBy("role", T.bloom_ascending(text).alias("ascending"), T.bloom_descending(text).alias("descending")).agg(F.count("*").alias("n"))
@@ -164,15 +170,18 @@ def _marks_sql(p: str) -> str:
     return f"CASE WHEN {n} BETWEEN 1 AND 20 THEN {n} END"
 
 
+_COSTS = " ".join(f"WHEN '{k}' THEN {v}" for k, v in T.LEVEL_COST.items())
+
+
 @_query(
-    rf"""WITH m AS (SELECT doc_id, lower(coalesce(text, '')) AS low, coalesce({_marks_sql(r"(?i)\[\s*([0-9]{1,2})\s*(?:marks?|m)\s*\]")}, {_marks_sql(r"(?i)\(\s*([0-9]{1,2})\s*(?:marks?|m)?\s*\)")}, {_marks_sql(r"(?i)\b([0-9]{1,2})\s*marks?\b")}) AS marks FROM documents),
-b AS (SELECT doc_id, marks, {_bloom_sql(T.VERBS)} AS bloom FROM m),
-s AS (SELECT *, CAST(bloom[2] AS INT) + coalesce(CAST(marks > 8 AS INT), 0) + coalesce(CAST(marks > 12 AS INT), 0) AS score FROM b)
+    rf"""WITH m AS (SELECT doc_id, lower(coalesce(text, '')) AS low, coalesce({", ".join(map(_marks_sql, T.MARKS))}) AS marks FROM documents),
+b AS (SELECT doc_id, marks, {DESCENDING} AS bloom FROM m),
+s AS (SELECT *, CASE bloom {_COSTS} END + coalesce(CAST(marks > 8 AS INT), 0) + coalesce(CAST(marks > 12 AS INT), 0) AS score FROM b)
 SELECT doc_id, marks, bloom, CASE WHEN score <= 2 THEN 'easy' WHEN score <= 4 THEN 'medium' ELSE 'hard' END AS difficulty FROM s"""
 )
 def question_marks_difficulty(spark, sf_dir):
-    made = _read(spark, sf_dir, "documents").select("doc_id", T.marks(F.col("text")).alias("marks"), T.bloom_ascending(F.col("text")).alias("bloom"))
-    return made.withColumn("difficulty", T.difficulty(F.col("bloom"), F.coalesce("marks", F.lit(0))))
+    made = _read(spark, sf_dir, "documents").select("doc_id", T.marks(F.col("text")).alias("marks"), T.bloom_descending(F.col("text")).alias("bloom"))
+    return made.withColumn("difficulty", T.difficulty(F.col("bloom"), F.col("marks")))
 
 
 TOKENS_SQL = r"tk AS (SELECT {key} AS k, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) > 2)) AS token FROM {table})"

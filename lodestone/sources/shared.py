@@ -6,15 +6,26 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir; below a local folder where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), f"lodestone-{os.getuid()}")
+    """A fresh path below spark.checkpoint.dir. Only a local session may leave that unset: its tasks share one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), f"lodestone-{os.getuid()}")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: the plan is cut and what follows survives lost executors."""
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder of any file system that Spark can reach; none where the folder is missing."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
