@@ -194,6 +194,14 @@ WITH s AS (SELECT doc, seq, status, lag(status) OVER (PARTITION BY doc ORDER BY
 SELECT doc, max_by(status, seq) AS status, count_if(NOT (was IS NULL OR (was = 'registered' AND status IN ('extracting', 'failed')) OR (was = 'extracting' AND status IN ('extracted', 'failed')) OR (was = 'extracted' AND status IN ('ready', 'failed')))) AS forbidden
 FROM s GROUP BY doc"""
 
+#: signals: concept, seq, understand, compare, explain. A pass moves a concept on by one stage at most, in order.
+OPERATORS["stage_progress"] = """
+WITH a AS (SELECT *, min(CASE WHEN understand >= 4e-1 THEN seq END) OVER (PARTITION BY concept) AS t1 FROM {signals}),
+b AS (SELECT *, min(CASE WHEN seq > t1 AND understand >= 65e-2 THEN seq END) OVER (PARTITION BY concept) AS t2 FROM a),
+c AS (SELECT *, min(CASE WHEN seq > t2 AND compare >= 5e-1 THEN seq END) OVER (PARTITION BY concept) AS t3 FROM b),
+d AS (SELECT *, min(CASE WHEN seq > t3 AND explain >= 7e-1 THEN seq END) OVER (PARTITION BY concept) AS t4 FROM c)
+SELECT concept, CASE WHEN max(t4) IS NOT NULL THEN 'explainable' WHEN max(t3) IS NOT NULL THEN 'connected' WHEN max(t2) IS NOT NULL THEN 'understood' WHEN max(t1) IS NOT NULL THEN 'recognised' ELSE 'unseen' END AS stage, max(seq) AS passes FROM d GROUP BY concept"""
+
 OPERATORS["promotion"] = """
 SELECT coalesce(a.metric, b.metric) AS metric, round(coalesce(b.v, 0e0) - coalesce(a.v, 0e0), 4) AS difference, NOT (coalesce(a.metric, b.metric) = 'overall_score' AND coalesce(b.v, 0e0) < coalesce(a.v, 0e0)) AS allowed
 FROM {before} a FULL OUTER JOIN {after} b ON a.metric = b.metric"""

@@ -64,6 +64,7 @@ USES = {
     "training_readiness": ("readiness", {"files": _FILES}),
     "subject_conflicts": ("conflicts", {"files": _FILES}),
     "status_machine": ("status_machine", {"moves": _SEQ + ", CASE event_type WHEN 'signup' THEN 'registered' WHEN 'view' THEN 'extracting' WHEN 'click' THEN 'extracted' WHEN 'purchase' THEN 'ready' ELSE 'failed' END AS status FROM {events}"}),
+    "stage_progress": ("stage_progress", {"signals": "SELECT user_id AS concept, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq, value / 100e0 AS understand, (event_id % 10) / 10e0 AS compare, (event_id % 7) / 7e0 AS explain FROM {events}"}),
     "promotion_check": ("promotion", {"before": "SELECT 'm' || CAST(s_nationkey AS STRING) AS metric, avg(s_acctbal) AS v FROM {supplier} WHERE s_suppkey % 2 = 0 GROUP BY s_nationkey", "after": "SELECT CASE WHEN s_nationkey = 3 THEN 'overall_score' ELSE 'm' || CAST(s_nationkey AS STRING) END AS metric, avg(s_acctbal) AS v FROM {supplier} WHERE s_suppkey % 2 = 1 GROUP BY s_nationkey"}),
     "epoch_replace": ("replace_epoch", {"old": "SELECT o_orderkey AS epoch, o_totalprice AS v FROM {orders} WHERE o_orderstatus <> 'P'", "new": "SELECT o_orderkey AS epoch, o_totalprice + 1 AS v FROM {orders} WHERE o_orderstatus <> 'F'"}),
     "first_seen": ("ordered_distinct", {"items": "SELECT p_brand AS grp, p_type AS name, p_partkey AS seq FROM {part}"}),
