@@ -177,6 +177,54 @@ OPERATORS["rows_without_source"] = """
 SELECT o.page, o.id FROM {ocr} o LEFT JOIN (SELECT DISTINCT page FROM {native}) n ON o.page = n.page WHERE n.page IS NULL
 UNION ALL SELECT page, id FROM {native}"""
 
+#: samples: id, level, kind; stage: level, kind. One match is enough.
+OPERATORS["curriculum_filter"] = """
+SELECT s.id FROM {samples} s LEFT JOIN (SELECT DISTINCT level FROM {stage}) l ON s.level = l.level LEFT JOIN (SELECT DISTINCT kind FROM {stage}) k ON s.kind = k.kind WHERE l.level IS NOT NULL OR k.kind IS NOT NULL"""
+
+#: rows: id, status, score
+OPERATORS["export_rows"] = """
+SELECT id, status FROM {rows} WHERE coalesce(status, 'pending') NOT IN ('flagged', 'pending') AND (coalesce(score, 0e0) >= 85e-2 OR status = 'approved')"""
+
+#: hits: query, id, score; rows: id, module. Module empty or the query's own.
+OPERATORS["hit_rows"] = """
+SELECT h.query, h.id, r.module FROM {hits} h JOIN {rows} r ON h.id = r.id WHERE r.module IS NULL OR r.module = '' OR r.module = h.module"""
+
+OPERATORS["merged_lists"] = """
+WITH f AS (SELECT grp, item, min(seq) AS met FROM {lists} GROUP BY grp, item)
+SELECT grp, <<joined item '|' met>> AS items FROM f GROUP BY grp"""
+
+#: real, made: field (verb, level, marks), name. Cosine of each field's counts, weighed 0.5, 0.25, 0.25.
+OPERATORS["style_similarity"] = """
+WITH r AS (SELECT field, name, CAST(count(*) AS DOUBLE) AS n FROM {real} GROUP BY field, name), m AS (SELECT field, name, CAST(count(*) AS DOUBLE) AS n FROM {made} GROUP BY field, name),
+b AS (SELECT coalesce(r.field, m.field) AS field, coalesce(r.n, 0e0) AS x, coalesce(m.n, 0e0) AS y FROM r FULL OUTER JOIN m ON r.field = m.field AND r.name = m.name),
+c AS (SELECT field, CASE WHEN sum(x * x) > 0 AND sum(y * y) > 0 THEN sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) ELSE 0e0 END AS cosine FROM b GROUP BY field)
+SELECT round(sum(cosine * CASE field WHEN 'verb' THEN 5e-1 ELSE 25e-2 END), 6) AS similarity FROM c"""
+
+OPERATORS["marks_by_weight"] = """
+SELECT grp, id, round(total * weight / sum(weight) OVER (PARTITION BY grp), 4) AS marks FROM {weights}"""
+
+#: Questions take two topics each, going round: those least used so far.
+OPERATORS["topic_allocation"] = """
+WITH t AS (SELECT subject, topic, row_number() OVER (PARTITION BY subject ORDER BY topic) - 1 AS at, count(*) OVER (PARTITION BY subject) AS n FROM {topics}),
+q AS (SELECT subject, question, explode(sequence(0, 1)) AS j FROM {questions})
+SELECT q.subject, q.question, t.topic FROM q JOIN t ON q.subject = t.subject AND (2 * (q.question - 1) + q.j) % t.n = t.at"""
+
+#: candidates: grp, id, aligned, covered, required, capital, ended, fits, verb_first, novelty, style
+OPERATORS["question_ranking"] = """
+WITH s AS (SELECT *, CASE WHEN required > 0 THEN covered / CAST(required AS DOUBLE) ELSE 8e-1 END AS coverage FROM {candidates}),
+o AS (SELECT grp, id, NOT aligned OR coverage < 2e-1 AS out, CASE WHEN NOT aligned THEN 9e-2 WHEN coverage < 2e-1 THEN 3e-1 + 25e-2 * coverage ELSE 3e-1 + 25e-2 * coverage + 2e-1 * 25e-2 * (capital + ended + fits + verb_first) + 15e-2 * novelty + 1e-1 * style END AS overall FROM s)
+SELECT grp, id, out, round(overall, 6) AS overall, CAST(row_number() OVER (PARTITION BY grp ORDER BY CASE WHEN out THEN 1 ELSE 0 END, round(overall, 9) DESC, id) AS INT) AS place FROM o"""
+OPERATORS["best_question"] = "SELECT grp, id, overall FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY place) AS rn FROM {ranked} WHERE NOT out AND overall >= 3e-1) x WHERE rn = 1"
+
+#: retrieved: query, chunks, words, academic, coverage, overlap
+OPERATORS["retrieval_gate"] = """
+WITH r AS (SELECT *, CASE WHEN chunks = 0 THEN 'EMPTY_RETRIEVAL' WHEN chunks < 2 THEN 'BELOW_MIN_CHUNKS' WHEN words < 60 THEN 'THIN_CONTEXT' WHEN academic < 3 THEN 'LOW_ACADEMIC' WHEN coverage < 5e-1 THEN 'ENTITY_MISMATCH' ELSE 'PASSED_GATE' END AS reason FROM {retrieved})
+SELECT query, reason, round(CASE WHEN reason = 'PASSED_GATE' THEN 5e-1 * overlap + 3e-1 * least(1e0, academic / 10e0) + 2e-1 * least(1e0, chunks / 5e0) ELSE 0e0 END, 6) AS score FROM r"""
+
+#: rows: id, copied (share of words from the source), banked (share from the question bank), faithful
+OPERATORS["guardrails"] = """
+SELECT id, copied <= 8e-1 AS original, banked <= 75e-2 AS fresh, copied <= 8e-1 AND banked <= 75e-2 AND faithful AS passed FROM {rows}"""
+
 OPERATORS["inverted_index"] = """
 SELECT topic, count(*) AS n, array_join(sort_array(collect_list(id)), ',') AS ids FROM {items} GROUP BY topic"""
 

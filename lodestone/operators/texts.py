@@ -225,6 +225,44 @@ WITH b AS (SELECT id, regexp_sub(trim(regexp_extract(lower(coalesce(text, '')),
 v AS (SELECT id, {_VERB} AS verb FROM b), l AS (SELECT id, verb, {_VERB_LEVEL} AS level FROM v)
 SELECT id, verb, coalesce(level, 'L2_Understand') AS level, CASE WHEN level IS NULL THEN 5e-1 WHEN level = 'L2_Understand' THEN 1e0 ELSE 0e0 END AS confidence FROM l"""
 
+_NAMED = (
+    ("create", "design|create|develop|propose|formulate|plan|devise|build|derive|construct"), ("evaluate", "evaluate|justify|assess|argue|critique|judge|recommend|pros and cons|compare"),
+    ("analyze", "analyze|examine|investigate|break down|compare and contrast|relate|why does|how does|differentiate|distinguish"), ("apply", "apply|solve|calculate|compute|determine|demonstrate|use|implement|find|show that|sketch|draw|algorithm"),
+    ("understand", "explain|describe|discuss|summarize|interpret|classify|illustrate|elaborate|short note|architecture|working principle"), ("remember", "define|list|state|name|identify|recall|mention|enumerate|what is|who|when|where|write the|give the"),
+)
+OPERATORS["level_by_pattern"] = "SELECT id, CASE " + " ".join(f"WHEN regexp_like(coalesce(text, ''), r'(?i)<<b>>({p})<<e>>') THEN '{k}'" for k, p in _NAMED) + " ELSE 'understand' END AS level FROM {docs}"
+
+OPERATORS["scan_confidence"] = r"""
+SELECT id, size(regexp_extract_all(coalesce(text, ''), r'[^\s]+', 0)) AS words, CASE WHEN size(regexp_extract_all(coalesce(text, ''), r'[^\s]+', 0)) > 100 THEN 9e-1 ELSE 6e-1 END AS confidence FROM {docs}"""
+
+#: pages: doc, text
+OPERATORS["page_text_confidence"] = r"""
+WITH w AS (SELECT doc, sum(size(regexp_extract_all(coalesce(text, ''), r'[^\s]+', 0))) / CAST(count(*) AS DOUBLE) AS words FROM {pages} GROUP BY doc)
+SELECT doc, round(words, 4) AS words, CASE WHEN words > 150 THEN 95e-2 WHEN words > 80 THEN 8e-1 WHEN words > 30 THEN 55e-2 ELSE 25e-2 END AS confidence FROM w"""
+
+_FIGURES = (
+    ("block_diagram", r"block\s*diagram"), ("circuit_diagram", r"circuit\s*diagram|schematic|resistor|capacitor|transistor"), ("flowchart", r"flow\s*chart|flowchart|decision|process"),
+    ("graph", r"<<b>>graph<<e>>|plot|axis|frequency|amplitude|time\s+slot"), ("table", r"<<b>>table<<e>>|row|column"), ("state_diagram", r"state\s*diagram|state\s*transition"),
+    ("control_system", r"control\s*system|feedback|transfer\s*function"), ("memory_map", r"memory\s*map|address|register"),
+)
+OPERATORS["figure_types"] = "SELECT id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_like(coalesce(text, ''), r'(?i){p}') THEN '{k}' END" for k, p in _FIGURES) + ") AS types FROM {docs}"
+
+OPERATORS["chunk_sizes"] = r"""
+WITH n AS (SELECT id, size(regexp_extract_all(coalesce(text, ''), r'[^\s]+', 0)) AS words, regexp_like(coalesce(text, ''), r'[=∑∫√]') AS math FROM {docs}),
+c AS (SELECT id, CASE WHEN math THEN 250 WHEN words > 100000 THEN 300 WHEN words < 5000 THEN 200 ELSE 300 END AS size FROM n)
+SELECT id, size, greatest(20, CAST(floor(size / 10) AS INT)) AS overlap FROM c"""
+
+OPERATORS["paragraph_questions"] = rf"""
+WITH l AS (SELECT *, CAST(sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY line_no) AS INT) AS para FROM <<lines {{docs}} id>> x),
+p AS (SELECT id, para, <<joined line ' ' line_no>> AS body FROM l WHERE line <> '' GROUP BY id, para)
+SELECT id, para, md5(body) AS question FROM p WHERE contains(body, '?') OR {_any("lower(body)", "explain, describe, define, list, compare, discuss, derive, prove, calculate, solve, design, analyze, evaluate")}"""
+
+#: answers: id, text, definition, point, application, algorithm, needs_figure
+OPERATORS["answer_quality"] = r"""
+SELECT id, round(least(1e0, CASE WHEN definition <> '' AND contains(text, substr(definition, 1, 40)) THEN 25e-2 ELSE 0e0 END + CASE WHEN size(regexp_extract_all(text, r'[^\s]+', 0)) >= 40 THEN 2e-1 ELSE 0e0 END
+  + CASE WHEN point <> '' AND contains(text, substr(point, 1, 20)) THEN 2e-1 ELSE 0e0 END + CASE WHEN application <> '' AND contains(text, application) THEN 15e-2 ELSE 0e0 END
+  + CASE WHEN algorithm <> '' AND contains(text, algorithm) THEN 1e-1 ELSE 0e0 END + CASE WHEN needs_figure AND contains(text, '[Diagram') THEN 1e-1 ELSE 0e0 END), 4) AS quality FROM {answers}"""
+
 # -- similar texts ------------------------------------------------------------------------------
 #: items, docs: id, text. The share of an item's 5-word shingles that a document holds, from a half up.
 OPERATORS["contamination"] = r"""

@@ -15,6 +15,8 @@ _ITEMS = "SELECT p_brand AS subject, CAST(p_size AS INT) AS marks, p_type AS top
 _CANDIDATES = """SELECT o_custkey AS grp, o_orderkey AS id, (o_orderkey % 11) / 11e0 AS faithful, (o_orderkey % 13) / 13e0 AS original, (o_orderkey % 7) / 7e0 AS judged, (o_orderkey % 5) / 5e0 AS fingerprint,
   (o_orderkey % 3) / 3e0 AS bloom, (o_orderkey % 17) / 17e0 AS simulation, (o_orderkey % 19) / 19e0 AS path, (o_orderkey % 2) / 2e0 AS penalty FROM {orders}"""
 _REWARDS = "SELECT o_custkey AS grp, o_orderkey AS id, (o_orderkey % 11) / 11e0 AS reward FROM {orders}"
+_RANKED = """SELECT o_custkey AS grp, o_orderkey AS id, o_orderkey % 4 > 0 AS aligned, CAST(o_orderkey % 5 AS INT) AS covered, CAST(o_custkey % 6 AS INT) AS required, CAST(o_orderkey % 2 AS INT) AS capital, CAST(o_orderkey % 3 % 2 AS INT) AS ended,
+  CAST(o_custkey % 2 AS INT) AS fits, 1 AS verb_first, (o_orderkey % 7) / 7e0 AS novelty, (o_orderkey % 9) / 9e0 AS style FROM {orders}"""
 _PAGES = "SELECT l_orderkey AS doc, CAST(l_linenumber AS INT) AS page, CAST(l_linenumber + l_orderkey % 4 + l_suppkey % 2 AS INT) AS pdf, CAST(l_linenumber AS INT) AS printed FROM {lineitem}"
 _FILES = "SELECT source AS grp, lang AS subject, length(text) > 0 AS done, length(text) < 30 AS failed FROM {documents}"
 _SEQ = "SELECT user_id AS doc, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq, event_id"
@@ -64,6 +66,18 @@ USES = {
     "training_readiness": ("readiness", {"files": _FILES}),
     "subject_conflicts": ("conflicts", {"files": _FILES}),
     "status_machine": ("status_machine", {"moves": _SEQ + ", CASE event_type WHEN 'signup' THEN 'registered' WHEN 'view' THEN 'extracting' WHEN 'click' THEN 'extracted' WHEN 'purchase' THEN 'ready' ELSE 'failed' END AS status FROM {events}"}),
+    "curriculum_filter": ("curriculum_filter", {"samples": "SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_suppkey % 6 + 1 AS INT) AS level, l_returnflag AS kind FROM {lineitem}", "stage": "SELECT * FROM (VALUES (1, 'A'), (2, 'A')) AS t(level, kind)"}),
+    "export_rows": ("export_rows", {"rows": "SELECT d.doc_id AS id, CASE WHEN l.toxic = 1 THEN 'flagged' WHEN l.quality IS NULL THEN 'pending' WHEN d.doc_id % 4 = 0 THEN 'approved' ELSE 'reviewed' END AS status, (d.doc_id % 10) / 9e0 AS score FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id"}),
+    "hit_rows": ("hit_rows", {"hits": "SELECT o_custkey AS query, o_orderkey AS id, o_orderpriority AS module FROM {orders}", "rows": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN 'other' ELSE o_orderpriority END AS module FROM {orders}"}),
+    "merged_lists": ("merged_lists", {"lists": "SELECT p_brand AS grp, p_type AS item, p_partkey AS seq FROM {part}"}),
+    "style_similarity": ("style_similarity", {"real": "SELECT 'verb' AS field, l_returnflag AS name FROM {lineitem} WHERE l_orderkey % 2 = 0 UNION ALL SELECT 'level' AS field, CAST(l_suppkey % 6 AS STRING) AS name FROM {lineitem} WHERE l_orderkey % 2 = 0 UNION ALL SELECT 'marks' AS field, CAST(l_linenumber AS STRING) AS name FROM {lineitem} WHERE l_orderkey % 2 = 0",
+      "made": "SELECT 'verb' AS field, l_linestatus AS name FROM {lineitem} WHERE l_orderkey % 2 = 1 UNION ALL SELECT 'verb' AS field, l_returnflag AS name FROM {lineitem} WHERE l_orderkey % 2 = 1 UNION ALL SELECT 'level' AS field, CAST(l_partkey % 6 AS STRING) AS name FROM {lineitem} UNION ALL SELECT 'marks' AS field, CAST(l_linenumber % 3 AS STRING) AS name FROM {lineitem}"}),
+    "marks_by_weight": ("marks_by_weight", {"weights": "SELECT l_orderkey AS grp, l_orderkey * 10 + l_linenumber AS id, l_quantity AS weight, 20 AS total FROM {lineitem}"}),
+    "topic_allocation": ("topic_allocation", {"topics": "SELECT DISTINCT p_brand AS subject, p_type AS topic FROM {part}", "questions": "SELECT p_brand AS subject, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INT) AS question FROM {part}"}),
+    "question_ranking": ("question_ranking", {"candidates": _RANKED}),
+    "best_question": ("best_question", {"ranked": "SELECT o_custkey AS grp, o_orderkey AS id, o_orderkey % 3 = 0 AS out, (o_orderkey % 17) / 17e0 AS overall, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey % 17 DESC, o_orderkey) AS INT) AS place FROM {orders}"}),
+    "retrieval_gate": ("retrieval_gate", {"retrieved": "SELECT o_orderkey AS query, CAST(o_orderkey % 5 AS INT) AS chunks, CAST(o_custkey % 300 AS INT) AS words, CAST(o_custkey % 13 AS INT) AS academic, (o_orderkey % 7) / 7e0 AS coverage, (o_orderkey % 11) / 11e0 AS overlap FROM {orders}"}),
+    "guardrails": ("guardrails", {"rows": "SELECT o_orderkey AS id, (o_orderkey % 11) / 10e0 AS copied, (o_custkey % 13) / 12e0 AS banked, o_orderkey % 3 > 0 AS faithful FROM {orders}"}),
     "stage_progress": ("stage_progress", {"signals": "SELECT user_id AS concept, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS seq, value / 100e0 AS understand, (event_id % 10) / 10e0 AS compare, (event_id % 7) / 7e0 AS explain FROM {events}"}),
     "promotion_check": ("promotion", {"before": "SELECT 'm' || CAST(s_nationkey AS STRING) AS metric, avg(s_acctbal) AS v FROM {supplier} WHERE s_suppkey % 2 = 0 GROUP BY s_nationkey", "after": "SELECT CASE WHEN s_nationkey = 3 THEN 'overall_score' ELSE 'm' || CAST(s_nationkey AS STRING) END AS metric, avg(s_acctbal) AS v FROM {supplier} WHERE s_suppkey % 2 = 1 GROUP BY s_nationkey"}),
     "epoch_replace": ("replace_epoch", {"old": "SELECT o_orderkey AS epoch, o_totalprice AS v FROM {orders} WHERE o_orderstatus <> 'P'", "new": "SELECT o_orderkey AS epoch, o_totalprice + 1 AS v FROM {orders} WHERE o_orderstatus <> 'F'"}),
