@@ -44,8 +44,17 @@ def tfidf(queries: DataFrame, docs: DataFrame, q: str, d: str, k: int = 3) -> Da
 QUERY_BLOCK, BASE_BLOCK = 1024, 4096
 
 
-def _vector_blocks(df: DataFrame, rows: int, prefix: str) -> DataFrame:
-    """One row per block of vectors: ids, labels and unit vectors as bytes. Vectors null or zero take no part."""
+def common_width(df: DataFrame) -> int:
+    """The length that most vectors have; of several the smallest."""
+    first = df.where("embedding is not null").groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    return first["width"] if first else 0
+
+
+def _vector_blocks(df: DataFrame, rows: int, prefix: str, width: int) -> DataFrame:
+    """One row per block of vectors: ids, labels and unit vectors as bytes.
+
+    Vectors null, zero, of another width, or with null or non-finite components take no part.
+    """
     import numpy as np
     import pyarrow as pa
 
@@ -62,7 +71,8 @@ def _vector_blocks(df: DataFrame, rows: int, prefix: str) -> DataFrame:
 
     e = F.col("embedding").cast("array<double>")
     used = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(F.col("label").cast("long"), F.lit(-1)).alias("label"), e.alias("e"))
-    used = used.where("vec_id is not null and exists(e, x -> x <> 0) and forall(e, x -> x is not null)")
+    whole = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    used = used.where(F.col("vec_id").isNotNull() & (F.size("e") == width) & F.coalesce(whole, F.lit(False)) & F.exists("e", lambda x: x != 0))
     return used.mapInArrow(run, ", ".join(f"{n} binary" for n in names))
 
 
@@ -71,7 +81,8 @@ def vector_top(queries: DataFrame, base: DataFrame, k: int, order: list, keep=No
 
     A stated query set meets all rows in blocks: a task takes a block of queries and a block of the base and
     passes on k rows a query, so neither side has to fit on the driver or in one task. keep(sim, label, q_label)
-    gives a boolean array of the pairs that count.
+    gives a boolean array of the pairs that count. This is exact search, its work queries times rows; the nearest-neighbour
+    operator of the training-data package has an index.
     """
     import numpy as np
     import pandas as pd
@@ -94,6 +105,7 @@ def vector_top(queries: DataFrame, base: DataFrame, k: int, order: list, keep=No
                     out.append(pd.DataFrame({"q_id": q_ids[j], "q_label": q_labels[j], "vec_id": ids[at], "label": labels[at], "sim": sim[j][at]}))
                 yield pd.concat(out)
 
-    pairs = _vector_blocks(queries, QUERY_BLOCK, "q").crossJoin(_vector_blocks(base, BASE_BLOCK, "b"))
+    width = common_width(base)
+    pairs = _vector_blocks(queries, QUERY_BLOCK, "q", width).crossJoin(_vector_blocks(base, BASE_BLOCK, "b", width))
     found = pairs.mapInPandas(run, "q_id long, q_label long, vec_id long, label long, sim double")
     return top_k(found, "q_id", order, k)
