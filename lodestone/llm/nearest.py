@@ -183,7 +183,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = K, dims: int = DIMS, co
             yield b.assign(cell=top.cell(project(matrix(b["embedding"]), radius, True, dims)).astype("int32"))
 
     placed = staged(queries.mapInPandas(home, "h1 long, h2 long, embedding array<double>, cell int").withColumn("part", F.pmod("h1", F.lit(1 << 20)).cast("int")), "queries")
-    crowd = {r["cell"]: -(-r["count"] // BLOCK) for r in placed.groupBy("cell").count().collect()}
+    counts = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    crowd, all_parts = {c: -(-n // BLOCK) for c, n in counts.items()}, max(1, -(-sum(counts.values()) // BLOCK))
     parts = F.element_at(F.array(*[F.lit(crowd.get(c, 1)) for c in range(1 << top.depth)]), F.col("cell") + 1)
     placed = placed.select("h1", "h2", "embedding", F.col("cell").alias("home"), F.pmod("part", parts).cast("int").alias("part"))
 
@@ -201,11 +202,11 @@ def nearest(table: DataFrame, is_query: Column, k: int = K, dims: int = DIMS, co
         return pd.concat(out)
 
     def visits(q: DataFrame) -> DataFrame:
-        """q: queries with cell and bound. Each goes to all blocks of the cell, with others of its home cell."""
+        """q: queries with cell, part and bound. Each goes to all blocks of the cell; a block is sent once a part of the queries."""
         to = q.withColumn("block", F.explode(F.sequence(F.lit(0), of_cell - 1)))
-        pairs = to.select("cell", "block", F.col("home").alias("_home"), F.col("part").alias("_part")).distinct()
+        pairs = to.select("cell", "block", F.col("part").alias("_part")).distinct()
         there = indexed.join(pairs, ["cell", "block"])
-        left, right = to.groupBy("cell", "block", "home", "part"), there.groupBy("cell", "block", "_home", "_part")
+        left, right = to.groupBy("cell", "block", "part"), there.groupBy("cell", "block", "_part")
         return left.cogroup(right).applyInPandas(visit, FOUND)
 
     near = staged(visits(placed.withColumn("cell", F.col("home")).withColumn("bound", F.lit(float("-inf")))), "near")
@@ -224,6 +225,8 @@ def nearest(table: DataFrame, is_query: Column, k: int = K, dims: int = DIMS, co
                     yield pd.DataFrame({c: [b[c].iloc[j]] * len(cells) for c in b.columns} | {"cell": cells.astype("int32")})
 
     rest = bounded.mapInPandas(spread, "h1 long, h2 long, embedding array<double>, home int, part int, bound double, cell int").where(F.col("cell").isin([c for c in blocks]))
+    # queries of all homes that visit a cell go there together, in parts of about BLOCK, so points aren't copied home by home
+    rest = rest.withColumn("part", F.pmod("h1", F.lit(all_parts)).cast("int"))
     found = near.union(visits(rest))
     ids = points.select("h1", "h2", "ids")
     named = found.join(ids, ["h1", "h2"]).withColumn("low", F.get("ids", 0))
