@@ -12,6 +12,7 @@ Everything travels as (block, bucket, data) rows; a block's own data has bucket
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -67,9 +68,10 @@ def deltas(keys: np.ndarray) -> np.ndarray:
     return np.diff(keys, prepend=_U64(0)).astype(np.uint64)
 
 
-def cuts(buckets: np.ndarray, n: int) -> np.ndarray:
-    """Where each bucket begins in an ascending array of buckets, and the end."""
-    return np.searchsorted(buckets, np.arange(n + 1))
+def pieces(buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, begin, end) of the buckets that an ascending array has: never more than it has keys, however many there are."""
+    starts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1])) if len(buckets) else np.zeros(0, np.int64)
+    yield from zip(buckets[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(buckets)], strict=True) if len(starts) else ()
 
 
 def frame(rows: list[tuple[int, int, bytes]]) -> pd.DataFrame:
@@ -77,9 +79,13 @@ def frame(rows: list[tuple[int, int, bytes]]) -> pd.DataFrame:
 
 
 def release(spark) -> None:
-    """Let go of the plans of what has been written by now: Spark's cleaner then deletes their shuffle files, on its own time."""
+    """Let go of the plans of what has been written by now; Spark's cleaner then deletes their shuffle files.
+
+    It works beside the driver: a second's wait keeps the next stage's files from lying beside those of the one before.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
 
 
 def gather(docs: DataFrame, limit: int, weigh: Callable, build: Callable) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import answer, bucket_of, buckets_for, cuts, deltas, each_block, gather, map_blocks, mix, pack, release, unpack
+from .blocks import answer, bucket_of, buckets_for, deltas, each_block, gather, map_blocks, mix, pack, pieces, release, unpack
 from .common import LAST_ID, staged
 
 MATCH, GRAM = 50, 20
@@ -111,7 +111,8 @@ class Block:
         end = np.minimum.reduceat(np.where(valid, n, np.arange(len(anchor))), lo) if len(lo) else lo
         after = np.append(lo[1:], len(anchor))
         hi = np.minimum(after, np.where(end < n, end, len(anchor))) - 1
-        return lo, hi, grams[anchor[lo]], hashes.of(lo, hi + MATCH), doc[lo]
+        # anchors are minima, so small: mixed again they spread over the buckets
+        return lo, hi, mix(grams[anchor[lo]]), hashes.of(lo, hi + MATCH), doc[lo]
 
 
 def _pairs(order, gram, digest):
@@ -142,8 +143,7 @@ def _ask_runs(buckets: int):
             return []
         one, _ = _pairs(b.order[doc], gram, _six(digest))
         gram, digest, order = gram[one], _six(digest[one]), b.order[doc[one]]
-        at = cuts(bucket_of(gram, buckets), buckets)
-        return [(block, k, pack(deltas(gram[s:e]), digest[s:e], order[s:e])) for k, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
+        return [(block, k, pack(deltas(gram[s:e]), digest[s:e], order[s:e])) for k, s, e in pieces(bucket_of(gram, buckets))]
 
     return work
 
@@ -293,8 +293,7 @@ def _decide_runs(buckets: int):
             d, second = Hashes(b.text).of(s, s + MATCH), Hashes(b.text, 1).of(s, s + MATCH)
             one, _, bucket = _groups(d, second, buckets)
             d, who, bucket = d[one], owner[first][one], bucket[one]
-            cut = cuts(bucket, buckets)
-            rows += [(block, k, pack(deltas(d[x:y]), who[x:y])) for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+            rows += [(block, k, pack(deltas(d[x:y]), who[x:y])) for k, x, y in pieces(bucket)]
         return rows
 
     return work
