@@ -18,11 +18,13 @@ The strength s1 is drawn after each seating from its conditional on the grid STR
 averaged: the parent's over the rounds, the restaurants' own parts over the last seating's sweeps after the burn-in
 (they are linear in the numbers of tables, so those are averaged).
 
-Documents are gathered into blocks. A block asks the words' buckets for corpus counts, and the contexts' buckets
-for probabilities of its distinct word pairs; it then scores its documents by itself. Pairs of contexts that make
+Documents are gathered into blocks. A block tells the contexts' buckets its distinct word pairs once; a bucket merges
+them into its restaurants, which stay, and notes the places of each block's pairs. A round moves words only: a bucket
+asks the words' buckets for the parent's values of its words, seats its restaurants, and sends the tables. In the end the
+blocks get their pairs' probabilities and their words' counts, and score their documents by themselves. Pairs of contexts that make
 up more than 1 in HOT_SHARE of the corpus (there can't be more than HOT_SHARE of them) are dealt by both words.
 Their x is drawn alike in all buckets, from their tables over all buckets after the seating before, which a table
-of that bounded size tells; so dishes in different buckets are sampled as those in one. All pairs of all documents take
+of that bounded size tells; so dishes in different buckets are sampled as those in one; the same totals stand in their predictive probabilities. All pairs of all documents take
 part; nothing is pruned.
 
 Defined results: a null or empty text is one end token; a null doc_id is written as the empty text for the hash
@@ -45,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import answer, bucket_of, buckets_for, cuts, deltas, each_block, gather, map_blocks, mix, pack, release, unpack
+from .blocks import SCHEMA, answer, bucket_of, buckets_for, deltas, frame, gather, map_blocks, mix, pack, pieces, release, unpack
 from .common import discard, staged
 
 BLOCK_BYTES = 16 << 20
@@ -55,14 +57,20 @@ STRENGTHS = 0.25 * 2.0 ** np.arange(16)
 #: Sweeps of a seating, of the last one, and those of the last one that are not averaged.
 SWEEPS, LAST_SWEEPS, BURN_IN, ROUNDS = 3, 6, 2, 4
 SEED = 29
+#: Weights in memory at once while tables are drawn.
+SLICE = 1 << 17
 HOT_SHARE = 4096
 #: Hashes that no word is likely to have: the end of a text as a word, its start as a context.
 END = np.uint64(xxhash.xxh64_intdigest(b"\x00end", 1))
 START = np.uint64(xxhash.xxh64_intdigest(b"\x00start", 1))
-#: Parent probabilities travel to the seating, and pairs' own probabilities back, as logarithms in steps of 2 ** (1 / FINE) (0.07 %).
+#: Pairs' own probabilities and contexts' weights travel as logarithms in steps of 2 ** (1 / FINE) (0.07 %).
 FINE = 512
-PARENT_MARK = 1 << 30
-HOT_MARK = -(1 << 30)
+#: Blocks below zero in rows: totals of a bucket, hot words, restaurants, hot contexts' totals, words of the parent;
+#: tables or words of bucket k are -TABLES - k, values from the words' bucket k are -VALUES - k.
+SUMS, HOT, SEATS, HOT_SUMS, WORDS = -1, -2, -3, -4, -5
+TABLES, VALUES = 1 << 40, 1 << 41
+#: Buckets of answers about words are told from those about pairs by this.
+WORD_MARK = 1 << 30
 _U64 = np.uint64
 _SIX = _U64(16)
 
@@ -72,7 +80,7 @@ def held_out(doc_id: int | None) -> bool:
 
 
 def _build(ids, texts) -> bytes:
-    """Documents as local word numbers (0 is the end); the words by hash, in ascending order."""
+    """Documents as local word numbers, in the order of first occurrence (0 is the end), which compress; the words by hash, ascending, and the numbers' places there."""
     number = defaultdict(itertools.count(1).__next__)
     streams, sizes = [], []
     for t in texts:
@@ -84,15 +92,16 @@ def _build(ids, texts) -> bytes:
     words[0] = END
     words[1:] = np.fromiter((xxhash.xxh64_intdigest(w, 0) for w in number), np.uint64, len(number))
     words, place = np.unique(words, return_inverse=True)
-    tokens = place[np.concatenate(streams)].astype(np.int32)
+    tokens = np.concatenate(streams)
     null = np.array([i is None for i in ids], bool)
     held = np.array([held_out(i) for i in ids], bool)
-    return pack(np.array([i or 0 for i in ids], np.int64), null, held, np.array(sizes, np.int64), deltas(words), tokens)
+    return pack(np.array([i or 0 for i in ids], np.int64), null, held, np.array(sizes, np.int64), deltas(words), place.astype(np.int32), tokens)
 
 
 class Block:
     def __init__(self, data: bytes):
-        self.ids, self.null, self.held, self.sizes, gaps, self.tokens = unpack(data)
+        self.ids, self.null, self.held, self.sizes, gaps, place, tokens = unpack(data)
+        self.tokens = place[tokens]
         self.words = np.cumsum(gaps, dtype=np.uint64)
         self.train = np.repeat(~self.held, self.sizes)
 
@@ -125,21 +134,19 @@ def _ask_counts(buckets: int):
     def work(block: int, data: bytes):
         b = Block(data)
         c = b.counts()
-        at = cuts(bucket_of(b.words, buckets), buckets)
-        return [(block, k, pack(deltas(b.words[s:e]), c[s:e])) for k, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
+        return [(block, k, pack(deltas(b.words[s:e]), c[s:e])) for k, s, e in pieces(bucket_of(b.words, buckets))]
 
     return work
 
 
 def _merge_counts(bucket: int, blocks: list[int], blobs: list[bytes]):
-    """Corpus counts for each block; rows (-1, bucket): words in training and their tokens; (-2, bucket): words that may be hot."""
+    """Rows SUMS: words in training and their tokens; HOT: words that may be hot; WORDS: the parent's state, of all blocks' words."""
     parts = [(np.cumsum(d, dtype=np.uint64), c) for d, c in map(unpack, blobs)]
     words, place = np.unique(np.concatenate([d for d, _ in parts]), return_inverse=True)
     total = np.bincount(place, np.concatenate([c for _, c in parts]), len(words)).astype(np.int64)
-    ends = np.cumsum([len(c) for _, c in parts])
     top = np.flatnonzero(total * HOT_SHARE > total.sum())
-    rows = [(b, bucket, pack(total[place[e - len(c) : e]])) for b, (_, c), e in zip(blocks, parts, ends, strict=True)]
-    return [*rows, (-1, bucket, pack(np.array([np.count_nonzero(total), total.sum()], np.int64))), (-2, bucket, pack(words[top], total[top]))]
+    state = pack(deltas(words), total, total.astype(np.float32), np.zeros(len(words), np.float32))
+    return [(SUMS, bucket, pack(np.array([np.count_nonzero(total), total.sum()], np.int64))), (HOT, bucket, pack(words[top], total[top])), (WORDS, bucket, state)]
 
 
 def _told(data: dict[int, bytes], k: int = 0) -> np.ndarray:
@@ -147,18 +154,15 @@ def _told(data: dict[int, bytes], k: int = 0) -> np.ndarray:
 
 
 def _ask_pairs(buckets: int, hot: np.ndarray):
-    """Each distinct pair with its count here and what the block knows of the word: its parent probability."""
+    """Each distinct pair, by context and word, with its count here."""
 
-    def work(block: int, data: dict[int, bytes]):
-        b = Block(data.pop(-1))
-        parent = np.rint(np.log2(unpack(data[PARENT_MARK])[0]) * FINE).astype(np.int16)
-        u, w, count, bucket, _, hashes = b.pairs(hot, buckets)
-        rows, at = [], cuts(bucket, buckets)
-        for k, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)):
-            if e > s:
-                first = np.flatnonzero(np.append(True, u[s + 1 : e] != u[s : e - 1]))
-                said, place = np.unique(w[s:e], return_inverse=True)
-                rows.append((block, k, pack(deltas(hashes[u[s:e][first]] >> _SIX), np.diff(np.append(first, e - s)), place.astype(np.int32), count[s:e].astype(np.int32), deltas(hashes[said] >> _SIX), parent[said])))
+    def work(block: int, data: bytes):
+        u, w, count, bucket, _, hashes = Block(data).pairs(hot, buckets)
+        rows = []
+        for k, s, e in pieces(bucket):
+            first = np.flatnonzero(np.append(True, u[s + 1 : e] != u[s : e - 1]))
+            said, place = np.unique(w[s:e], return_inverse=True)
+            rows.append((block, k, pack(deltas(hashes[u[s:e][first]] >> _SIX), np.diff(np.append(first, e - s)).astype(np.int32), place.astype(np.int32), deltas(hashes[said] >> _SIX), count[s:e].astype(np.int32))))
         return rows
 
     return work
@@ -190,7 +194,7 @@ def draw_tables(count: np.ndarray, rate: np.ndarray, rng: np.random.Generator) -
     done = np.cumsum(n)
     at = 0
     while at < len(many):
-        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + (1 << 21), side="right")))
+        to = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + SLICE, side="right")))
         k = n[at:to]
         starts = np.cumsum(k) - k
         which = np.repeat(np.arange(len(k)), k)
@@ -238,23 +242,56 @@ def log_likelihoods(customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
     return np.array([(log_gamma(s / DISCOUNT + t) - log_gamma(s + c)).sum() + len(c) * float(log_gamma(np.array([s]))[0] - log_gamma(np.array([s / DISCOUNT]))[0]) for s in STRENGTHS])
 
 
-def _restaurants(parts):
-    """Pairs of all blocks merged: context number, word, customers, parent probability; each entry's pair; contexts.
+class Restaurants:
+    """A bucket's contexts and words, ascending; of each pair, by context and word, their places and its customers in training."""
 
-    parts: contexts, their numbers of pairs, then of each pair its word's place and its count; words, their parents.
-    """
-    names = np.concatenate([np.repeat(np.cumsum(p[0], dtype=np.uint64), p[1]) for p in parts])
-    contexts, u = np.unique(names, return_inverse=True)
-    del names
-    words, said = np.unique(np.concatenate([np.cumsum(p[4], dtype=np.uint64) for p in parts]), return_inverse=True)
-    starts = np.cumsum([0, *(len(p[4]) for p in parts)])
-    parent = np.empty(len(words))
-    parent[said] = np.exp2(np.concatenate([p[5] for p in parts]) / FINE)
-    w = np.concatenate([said[s : s + len(p[4])][p[2]] for s, p in zip(starts, parts, strict=False)])
-    key, first, which = np.unique(u * len(words) + w, return_index=True, return_inverse=True)
-    count = np.bincount(which, np.concatenate([p[3] for p in parts]), len(key)).astype(np.int64)
-    w = w[first]
-    return contexts, u[first], words[w], count, parent[w], which
+    def __init__(self, data: bytes):
+        gaps, sizes, self.w, self.count, words = unpack(data)
+        self.contexts, self.words = np.cumsum(gaps, dtype=np.uint64), np.cumsum(words, dtype=np.uint64)
+        self.u = np.repeat(np.arange(len(sizes)), sizes)
+
+
+def _word_rows(bucket: int, words: np.ndarray, buckets: int, values: np.ndarray) -> list:
+    """Rows to the words' buckets, from a bucket."""
+    return [(-TABLES - bucket, k, pack(deltas(words[s:e]), values[s:e])) for k, s, e in pieces(bucket_of(words << _SIX, buckets))]
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=0).astype(np.int32)
+
+
+def _merge_pairs():
+    """Row SEATS: the bucket's restaurants. Rows of blocks: the places of their pairs and contexts there."""
+
+    def work(bucket: int, blocks: list[int], blobs: list[bytes]):
+        parts = [unpack(x) for x in blobs]
+        names = np.concatenate([np.repeat(np.cumsum(p[0], dtype=np.uint64), p[1]) for p in parts])
+        contexts, u = np.unique(names, return_inverse=True)
+        del names
+        words, w = np.unique(np.concatenate([np.cumsum(p[3], dtype=np.uint64)[p[2]] for p in parts]), return_inverse=True)
+        key, which = np.unique(u * len(words) + w, return_inverse=True)
+        del u, w
+        total = np.bincount(which, np.concatenate([p[4] for p in parts]), len(key)).astype(np.int64)
+        sizes = np.bincount(key // len(words), minlength=len(contexts)).astype(np.int32)
+        rows = [(SEATS, bucket, pack(deltas(contexts), sizes, (key % len(words)).astype(np.int32), total, deltas(words)))]
+        ends = np.cumsum([len(p[2]) for p in parts])
+        for b, p, e in zip(blocks, parts, ends, strict=True):
+            rows.append((b, bucket, pack(_steps(which[e - len(p[2]) : e]), _steps(np.searchsorted(contexts, np.cumsum(p[0], dtype=np.uint64))))))
+        return rows
+
+    return work
+
+
+def _names(seats: DataFrame, buckets: int) -> DataFrame:
+    """Rows to the words' buckets: the words of each bucket's restaurants."""
+
+    def run(batches):
+        for b in batches:
+            for bucket, data in zip(b["bucket"].tolist(), b["data"], strict=True):
+                words = Restaurants(data).words
+                yield frame(_word_rows(bucket, words, buckets, np.zeros(len(words), np.int64)))
+
+    return seats.mapInPandas(run, SCHEMA)
 
 
 def _short(x: np.ndarray) -> np.ndarray:
@@ -266,91 +303,114 @@ def _long(x: np.ndarray) -> np.ndarray:
     return np.where(x > -32768, np.exp2(x / FINE), 0.0)
 
 
-def _seat_bucket(buckets: int, hot: np.ndarray, strength: float, number: int, last: bool, before: tuple | None = None):
-    """Seating `number` of a bucket's restaurants. Not last: tables by word, to the parent. Last: answers to the blocks.
+def _seat_bucket(buckets: int, hot: np.ndarray, strength: float, number: int, last: bool, parent: tuple[float, float], before: tuple | None = None):
+    """Seating `number` of a bucket's restaurants under the parent's values of its words.
 
-    before: hot contexts, their customers and tables over all buckets in the seating before (none in the first); each
-    seating's row (HOT_MARK, bucket) has the hot contexts' totals here for the next one. Row (-1, bucket) has the log
-    likelihoods of the strengths from the other contexts.
-
-    An answer has each pair's own probability and each context's weight of the parent. For a hot context they can't
-    be told here: the answer is the discounted customers, and row (-1, bucket) has the context's totals here.
+    parent: (a, b) where a word of value v has the probability (v + a) / b. before: hot contexts, their customers and tables
+    over all buckets in the seating before (none in the first). Row HOT_SUMS has the hot contexts' totals here. Not last: rows of
+    tables by word, to the parent; row SUMS with the log likelihoods of the strengths from the other contexts. Last:
+    answers to the blocks, each pair's own probability and each context's weight of the parent (0 for a hot one, whose
+    tables are told by all buckets).
     """
 
     def work(bucket: int, blocks: list[int], blobs: list[bytes]):
-        parts = [unpack(x) for x in blobs]
-        contexts, u, w, count, parent, which = _restaurants(parts)
-        shared = np.isin(contexts, hot >> _SIX)
-        told = dict(zip(before[0].tolist(), before[2].tolist(), strict=True)) if before is not None else {}
-        given = np.full(len(contexts), np.nan)
+        data = dict(zip(blocks, blobs, strict=True))
+        r = Restaurants(data.pop(SEATS))
+        value = np.concatenate([unpack(data[k])[0] for k in sorted(data, reverse=True) if k < 0] or [np.zeros(0)]).astype(float)
+        base = (value + parent[0]) / parent[1]
+        n = len(r.contexts)
+        shared = np.isin(r.contexts, hot >> _SIX)
+        given, customers, others = np.full(n, np.nan), np.bincount(r.u, r.count, n), np.zeros(n)
+        told = dict(zip(before[0].tolist(), zip(before[1], before[2], strict=True), strict=True)) if before is not None else {}
         for k in np.flatnonzero(shared):
-            name = int(contexts[k])
-            given[k] = np.random.default_rng([SEED, number, name]).standard_gamma(strength / DISCOUNT + told.get(name, 0.0))
-        mean, now = seat(count, u, parent, strength, LAST_SWEEPS if last else SWEEPS, BURN_IN, [SEED, number, bucket], given)
+            name = int(r.contexts[k])
+            customers[k], others[k] = told.get(name, (customers[k], 0.0))
+            given[k] = np.random.default_rng([SEED, number, name]).standard_gamma(strength / DISCOUNT + others[k])
+        mean, now = seat(r.count, r.u, base[r.w], strength, LAST_SWEEPS if last else SWEEPS, BURN_IN, [SEED, number, bucket], given)
+        here, tables = np.bincount(r.u, r.count, n), np.bincount(r.u, mean if last else now, n)
+        hot_sums = (HOT_SUMS, bucket, pack(r.contexts[shared], here[shared], tables[shared]))
         if not last:
-            seen = np.flatnonzero(count > 0)
-            words, place = np.unique(w[seen], return_inverse=True)
-            sent = np.bincount(place, now[seen], len(words)).astype(np.int64)
-            at = cuts(bucket_of(words << _SIX, buckets), buckets)
-            rows = [(-2 - bucket, k, pack(deltas(words[s:e]), sent[s:e])) for k, (s, e) in enumerate(zip(at[:-1], at[1:], strict=True)) if e > s]
-            here = np.flatnonzero(shared)
-            customers, tables = np.bincount(u, count, len(contexts)), np.bincount(u, now, len(contexts))
-            hot_rows = pack(contexts[here], customers[here], tables[here])
-            return [*rows, (HOT_MARK, bucket, hot_rows), (-1, bucket, pack(log_likelihoods(customers[~shared], tables[~shared])))]
-        total, tables = np.bincount(u, count, len(contexts)), np.bincount(u, mean, len(contexts))
-        value = np.maximum(count - DISCOUNT * mean, 0).astype(np.float32)
-        odds = np.where(shared, 0, strength + DISCOUNT * tables)
-        whole = np.where(shared, 0, strength + total)
-        value = np.where(shared[u], value, value / np.where(whole > 0, whole, 1)[u]).astype(np.float32)
-        weight = (odds / np.where(whole > 0, whole, 1)).astype(np.float32)
-        ends = np.cumsum([len(p[2]) for p in parts])
-        rows = []
-        for b, p, e in zip(blocks, parts, ends, strict=True):
-            at = np.searchsorted(contexts, np.cumsum(p[0], dtype=np.uint64))
-            rows.append((b, bucket, pack(_short(value[which[e - len(p[2]) : e]]), weight[at])))
-        return [*rows, (-1, bucket, pack(contexts[shared], total[shared], tables[shared]))]
+            sent = np.bincount(r.w, now, len(r.words)).astype(np.int64)
+            logs = log_likelihoods(here[~shared], tables[~shared])
+            return [hot_sums, *_word_rows(bucket, r.words, buckets, sent), (SUMS, bucket, pack(logs))]
+        own = _short(np.maximum(r.count - DISCOUNT * mean, 0) / (strength + customers)[r.u])
+        weight = _short(np.where(shared, 0.0, (strength + DISCOUNT * tables) / (strength + customers)))
+        places = ((b, [np.cumsum(x, dtype=np.int64) for x in unpack(y)]) for b, y in data.items() if b >= 0)
+        return [hot_sums, *((b, bucket, pack(own[which], weight[at])) for b, (which, at) in places)]
 
     return work
 
 
-def _parent(bucket: int, blocks: list[int], blobs: list[bytes], n_words: int, x: float, number: int):
-    """Blocks' words against the tables sent: answers each word's discounted customers in the parent restaurant.
+def _first_values(bucket: int, blocks: list[int], blobs: list[bytes]):
+    """Before any seating a word's value is its count; rows to the buckets that have named words."""
+    data = dict(zip(blocks, blobs, strict=True))
+    gaps, _, value, _ = unpack(data[WORDS])
+    words = np.cumsum(gaps, dtype=np.uint64) >> _SIX
+    return [(WORDS, bucket, data.pop(WORDS)), *_values(bucket, data, words, value)]
+
 
-    x: the parent's gamma variable. Row (-1, bucket) has the customers and tables here.
+def _values(bucket: int, data: dict[int, bytes], words: np.ndarray, value: np.ndarray) -> list:
+    found = lambda x: value[np.searchsorted(words, np.cumsum(unpack(x)[0], dtype=np.uint64))]
+    return [(-VALUES - bucket, -b - TABLES, pack(found(x).astype(np.float32))) for b, x in data.items()]
+
+
+def _parent(number: int, n_words: int, x: float, parent: tuple[float, float]):
+    """The parent's seating: its customers are the tables sent; x its gamma variable; parent: how values told until now.
+
+    State: words, their counts in training, their values, and their probabilities summed over the rounds until now (not the counts of the start).
+    Row SUMS has the customers and tables here.
     """
-    asked = [(b, unpack(y)) for b, y in zip(blocks, blobs, strict=True) if b >= 0]
-    sent = [unpack(y) for b, y in zip(blocks, blobs, strict=True) if b < 0]
-    words, place = np.unique(np.concatenate([np.cumsum(s[0], dtype=np.uint64) for s in sent] or [np.zeros(0, np.uint64)]), return_inverse=True)
-    customers = np.bincount(place, np.concatenate([s[1] for s in sent] or [np.zeros(0)]), len(words)).astype(np.int64)
-    rng = np.random.default_rng([SEED, number, bucket, 1])
-    tables = draw_tables(customers, np.full(len(words), DISCOUNT * x / (n_words + 1)), rng)
-    value = customers - DISCOUNT * tables
-    rows = []
-    for b, a in asked:
-        y = np.cumsum(a[0], dtype=np.uint64) >> _SIX
-        at = np.minimum(np.searchsorted(words, y), max(len(words) - 1, 0))
-        rows.append((b, bucket, pack(np.where(words[at] == y, value[at], 0.0).astype(np.float32) if len(words) else np.zeros(len(y), np.float32))))
-    return [*rows, (-1, bucket, pack(np.array([customers.sum(), tables.sum()])))]
+
+    def work(bucket: int, blocks: list[int], blobs: list[bytes]):
+        data = dict(zip(blocks, blobs, strict=True))
+        gaps, count, before, summed = unpack(data.pop(WORDS))
+        words = np.cumsum(gaps, dtype=np.uint64) >> _SIX
+        customers = np.zeros(len(words), np.int64)
+        for y in data.values():
+            named, sent = unpack(y)
+            customers[np.searchsorted(words, np.cumsum(named, dtype=np.uint64))] += sent
+        tables = np.where(customers > 0, draw_tables(np.maximum(customers, 1), np.full(len(words), DISCOUNT * x / (n_words + 1)), np.random.default_rng([SEED, number, bucket, 1])), 0)
+        value = customers - DISCOUNT * tables
+        if number:
+            summed = summed + ((before + parent[0]) / parent[1]).astype(np.float32)
+        state = (WORDS, bucket, pack(gaps, count, value.astype(np.float32), summed))
+        return [state, *_values(bucket, data, words, value), (SUMS, bucket, pack(np.array([customers.sum(), tables.sum()])))]
+
+    return work
+
+
+def _mean_parent(number: int, parent: tuple[float, float]):
+    """Blocks' words against the parent's last state: their counts in training, and their probabilities, averaged over the rounds."""
+
+    def work(bucket: int, blocks: list[int], blobs: list[bytes]):
+        gaps, count, value, summed = unpack(blobs[blocks.index(WORDS)])
+        words, mean = np.cumsum(gaps, dtype=np.uint64), (summed + (value + parent[0]) / parent[1]) / max(number, 1)
+        asked = ((b, np.searchsorted(words, np.cumsum(unpack(y)[0], dtype=np.uint64))) for b, y in zip(blocks, blobs, strict=True) if b >= 0)
+        return [(b, WORD_MARK + bucket, pack(count[at], mean[at].astype(np.float32))) for b, at in asked]
+
+    return work
 
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(buckets: int, hot: np.ndarray, total: int, n_words: int, hot_rows: tuple, strength: float):
+def _score(buckets: int, hot: np.ndarray, total: int, n_words: int, strength: float, hot_rows: tuple):
     names, customers, tables = hot_rows
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         data = dict(zip(part["bucket"].tolist(), part["data"], strict=True))
         b = Block(data.pop(-1))
-        count, parent = unpack(data.pop(-3))
+        known = {k: data.pop(k) for k in list(data) if k >= WORD_MARK}
+        count, parent = _told(known), _told(known, 1)
         u, w, _, bucket, which, hashes = b.pairs(hot, buckets)
         told = [unpack(data[k]) for k in sorted(data)]
         at_run = np.cumsum(np.append(True, (u[1:] != u[:-1]) | (bucket[1:] != bucket[:-1]))) - 1
-        own, weight = _long(np.concatenate([t[0] for t in told])), np.concatenate([t[1] for t in told]).astype(np.float64)
-        p = own + weight[at_run] * parent[w]
+        own, weight = (_long(np.concatenate([t[k] for t in told])) for k in (0, 1))
+        weight = weight[at_run]
         shared = np.flatnonzero(np.isin(hashes[u], hot))
         at = np.searchsorted(names, hashes[u[shared]] >> _SIX)
-        p[shared] = (own[shared] + (strength + DISCOUNT * tables[at]) * parent[w[shared]]) / (strength + customers[at])
+        weight[shared] = (strength + DISCOUNT * tables[at]) / (strength + customers[at])
+        p = own + weight * parent[w]
         log_p = np.log10(p)[which]
         log_base = np.log10((count + 1) / (total + n_words + 1))[b.tokens]
         starts = np.cumsum(b.sizes) - b.sizes
@@ -366,9 +426,17 @@ def _score(buckets: int, hot: np.ndarray, total: int, n_words: int, hot_rows: tu
     return work
 
 
-def _specials(rows: DataFrame) -> list[list[np.ndarray]]:
-    """The (-1, bucket) rows: a few numbers a bucket."""
-    return [unpack(bytes(r["data"])) for r in rows.where("block = -1").orderBy("bucket").collect()]
+def _sums(rows: DataFrame) -> list[float]:
+    """The SUMS rows' arrays of numbers, summed place by place in Spark."""
+
+    def run(batches):
+        for b in batches:
+            for x in b["data"]:
+                v = unpack(x)[0].astype(float)
+                yield pd.DataFrame({"k": np.arange(len(v)), "v": v})
+
+    sums = rows.where(F.col("block") == SUMS).mapInPandas(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v"))
+    return [r["v"] for r in sums.orderBy("k").collect()]  # as many as a bucket's row has
 
 
 def _numbers(rows: DataFrame, names: tuple[str, ...], above: float = -1) -> DataFrame:
@@ -398,81 +466,51 @@ def _hot_totals(rows: DataFrame):
     return names[at], np.array([r["c"] for r in sums], float)[at], np.array([r["t"] for r in sums], float)[at]
 
 
-def _first_parent(total: int, n_words: int):
-    """Before any seating the parent is the smoothed unigram. A row (block, PARENT_MARK): probabilities now, and their sum over the rounds."""
-
-    def work(block: int, data: dict[int, bytes]):
-        p = ((_told(data) + 1) / (total + n_words + 1)).astype(np.float32)
-        return [(block, PARENT_MARK, pack(p, np.zeros(len(p), np.float32)))]
-
-    return work
-
-
-def _next_parent(customers: float, seated: float, n_words: int):
-    left = (PARENT_STRENGTH + DISCOUNT * seated) / (n_words + 1)
-
-    def work(block: int, data: dict[int, bytes]):
-        summed = unpack(data.pop(PARENT_MARK))[1]
-        p = ((_told(data).astype(np.float64) + left) / (PARENT_STRENGTH + customers)).astype(np.float32)
-        return [(block, PARENT_MARK, pack(p, summed + p))]
-
-    return work
-
-
-def _both(rounds: int):
-    """Counts and mean parent probabilities of a block's words, as row -3."""
-
-    def work(block: int, data: dict[int, bytes]):
-        now, summed = unpack(data.pop(PARENT_MARK))
-        return [(block, -3, pack(_told(data), summed / (rounds - 1) if rounds > 1 else now))]
-
-    return work
-
-
 def _strength(rows: DataFrame, hot: tuple, seed: int) -> float:
     """Drawn from its conditional on the grid: the likelihoods of all buckets and of the hot contexts."""
-    logs = sum((s[0] for s in _specials(rows)), log_likelihoods(hot[1], hot[2]))
+    logs = np.array(_sums(rows) or np.zeros(len(STRENGTHS))) + log_likelihoods(hot[1], hot[2])
     p = np.exp(logs - logs.max())
     return float(np.random.default_rng([SEED, seed]).choice(STRENGTHS, p=p / p.sum()))
 
 
 def score(docs: DataFrame, block_bytes: int = BLOCK_BYTES, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row of docs."""
+    """rounds: 2 or more. doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every row of docs."""
     spark = docs.sparkSession
     blocks = gather(docs, block_bytes, len, _build)
     buckets = buckets_for(blocks)
     ask_words = map_blocks(blocks, _ask_counts(buckets))
     counts = staged(answer(ask_words, _merge_counts), "counts")
     release(spark)
-    specials = _specials(counts)
-    n_words, total = (int(sum(s[0][k] for s in specials)) for k in (0, 1))
-    hot = _hot(counts.where("block = -2"), total)
-
-    known = counts.where("block >= 0")
-    parent = staged(each_block(known, _first_parent(total, n_words)), "parent")
-    strength, seated, hot_before = 1.0, float(n_words), None
-    for number in range(rounds - 1):
-        asked = each_block(blocks.union(parent), _ask_pairs(buckets, hot))
-        tables = staged(answer(asked, _seat_bucket(buckets, hot, strength, number, False, hot_before)), "tables")
+    n_words, total = map(int, _sums(counts) or (0, 0))
+    hot = _hot(counts.where(F.col("block") == HOT), total)
+    made = staged(answer(map_blocks(blocks, _ask_pairs(buckets, hot)), _merge_pairs()), "restaurants")
+    release(spark)
+
+    seats, places, sent, state = made.where(F.col("block") == SEATS), made.where("block >= 0"), _names(made.where(F.col("block") == SEATS), buckets), counts.where(F.col("block") == WORDS)
+    parent, strength, seated, hot_before = (1.0, float(total + n_words + 1)), 1.0, float(n_words), None
+    old = [counts]
+    for number in range(rounds):
+        x = float(np.random.default_rng([SEED, number]).standard_gamma(PARENT_STRENGTH / DISCOUNT + seated))
+        values = staged(answer(sent.union(state), _parent(number - 1, n_words, x, parent) if number else _first_values), "values")
+        if number:
+            customers, seated = _sums(values) or (0.0, 0.0)
+            parent = ((PARENT_STRENGTH + DISCOUNT * seated) / (n_words + 1), PARENT_STRENGTH + customers)
+        state = values.where(F.col("block") == WORDS)
+        asked = seats.union(values.where(F.col("block") <= -VALUES))
+        for done in old:
+            discard(spark, done)
         release(spark)
-        hot_before = _hot_totals(tables.where(F.col("block") == HOT_MARK))
+        if number == rounds - 1:
+            break
+        tables = staged(answer(asked, _seat_bucket(buckets, hot, strength, number, False, parent, hot_before)), "tables")
+        hot_before = _hot_totals(tables.where(F.col("block") == HOT_SUMS))
         strength = _strength(tables, hot_before, number)
-        x = float(np.random.default_rng([SEED, number]).standard_gamma(PARENT_STRENGTH / DISCOUNT + seated))
-        sent = ask_words.union(tables.where((F.col("block") < -1) & (F.col("block") != HOT_MARK)))
-        replies = staged(answer(sent, lambda k, b, y, x=x, number=number: _parent(k, b, y, n_words, x, number)), "parents")
-        discard(spark, tables)
+        sent, old = tables.where(F.col("block") <= -TABLES), [values, tables]
         release(spark)
-        sums = _specials(replies)
-        customers, seated = (float(sum(s[0][k] for s in sums)) for k in (0, 1))
-        after = staged(each_block(replies.where("block >= 0").union(parent), _next_parent(customers, seated, n_words)), "parent")
-        for done in (parent, replies):
-            discard(spark, done)
-        parent = after
-    asked = each_block(blocks.union(parent), _ask_pairs(buckets, hot))
-    final = staged(answer(asked, _seat_bucket(buckets, hot, strength, rounds, True, hot_before)), "answers")
+    answers = staged(answer(asked.union(places), _seat_bucket(buckets, hot, strength, number, True, parent, hot_before)), "answers")
+    hot_rows = _hot_totals(answers.where(F.col("block") == HOT_SUMS))
+    discard(spark, made)
     release(spark)
-    hot_rows = _hot_totals(final.where("block = -1"))
-    # what a block knows of its words: corpus counts and parent probabilities, in one row
-    words = each_block(known.union(parent), _both(rounds))
-    rows = blocks.union(final.where("block >= 0")).union(words)
-    return rows.groupBy("block").applyInPandas(_score(buckets, hot, total, n_words, hot_rows, strength), RESULT)
+    words = answer(ask_words.union(state), _mean_parent(rounds - 1, parent))
+    rows = blocks.union(answers.where("block >= 0")).union(words)
+    return rows.groupBy("block").applyInPandas(_score(buckets, hot, total, n_words, strength, hot_rows), RESULT)

@@ -155,6 +155,12 @@ def test_hot_contexts_are_put_together(spark, monkeypatch):
     assert all(abs(whole[k] - alone[k]) < 0.05 * abs(whole[k]) for k in whole)
 
 
+def test_nothing_trains(spark):
+    data = [(i, "ab cd", "en", "s", 1) for i in range(30) if held(i)]
+    got = hpylm.score(frame(spark, data)).collect()
+    assert len(got) == len(data) and all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in got)
+
+
 def test_clashing_names_and_empty_table(spark):
     assert hpylm.score(wide(spark)).count() == len(rows())
     assert hpylm.score(spark.createDataFrame([], SCHEMA)).count() == 0
