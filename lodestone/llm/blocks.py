@@ -81,11 +81,13 @@ def frame(rows: list[tuple[int, int, bytes]]) -> pd.DataFrame:
 def release(spark) -> None:
     """Let go of the plans of what has been written by now; Spark's cleaner then deletes their shuffle files.
 
-    It works beside the driver: a second's wait keeps the next stage's files from lying beside those of the one before.
+    It works beside the driver, and some plans are only let go in a second round: the waits keep the next stage's files
+    from lying beside those of the one before.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(1)
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def gather(docs: DataFrame, limit: int, weigh: Callable, build: Callable) -> DataFrame:
