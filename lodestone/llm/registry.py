@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hpylm, lines, mixing, nearest, packing, pii, quality, simhash, suffixes, tokens
+from . import balls, chats, hpylm, infill, lines, mixing, nearest, packing, pii, quality, simhash, suffixes, tokens
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -62,9 +62,25 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balls.cluster(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    control = "<|im_end|><|im_start|>assistant ok"
+    added = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(added)
+    return chats.read_back(chats.windows(rows))
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.restore(infill.transform(_read(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", infill.digest(F.col("output")).alias("output_sha256"), infill.digest(F.col("restored")).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_hpylm, op2_simhash, op3_nearest, op4_token_counts, op5_suffix_dedup, op6_mixing, op7_line_dedup, op8_pii, op9_packing, op10_quality)
+    for f in (op1_hpylm, op2_simhash, op3_nearest, op4_token_counts, op5_suffix_dedup, op6_mixing, op7_line_dedup, op8_pii, op9_packing, op10_quality, op11_ball_kmeans, op12_chat_windows, op13_infill)
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -129,3 +145,51 @@ SELECT s.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_re
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM split s LEFT JOIN counted USING (doc_id) LEFT JOIN marked USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+_ROUNDS = 10
+
+
+def _kmeans_sql() -> str:
+    """Ten assignments and updates written out, one after the other; x: row, component, value."""
+    parts = ["""WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda v: CAST(floor(1024 * CAST(v AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+x AS MATERIALIZED (SELECT row, unnest(range(1, 65)) AS i, unnest(x) AS v FROM kept),
+c0 AS MATERIALIZED (
+  SELECT c, unnest(range(1, 65)) AS i, unnest(x) AS v
+  FROM (SELECT x, CAST(row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), x) - 1 AS INT) AS c FROM kept) WHERE c < 8)"""]
+    for k in range(_ROUNDS + 1):
+        parts.append(f"""d{k} AS MATERIALIZED (
+  SELECT row, c, d FROM (
+    SELECT row, c, CAST(sum((x.v - c.v) * (x.v - c.v)) AS BIGINT) AS d FROM x JOIN c{k} c USING (i) GROUP BY row, c)
+  QUALIFY row_number() OVER (PARTITION BY row ORDER BY d, c) = 1)""")
+        if k < _ROUNDS:
+            parts.append(f"""s{k} AS (SELECT c, i, sum(v) AS s, CAST(count(*) AS HUGEINT) AS n FROM d{k} JOIN x USING (row) GROUP BY c, i),
+c{k + 1} AS MATERIALIZED (SELECT c, i, CAST(coalesce((s - ((s % n) + n) % n) // n, v) AS BIGINT) AS v FROM c{k} LEFT JOIN s{k} USING (c, i))""")
+    k = _ROUNDS
+    return ",\n".join(parts) + f"""
+SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM d{k} JOIN kept USING (row) JOIN (SELECT c, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{k} GROUP BY c) USING (c)
+"""
+
+
+ORACLE_SQL["op11_ball_kmeans"] = _kmeans_sql()
+
+ORACLE_SQL["op13_infill"] = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+         CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM cut),
+formed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (
+  SELECT doc_id, n, form, text, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM formed)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
