@@ -31,13 +31,6 @@ OPERATORS["outcome_shares"] = """
 WITH solid AS (SELECT * FROM {questions} WHERE mq % 2 = 1)
 SELECT paper, co, round(100e0 * sum(marks) / sum(sum(marks)) OVER (PARTITION BY paper), 2) AS share FROM solid GROUP BY paper, co"""
 
-OPERATORS["repeated_questions"] = """
-WITH w AS (SELECT paper, mq, part, array_distinct(filter(split_words(lower(coalesce(text, ''))), x -> x <> '')) AS ws FROM {questions}),
-n AS (SELECT paper, mq, part, size(ws) AS n, explode(ws) AS w FROM w),
-pairs AS (SELECT a.paper, a.mq AS mq_a, a.part AS part_a, b.mq AS mq_b, b.part AS part_b, count(*) AS met, max(greatest(a.n, b.n)) AS most
-  FROM n a JOIN n b ON a.paper = b.paper AND a.w = b.w AND (a.mq < b.mq OR (a.mq = b.mq AND a.part < b.part)) GROUP BY a.paper, a.mq, a.part, b.mq, b.part)
-SELECT paper, mq_a, part_a, mq_b, part_b, round(CAST(met AS DOUBLE) / most, 4) AS overlap FROM pairs WHERE CAST(met AS DOUBLE) / most > 80e-2"""
-
 OPERATORS["chief_checks"] = """
 WITH v AS (SELECT paper, verb, count(*) AS n, sum(count(*)) OVER (PARTITION BY paper) AS total FROM {questions} GROUP BY paper, verb),
 f AS (SELECT paper, count_if(n * 2 > total AND total >= 4) AS warnings FROM v GROUP BY paper),

@@ -272,14 +272,6 @@ d AS (SELECT DISTINCT id, s FROM (SELECT id, explode(SHINGLES) AS s FROM (SELECT
 m AS (SELECT i.id AS item, d.id AS doc, count(*) AS met FROM i JOIN d ON i.s = d.s GROUP BY i.id, d.id)
 SELECT m.item, m.doc, round(m.met / CAST(n.n AS DOUBLE), 4) AS share FROM m JOIN n ON m.item = n.id WHERE m.met * 2 >= n.n""".replace("SHINGLES", "<<shingles ws 5>>")
 
-#: names, known: id, text. The known name of the largest Jaccard similarity of words, from 0.55 up; ties to the smaller id.
-OPERATORS["best_match"] = r"""
-WITH a AS (SELECT id, array_distinct(filter(regexp_extract_all(lower(coalesce(text, '')), r'[\p{L}\p{N}_]+', 0), w -> length(w) > 2)) AS ws FROM {names}),
-b AS (SELECT id, array_distinct(filter(regexp_extract_all(lower(coalesce(text, '')), r'[\p{L}\p{N}_]+', 0), w -> length(w) > 2)) AS ws FROM {known}),
-x AS (SELECT id, size(ws) AS n, explode(ws) AS w FROM a), y AS (SELECT id, size(ws) AS n, explode(ws) AS w FROM b),
-m AS (SELECT x.id, y.id AS match, count(*) / CAST(max(x.n + y.n) - count(*) AS DOUBLE) AS similarity FROM x JOIN y ON x.w = y.w GROUP BY x.id, y.id)
-SELECT id, match, round(similarity, 4) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, match) AS rn FROM m) z WHERE rn = 1 AND similarity >= 55e-2"""
-
 OPERATORS["novelty"] = r"""
 WITH a AS (SELECT id, seq, array_distinct(regexp_extract_all(lower(coalesce(text, '')), r'[^\s]+', 0)) AS ws, grp FROM {questions}), w AS (SELECT id, seq, grp, size(ws) AS n, explode(ws) AS w FROM a),
 m AS (SELECT x.id, y.id AS past, count(*) / CAST(max(x.n) AS DOUBLE) AS share FROM w x JOIN w y ON x.grp = y.grp AND x.w = y.w AND y.seq < x.seq GROUP BY x.id, y.id), b AS (SELECT id, max(share) AS most FROM m GROUP BY id)

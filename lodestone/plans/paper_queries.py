@@ -7,7 +7,6 @@ from ..operators import dialect, papers
 _Q = """SELECT l_orderkey AS paper, CAST(l_linenumber AS INT) AS mq, CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS INT) AS part,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS place, CAST(l_quantity AS INT) AS marks, CAST(l_suppkey % 6 + 1 AS INT) AS level,
   CAST(l_partkey % 5 + 1 AS INT) AS co, l_returnflag AS verb, l_linestatus AS kind FROM {lineitem}"""
-_TURNS = "SELECT conv_id AS paper, CAST(turn AS INT) AS mq, 1 AS part, text FROM {conversations} UNION ALL SELECT conv_id, CAST(turn AS INT), 2, 'And ' || text FROM {conversations} WHERE turn % 3 = 0"
 _TARGET = "SELECT * FROM (VALUES ('O', 6e-1), ('F', 3e-1), ('X', 1e-1)) AS t(kind, share)"
 _CONCEPTS = """SELECT p_name AS name, p_name AS definition, p_type || ' ' || p_name || ' ' || p_type || ' ' || p_type AS explanation, p_partkey % 2 = 0 AS in_syllabus, p_partkey % 7 = 0 AS in_outcome, CAST(p_size % 5 AS INT) AS books, CAST(p_partkey % 40 AS INT) AS bank,
   CAST(p_partkey % 23 AS INT) AS papers, p_partkey % 3 = 0 AS notes, p_partkey % 11 <> 0 AS defined, p_type LIKE '%STEEL%' AS diagram, CAST(1 + p_partkey % 2 AS INT) AS modules, CAST(p_partkey % 6 + 1 AS INT) AS level FROM {part}"""
@@ -28,7 +27,6 @@ USES = {
     "paper_or_parity_enforced": ("or_parity_enforced", {"questions": _Q}),
     "paper_level_shares": ("level_shares", {"questions": _Q}),
     "paper_outcome_shares": ("outcome_shares", {"questions": _Q}),
-    "paper_repeated_questions": ("repeated_questions", {"questions": _TURNS}),
     "paper_chief_checks": ("chief_checks", {"questions": _Q}),
     "paper_coverage_score": ("coverage_score", {"questions": _Q, "target": _TARGET}),
     "paper_cognitive_balance": ("cognitive_balance", {"questions": _Q, "target": _TARGET}),

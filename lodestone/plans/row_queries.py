@@ -49,7 +49,6 @@ USES = {
     "doc_paragraph_questions": ("paragraph_questions", {"docs": _MARKED}),
     "answer_quality": ("answer_quality", {"answers": "SELECT doc_id AS id, coalesce(text, '') AS text, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 50) ELSE 'none of it' END AS definition, CASE WHEN doc_id % 3 = 0 THEN substr(text, 9, 30) ELSE '' END AS point, CASE WHEN doc_id % 5 = 0 THEN substr(text, 3, 4) ELSE '~' END AS application, '' AS algorithm, doc_id % 7 = 0 AS needs_figure FROM {documents}"}),
     "benchmark_contamination": ("contamination", {"items": "SELECT item_id AS id, text FROM {benchmark}", "docs": _DOCS}),
-    "name_best_match": ("best_match", {"names": "SELECT p_partkey AS id, p_name AS text FROM {part} WHERE p_size <= 10", "known": "SELECT p_partkey AS id, p_name AS text FROM {part} WHERE p_size > 25"}),
     "turn_novelty": ("novelty", {"questions": "SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS id, conv_id AS grp, turn AS seq, text FROM {conversations}"}),
     "topic_samples": ("topic_samples", {"topics": "SELECT p_type AS topic, max(p_size) > 40 AS has_figure FROM {part} GROUP BY p_type"}),
     "question_plan": ("question_plan", {"modules": "SELECT p_brand AS subject, p_type AS module, count(*) AS chunks FROM {part} GROUP BY p_brand, p_type"}),

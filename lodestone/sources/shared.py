@@ -23,7 +23,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: the plan is cut and what follows survives lost executors."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made._lodestone_path = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing will read again."""
+    for df in tables:
+        spark, path = df.sparkSession, df._lodestone_path
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def children(spark: SparkSession, path: str) -> list[str]:

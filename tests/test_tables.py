@@ -45,9 +45,7 @@ def test_clean_lines_and_keywords(spark):
     assert got == [(1, "graph,nodes,colour")]
 
 
-def test_contamination_and_best_match(spark):
+def test_contamination(spark):
     words = "one two three four five six seven"
     got = run(spark, texts.OPERATORS["contamination"], items=("id long, text string", [(1, words)]), docs=("id long, text string", [(7, "x one two three four five six y"), (8, "one two"), (9, None)]))
     assert got == [(1, 7, 0.6667)]
-    got = run(spark, texts.OPERATORS["best_match"], names=("id long, text string", [(1, "binary search tree"), (2, "queue")]), known=("id long, text string", [(5, "the binary search tree"), (6, "search tree"), (7, "stack")]))
-    assert got == [(1, 5, 0.75)]
