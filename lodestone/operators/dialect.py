@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 _DUCK = {
     "regexp_like(": "regexp_matches(", "regexp_sub(": "regexp_replace(", "size(": "len(", "filter(": "list_filter(", "transform(": "list_transform(",
     "array_distinct(": "list_distinct(", "array_contains(": "list_contains(", "array_intersect(": "list_intersect(", "array_join(": "array_to_string(",
-    "try_element_at(": "list_extract(", "startswith(": "starts_with(", "endswith(": "ends_with(", "collect_list(": "list(", "sort_array(": "list_sort(", "bround(": "round_even(",
+    "try_element_at(": "list_extract(", "startswith(": "starts_with(", "endswith(": "ends_with(", "collect_list(": "list(", "collect_set(": "list(DISTINCT ", "sort_array(": "list_sort(", "bround(": "round_even(",
     "array(": "list_value(", "<<nl>>": "chr(10)", "explode(": "unnest(", "sequence(": "generate_series(",
 }
 _NAME = re.compile("|".join(rf"(?<![\w]){re.escape(k)}" for k in sorted(_DUCK, key=len, reverse=True)))

@@ -55,14 +55,14 @@ OPERATORS["preferred_marks"] = """
 SELECT verb, marks, n, CAST(rn AS INT) AS place FROM (SELECT verb, marks, count(*) AS n, row_number() OVER (PARTITION BY verb ORDER BY count(*) DESC, marks) AS rn FROM {questions} GROUP BY verb, marks) x WHERE rn <= 5"""
 
 OPERATORS["pattern_upsert"] = """
-SELECT verb, marks, level, count(*) AS frequency, array_join(sort_array(array_distinct(collect_list(kind))), ',') AS kinds FROM {questions} GROUP BY verb, marks, level"""
+SELECT verb, marks, level, count(*) AS frequency, array_join(sort_array(collect_set(kind)), ',') AS kinds FROM {questions} GROUP BY verb, marks, level"""
 
 OPERATORS["component_marks"] = """
 SELECT paper, mq, part, round(marks * CAST(level AS DOUBLE) / sum(level) OVER (PARTITION BY paper, mq), 1) AS share FROM {questions}"""
 
 OPERATORS["module_coverage"] = """
 SELECT m.module, count(*) AS topics, count(c.name) AS covered, round(count(c.name) / CAST(count(*) AS DOUBLE), 4) AS ratio, round(avg(c.confidence), 6) AS confidence, max(c.level) AS highest,
-  array_join(sort_array(collect_list(CASE WHEN c.name IS NULL THEN m.topic END)), '|') AS missing FROM {topics} m LEFT JOIN {concepts} c ON lower(m.topic) = lower(c.name) GROUP BY m.module"""
+  coalesce(array_join(sort_array(collect_list(CASE WHEN c.name IS NULL THEN m.topic END)), '|'), '') AS missing FROM {topics} m LEFT JOIN {concepts} c ON lower(m.topic) = lower(c.name) GROUP BY m.module"""
 
 # -- concepts --------------------------------------------------------------------------------
 #: concepts: name, in_syllabus, in_outcome, books, bank, papers, notes, defined, diagram, modules, level
@@ -111,7 +111,7 @@ SELECT run, CASE WHEN count_if(verdict = 'VIOLATED') > 0 THEN 'VIOLATED' WHEN co
 
 OPERATORS["component_confidence"] = """
 WITH w AS (SELECT run, sum(weight * confidence) / sum(weight) AS c, min(CASE WHEN critical THEN confidence END) AS least_critical FROM {parts} GROUP BY run)
-SELECT run, round(CASE WHEN least_critical < 7e-1 THEN least(c, least_critical) ELSE c END, 6) AS overall FROM w"""
+SELECT run, round(round(CASE WHEN least_critical < 7e-1 THEN least(c, least_critical) ELSE c END, 9), 6) AS overall FROM w"""
 
 OPERATORS["flag_rates"] = """
 SELECT source, count(*) AS n, round(avg(CASE WHEN flagged THEN 1e0 ELSE 0e0 END), 3) AS rate FROM {rows} GROUP BY source"""
@@ -219,7 +219,7 @@ OPERATORS["guardrails"] = """
 SELECT id, copied <= 8e-1 AS original, banked <= 75e-2 AS fresh, copied <= 8e-1 AND banked <= 75e-2 AND faithful AS passed FROM {rows}"""
 
 OPERATORS["inverted_index"] = """
-SELECT topic, count(*) AS n, array_join(sort_array(collect_list(id)), ',') AS ids FROM {items} GROUP BY topic"""
+SELECT topic, id, row_number() OVER (PARTITION BY topic ORDER BY id) AS place FROM (SELECT DISTINCT topic, id FROM {items}) x"""
 
 OPERATORS["answer_coverage"] = """
 SELECT count(*) AS concepts, round(avg(CASE WHEN a.concept IS NULL THEN 0e0 ELSE 1e0 END), 4) AS coverage, round(avg(a.quality), 4) AS quality FROM {concepts} c LEFT JOIN {answers} a ON c.concept = a.concept"""

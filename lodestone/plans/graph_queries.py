@@ -12,8 +12,8 @@ ORACLE_SQL: dict[str, str] = {}
 #: A tree (each customer needs the one with a third of its number), and the same with ways back that close cycles.
 TREE = "SELECT c_custkey AS src, CAST(floor(c_custkey / 3) AS BIGINT) AS dst FROM {customer} WHERE c_custkey >= 3"
 LOOPS = TREE + " UNION ALL SELECT CAST(floor(c_custkey / 3) AS BIGINT) AS src, c_custkey AS dst FROM {customer} WHERE c_custkey >= 3 AND c_custkey % 50 = 0"
-#: A chain of 200 parts, longer than any fixed depth would follow.
-CHAIN = "SELECT p_partkey AS src, p_partkey + 1 AS dst FROM {part} WHERE p_partkey < 200"
+#: Chains: each part needs the next one of its brand and type.
+CHAIN = "SELECT src, dst FROM (SELECT p_partkey AS src, lead(p_partkey) OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS dst FROM {part}) x WHERE dst IS NOT NULL"
 
 
 def _edges(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:

@@ -34,7 +34,7 @@ USES = {
     "examiner_preferred_marks": ("preferred_marks", {"questions": _Q}),
     "examiner_patterns": ("pattern_upsert", {"questions": _Q}),
     "paper_component_marks": ("component_marks", {"questions": _Q}),
-    "module_coverage": ("module_coverage", {"topics": "SELECT DISTINCT p_brand AS module, p_type AS topic FROM {part}", "concepts": "SELECT p_type AS name, min(p_retailprice) / 2000e0 AS confidence, max(CAST(p_size % 6 + 1 AS INT)) AS level FROM {part} WHERE p_size > 40 GROUP BY p_type"}),
+    "module_coverage": ("module_coverage", {"topics": "SELECT DISTINCT p_brand AS module, p_name AS topic FROM {part}", "concepts": "SELECT p_name AS name, min(p_retailprice) / 2000e0 AS confidence, max(CAST(p_size % 6 + 1 AS INT)) AS level FROM {part} GROUP BY p_name HAVING min(p_partkey) % 3 > 0"}),
     "evidence_confidence": ("evidence_confidence", {"concepts": _CONCEPTS}),
     "importance_score": ("importance_score", {"concepts": _CONCEPTS}),
     "understanding_scores": ("understanding_scores", {"concepts": _CONCEPTS}),
@@ -58,7 +58,7 @@ USES = {
     "toc_ranges": ("toc_ranges", {"entries": "SELECT DISTINCT l_orderkey AS doc, 'part ' || CAST(l_linenumber AS STRING) AS title, CAST(l_linenumber * 2 AS INT) AS page FROM {lineitem} WHERE l_linenumber % 2 = 1", "pages": "SELECT l_orderkey AS doc, CAST(l_linenumber * 2 + l_suppkey % 2 AS INT) AS page FROM {lineitem}"}),
     "page_offset": ("page_offset", {"pages": _PAGES}),
     "nearest_heading": ("nearest_above", {"blocks": "SELECT user_id AS doc, event_id AS id, CASE WHEN event_type = 'view' THEN 'head' ELSE 'text' END AS kind FROM {events}"}),
-    "native_over_ocr": ("rows_without_source", {"ocr": "SELECT o_custkey AS page, o_orderkey AS id FROM {orders} WHERE o_orderstatus = 'O'", "native": "SELECT o_custkey AS page, o_orderkey AS id FROM {orders} WHERE o_orderstatus = 'F'"}),
+    "native_over_ocr": ("rows_without_source", {"ocr": "SELECT o_custkey AS page, o_orderkey AS id FROM {orders} WHERE o_orderstatus <> 'F'", "native": "SELECT o_custkey AS page, o_orderkey AS id FROM {orders} WHERE o_orderstatus = 'F'"}),
     "topic_index": ("inverted_index", {"items": _ITEMS}),
     "answer_coverage": ("answer_coverage", {"concepts": "SELECT DISTINCT p_type AS concept FROM {part}", "answers": "SELECT p_type AS concept, avg(p_size / 50e0) AS quality FROM {part} WHERE p_size > 45 GROUP BY p_type"}),
     "training_readiness": ("readiness", {"files": _FILES}),

@@ -36,7 +36,7 @@ USES = {
     "doc_block_types": ("block_types", {"docs": _MARKED}),
     "page_kinds": ("page_kinds", {"pages": f"SELECT id, CAST(id % 60 AS INT) AS page, text FROM ({_MARKED}) m"}),
     "doc_noise_verdicts": ("noise_verdicts", {"docs": _DOCS}),
-    "concept_verdicts": ("concept_verdicts", {"concepts": "SELECT doc_id AS id, substr(text, 1, 20) AS name, CASE WHEN doc_id % 3 = 0 THEN '' ELSE substr(text, 1, 60) END AS definition, text FROM {documents}"}),
+    "concept_verdicts": ("concept_verdicts", {"concepts": "SELECT doc_id AS id, regexp_extract(text, r'^[^\n]*', 0) AS name, CASE WHEN doc_id % 3 = 0 THEN '' ELSE regexp_extract(text, r'\n([^\n]*)', 1) END AS definition, text FROM {documents}"}),
     "question_critic": ("critic", {"asked": _ASKED}),
     "marks_figure_gates": ("marks_gate", {"asked": _ASKED}),
     "final_audit": ("final_audit", {"gates": "SELECT l_orderkey AS id, CASE l_linenumber % 3 WHEN 0 THEN 'semantic' WHEN 1 THEN 'grounding' ELSE 'marks' END AS gate, 1e0 - l_discount * 5 AS score, l_discount < 8e-2 AS passed FROM {lineitem}"}),
@@ -47,7 +47,7 @@ USES = {
     "doc_figure_types": ("figure_types", {"docs": _MARKED}),
     "doc_chunk_sizes": ("chunk_sizes", {"docs": _DOCS}),
     "doc_paragraph_questions": ("paragraph_questions", {"docs": _MARKED}),
-    "answer_quality": ("answer_quality", {"answers": "SELECT doc_id AS id, coalesce(text, '') AS text, CASE WHEN doc_id % 2 = 0 THEN substr(text, 1, 50) ELSE 'none of it' END AS definition, CASE WHEN doc_id % 3 = 0 THEN substr(text, 9, 30) ELSE '' END AS point, CASE WHEN doc_id % 5 = 0 THEN substr(text, 3, 4) ELSE '~' END AS application, '' AS algorithm, doc_id % 7 = 0 AS needs_figure FROM {documents}"}),
+    "answer_quality": ("answer_quality", {"answers": "SELECT doc_id AS id, coalesce(text, '') AS text, CASE WHEN doc_id % 2 = 0 THEN regexp_extract(text, r'^[^\n]*', 0) ELSE 'none of it' END AS definition, CASE WHEN doc_id % 3 = 0 THEN regexp_extract(text, r'\n([^\n]*)', 1) ELSE '' END AS point, CASE WHEN doc_id % 5 = 0 THEN regexp_extract(text, r'[^\n]*$', 0) ELSE '~' END AS application, '' AS algorithm, doc_id % 7 = 0 AS needs_figure FROM {documents}"}),
     "benchmark_contamination": ("contamination", {"items": "SELECT item_id AS id, text FROM {benchmark}", "docs": _DOCS}),
     "turn_novelty": ("novelty", {"questions": "SELECT CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) AS id, conv_id AS grp, turn AS seq, text FROM {conversations}"}),
     "topic_samples": ("topic_samples", {"topics": "SELECT p_type AS topic, max(p_size) > 40 AS has_figure FROM {part} GROUP BY p_type"}),

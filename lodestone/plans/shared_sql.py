@@ -194,10 +194,10 @@ SELECT n_name, c_custkey, round(total, 2) AS total FROM (
   FROM {orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey JOIN {nation} n ON c.c_nationkey = n.n_nationkey GROUP BY n.n_name, c.c_custkey) x WHERE rn <= 3"""
 
 SQL["term_set_difference"] = """
-SELECT p_type AS term FROM {part} WHERE p_size > 25 EXCEPT SELECT p_type AS term FROM {part} WHERE p_size <= 10"""
+SELECT p_name || ' ' || p_brand AS term FROM {part} WHERE p_size > 25 EXCEPT SELECT p_name || ' ' || p_brand AS term FROM {part} WHERE p_size <= 25"""
 
 SQL["term_set_common"] = """
-SELECT p_brand AS term FROM {part} WHERE p_size > 25 INTERSECT SELECT p_brand AS term FROM {part} WHERE p_size <= 10"""
+SELECT p_name || ' ' || p_brand AS term FROM {part} WHERE p_size > 25 INTERSECT SELECT p_name || ' ' || p_brand AS term FROM {part} WHERE p_size <= 25"""
 
 SQL["health_ledger"] = """
 WITH costs AS (SELECT * FROM (VALUES ('error', 15), ('view', 1)) AS t(kind, cost))

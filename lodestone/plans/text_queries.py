@@ -267,10 +267,10 @@ def manifest_diff(spark, sf_dir):
     return dedup.manifest_diff(old, new, "doc_id", "h")
 
 
-@_query("SELECT doc_id, 'existing' AS origin FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'new' AS origin FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0")
+@_query("SELECT doc_id, 'existing' AS origin FROM documents WHERE doc_id % 3 <> 1 UNION ALL SELECT doc_id, 'new' AS origin FROM documents WHERE doc_id % 3 = 1")
 def store_merge_existing_wins(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents").select("doc_id")
-    existing, new = docs.where("doc_id % 3 = 0").withColumn("origin", F.lit("existing")), docs.where("doc_id % 2 = 0").withColumn("origin", F.lit("new"))
+    existing, new = docs.where("doc_id % 3 <> 1").withColumn("origin", F.lit("existing")), docs.where("doc_id % 3 <> 2").withColumn("origin", F.lit("new"))
     return dedup.merge_existing_wins(existing, new, "doc_id")
 
 

@@ -46,3 +46,13 @@ def test_cycles_and_repeats(spark):
 
 def test_empty(spark):
     assert graph.closure(frame(spark, [])).count() == 0 and graph.layers(frame(spark, [])).count() == 0
+
+
+def test_parents_by_pointers(spark):
+    chain = [(i, i + 1) for i in range(100_000)]
+    got = {r["node"]: (r["root"], r["depth"]) for r in graph.subsumed(spark.createDataFrame(chain, "src long, dst long")).collect()}
+    assert len(got) == 100_000 and got[0] == (100_000, 100_000) and got[99_999] == (100_000, 1)
+    odd = [(1, 2), (2, 3), (3, 1), (4, 1), (5, 6), (None, 7), (8, None), (9, 9), (10, 12), (10, 11)]
+    got = {r["node"]: (r["root"], r["depth"]) for r in graph.subsumed(spark.createDataFrame(odd, "src long, dst long")).collect()}
+    assert got == {1: (None, None), 2: (None, None), 3: (None, None), 4: (None, None), 5: (6, 1), 9: (None, None), 10: (11, 1)}
+    assert graph.subsumed(spark.createDataFrame([], "src long, dst long")).collect() == []

@@ -1,4 +1,4 @@
-"""Every query with SQL, against DuckDB on the smallest tables."""
+"""Every query with SQL, against DuckDB on whole tables."""
 
 import math
 import os
@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-DATA = "/root/testdata/sf0.001"
+DATA = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 NAMES = sorted(set(entry.queries()) & set(entry.oracle_sql()))
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="tables are missing")
@@ -23,8 +23,10 @@ def duck():
 
 
 def cell(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
-        return ""
+    if v is None:
+        return "\0null"
+    if isinstance(v, float) and math.isnan(v):
+        return "\0nan"
     return f"{float(v):.8g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
