@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import contain, similarity
+from ..operators import contain, figures, folds, similarity
+from ..sources.shared import work_path
+from ..streaming import events as E
+from ..streaming import learn
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -98,7 +101,54 @@ def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id.conv_id", "id.turn", "rule", "term")
 
 
-QUERIES = {f.__name__: f for f in (doc_near_dup_jaccard, name_best_match, paper_repeated_questions, turn_sequential_dedup, topic_first_concept, outcome_terms, reference_lookup, rule_violations)}
+def figure_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's customer is the module: its orders are chunks over the pages of the year, its lines figures."""
+    orders, lines = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "lineitem")
+    page = lambda day: F.floor(F.dayofyear(day) / 4).cast("int")
+    start = page(F.col("o_orderdate"))
+    chunks = orders.select(F.col("o_custkey").alias("module"), F.col("o_orderkey").alias("chunk"), start.alias("page_start"), (start + F.col("o_orderkey") % 6).cast("int").alias("page_end"), F.concat_ws(" ", "o_orderpriority", F.lit("figure order"), F.when(F.col("o_orderkey") % 2 == 0, "shipped late")).alias("text"))
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    figs = lines.withColumn("n", number).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    figs = figs.select(F.col("o_custkey").alias("module"), (F.col("l_orderkey") * 100 + F.col("n")).alias("figure"), page(F.col("l_shipdate")).alias("page"), (F.col("l_discount") * 10).alias("provenance"), F.when(F.col("l_returnflag") == "R", "shipped late figure").otherwise("urgent order").alias("text"))
+    return figures.assign(figures.scores(figs, chunks))
+
+
+def ema_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.moving_average(_read(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value")
+
+
+def edge_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _read(spark, sf_dir, "lineitem").select("l_suppkey", "l_linenumber", "l_shipdate", "l_orderkey", "l_partkey", (F.col("l_quantity") / 50).alias("s"))
+    made = folds.edge_strength(lines, ["l_suppkey", "l_linenumber"], ["l_shipdate", "l_orderkey", "l_partkey"], "s")
+    return made.select("l_suppkey", "l_linenumber", "updates", F.round("strength", 9).alias("strength"), "learned")
+
+
+def recommended_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _read(spark, sf_dir, "lineitem").withColumn("marks", F.col("l_quantity").cast("int"))
+    return folds.recommended_levels(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "marks", [5, 10, 15, 10, 8, 2])
+
+
+def balanced_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _read(spark, sf_dir, "lineitem").withColumn("preferred", (F.col("l_suppkey") % 6 + 1).cast("int"))
+    return folds.balanced_levels(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "preferred")
+
+
+def stream_learned_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents come in several files, one a batch; their lines are the objects."""
+    base = work_path(spark, "learn")
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.md5(F.coalesce("text", F.lit(""))).alias("hash"), F.lit(0).alias("modified"), "text")
+    docs.repartition(4, "path").write.parquet(f"{base}/in")
+
+    def parse(files: DataFrame) -> DataFrame:
+        return files.select(F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line")).where("line <> ''").select(F.md5("line").alias("object_id"), F.length("line").alias("n"))
+
+    learner = learn.Learner(base, parse, enough=1)
+    learner.run(E.file_stream(spark, f"{base}/in", 1))
+    made = learner.table(spark, "objects")
+    return made.select("object_id", F.col("n").cast("long").alias("n")) if made is not None else spark.createDataFrame([], "object_id string, n long")
+
+
+QUERIES = {f.__name__: f for f in (doc_near_dup_jaccard, name_best_match, paper_repeated_questions, turn_sequential_dedup, topic_first_concept, outcome_terms, reference_lookup, rule_violations, figure_chunks, ema_steps, edge_strength, recommended_levels, balanced_levels, stream_learned_objects)}
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -167,3 +217,59 @@ bad AS (SELECT conv_id, turn, rule, term FROM w JOIN f ON CASE WHEN rule % 2 = 0
 live AS (SELECT DISTINCT conv_id, turn, rule FROM w JOIN trig ON CASE WHEN rule % 2 = 0 THEN list_contains(es, term) OR list_contains(ns, term) ELSE contains(e, term) OR contains(name, term) END)
 SELECT bad.* FROM bad LEFT JOIN live USING (conv_id, turn, rule) WHERE rule % 3 = 0 OR live.conv_id IS NOT NULL
 """
+
+_FOLD_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+
+ORACLE_SQL["figure_chunks"] = r"""
+WITH RECURSIVE c AS (SELECT o_custkey AS module, o_orderkey AS chunk, dayofyear(o_orderdate) // 4 AS s, dayofyear(o_orderdate) // 4 + o_orderkey % 6 AS e,
+    list_distinct(list_filter(regexp_split_to_array(lower(concat_ws(' ', o_orderpriority, 'figure order', CASE WHEN o_orderkey % 2 = 0 THEN 'shipped late' END)), '[^\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[a-z]{4,}'))) AS w FROM orders),
+f AS (SELECT o_custkey AS module, l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS figure, dayofyear(l_shipdate) // 4 AS page, l_discount * 10 AS prov,
+    CASE WHEN l_returnflag = 'R' THEN ['shipped', 'late', 'figure'] ELSE ['urgent', 'order'] END AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+p AS (SELECT f.module, figure, prov, chunk, CASE WHEN page BETWEEN s AND e THEN 0.6::DOUBLE ELSE greatest(0::DOUBLE, 0.4::DOUBLE - least(abs(page - s), abs(page - e)) * 0.08::DOUBLE) END AS base,
+    len(list_intersect(f.w, c.w)) / CAST(greatest(len(f.w), len(c.w)) AS DOUBLE) AS kw FROM f JOIN c ON f.module = c.module AND page BETWEEN s - 3 AND e + 3),
+v AS (SELECT module, figure, prov, chunk, base + CASE WHEN base > 0 AND kw >= 0.12::DOUBLE THEN kw * 0.3::DOUBLE ELSE 0 END + prov * 0.1::DOUBLE AS score FROM p),
+n AS (SELECT module, figure, list({'c': chunk, 's': score}) AS offers, row_number() OVER (PARTITION BY module ORDER BY max(prov) DESC, figure) AS k FROM v WHERE score > 0 GROUP BY module, figure),
+go AS (
+  SELECT module, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS figure, CAST(NULL AS STRUCT(v DOUBLE, c BIGINT)) AS best, CAST([] AS BIGINT[]) AS taken FROM n WHERE k = 1
+  UNION ALL
+  SELECT n.module, n.k, n.figure, x.best, list_append(go.taken, x.best.c)
+  FROM go JOIN n ON n.module = go.module AND n.k = go.k + 1,
+  LATERAL (SELECT list_sort(list_transform(n.offers, lambda o: {'v': -round(CASE WHEN len(list_filter(go.taken, lambda t: t = o.c)) >= 2 THEN o.s * 0.3::DOUBLE ELSE o.s END, 4), 'c': o.c}))[1] AS best) x)
+SELECT module, figure, best.c AS chunk, -best.v AS score FROM go WHERE figure IS NOT NULL
+"""
+
+ORACLE_SQL["ema_steps"] = """
+WITH l AS (SELECT user_id, count(*) AS updates, list(CAST(round(CAST(value AS DECIMAL(18,6)) * 10000) AS BIGINT) ORDER BY ts, event_id) AS vs FROM events WHERE value IS NOT NULL GROUP BY user_id)
+SELECT user_id, updates, list_reduce(list_prepend(0, vs), lambda s, v: (7 * s + 3 * v + 5) // 10) / 10000.0::DOUBLE AS average FROM l
+"""
+
+ORACLE_SQL["edge_strength"] = """
+WITH l AS (SELECT l_suppkey, l_linenumber, count(*) AS updates, list(l_quantity / 50 ORDER BY l_shipdate, l_orderkey, l_partkey, l_quantity) AS vs FROM lineitem GROUP BY l_suppkey, l_linenumber),
+s AS (SELECT *, list_reduce(vs, lambda s, v: least(1::DOUBLE, s * 0.7::DOUBLE + v * 0.3::DOUBLE)) AS strength FROM l)
+SELECT l_suppkey, l_linenumber, updates, round(strength, 9) AS strength, strength >= 0.7::DOUBLE AS learned FROM s
+"""
+
+ORACLE_SQL["recommended_levels"] = f"""
+WITH RECURSIVE n AS (SELECT *, CAST(l_quantity AS INT) AS marks, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_FOLD_ORDER}) AS k FROM lineitem),
+go AS (
+  SELECT l_orderkey, CAST(0 AS BIGINT) AS k, CAST(NULL AS INT) AS l_linenumber, CAST(NULL AS BIGINT) AS l_partkey, CAST(NULL AS BIGINT) AS l_suppkey, CAST(NULL AS DOUBLE) AS l_extendedprice, CAST(NULL AS INT) AS level, [5, 10, 15, 10, 8, 2] AS lack FROM n WHERE k = 1
+  UNION ALL
+  SELECT n.l_orderkey, n.k, n.l_linenumber, n.l_partkey, n.l_suppkey, n.l_extendedprice, x.level, list_transform(go.lack, lambda u, i: CASE WHEN i = x.level THEN u - n.marks ELSE u END)
+  FROM go JOIN n ON n.l_orderkey = go.l_orderkey AND n.k = go.k + 1, LATERAL (SELECT CAST(list_position(go.lack, list_max(go.lack)) AS INT) AS level) x)
+SELECT l_orderkey, {_FOLD_ORDER}, level FROM go WHERE level IS NOT NULL
+"""
+
+ORACLE_SQL["balanced_levels"] = f"""
+WITH RECURSIVE n AS (SELECT *, CAST(l_suppkey % 6 + 1 AS INT) AS want, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_FOLD_ORDER}) AS k FROM lineitem),
+go AS (
+  SELECT l_orderkey, CAST(0 AS BIGINT) AS k, CAST(NULL AS INT) AS l_linenumber, CAST(NULL AS BIGINT) AS l_partkey, CAST(NULL AS BIGINT) AS l_suppkey, CAST(NULL AS DOUBLE) AS l_extendedprice, CAST(NULL AS INT) AS level, [0, 0, 0, 0, 0, 0] AS used FROM n WHERE k = 1
+  UNION ALL
+  SELECT n.l_orderkey, n.k, n.l_linenumber, n.l_partkey, n.l_suppkey, n.l_extendedprice, x.level, list_transform(go.used, lambda u, i: CASE WHEN i = x.level THEN u + 1 ELSE u END)
+  FROM go JOIN n ON n.l_orderkey = go.l_orderkey AND n.k = go.k + 1,
+  LATERAL (SELECT CASE WHEN go.used[n.want] < 2 THEN n.want WHEN go.used[2] <= go.used[3] AND go.used[2] <= go.used[4] THEN 2 WHEN go.used[3] <= go.used[4] THEN 3 ELSE 4 END AS level) x)
+SELECT l_orderkey, {_FOLD_ORDER}, level FROM go WHERE level IS NOT NULL
+"""
+
+ORACLE_SQL["stream_learned_objects"] = """
+SELECT DISTINCT md5(line) AS object_id, length(line) AS n FROM (SELECT unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) WHERE line <> ''
+"""
