@@ -1,4 +1,4 @@
-"""Lexical, TF-IDF and vector retrieval as joins on tokens, or blockwise products."""
+"""Lexical and TF-IDF retrieval as joins on tokens, vector retrieval by a stored index."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources import vectors
+from ..sources.shared import work_path
 
 
 def token_table(df: DataFrame, key: str, text: str, longer_than: int = 2) -> DataFrame:
@@ -40,72 +42,8 @@ def tfidf(queries: DataFrame, docs: DataFrame, q: str, d: str, k: int = 3) -> Da
     return top_k(met, q, [F.desc("score"), F.asc(d)], k)
 
 
-#: Rows in a block of queries and in a block of the base: a task holds one product of the two.
-QUERY_BLOCK, BASE_BLOCK = 1024, 4096
-
-
-def common_width(df: DataFrame) -> int:
-    """The length that most vectors have; of several the smallest."""
-    first = df.where("embedding is not null").groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    return first["width"] if first else 0
-
-
-def _vector_blocks(df: DataFrame, rows: int, prefix: str, width: int) -> DataFrame:
-    """One row per block of vectors: ids, labels and unit vectors as bytes.
-
-    Vectors null, zero, of another width, or with null or non-finite components take no part.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    names = [f"{prefix}_ids", f"{prefix}_labels", f"{prefix}_vectors"]
-
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, rows):
-                part = b.slice(at, rows)
-                x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                ids, labels = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (ids, labels, x)], names=names)
-
-    e = F.col("embedding").cast("array<double>")
-    used = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(F.col("label").cast("long"), F.lit(-1)).alias("label"), e.alias("e"))
-    whole = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    used = used.where(F.col("vec_id").isNotNull() & (F.size("e") == width) & F.coalesce(whole, F.lit(False)) & F.exists("e", lambda x: x != 0))
-    return used.mapInArrow(run, ", ".join(f"{n} binary" for n in names))
-
-
-def vector_top(queries: DataFrame, base: DataFrame, k: int, order: list, keep=None) -> DataFrame:
-    """q_id, q_label, vec_id, label, sim (cosine, 5 places), rank of each query's k nearest rows other than itself.
-
-    A stated query set meets all rows in blocks: a task takes a block of queries and a block of the base and
-    passes on k rows a query, so neither side has to fit on the driver or in one task. keep(sim, label, q_label)
-    gives a boolean array of the pairs that count. This is exact search, its work queries times rows; the nearest-neighbour
-    operator of the training-data package has an index.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def run(batches):
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                q_ids, q_labels, ids, labels = (np.frombuffer(v, np.int64) for v in (row.q_ids, row.q_labels, row.b_ids, row.b_labels))
-                if not len(ids) or not len(q_ids):
-                    continue
-                q, x = np.frombuffer(row.q_vectors).reshape(len(q_ids), -1), np.frombuffer(row.b_vectors).reshape(len(ids), -1)
-                sim = np.round(q @ x.T, 5)
-                out = []
-                for j in range(len(q_ids)):
-                    use = ids != q_ids[j]
-                    if keep is not None:
-                        use &= keep(sim[j], labels, q_labels[j])
-                    at = np.flatnonzero(use)
-                    at = at[np.lexsort((ids[at], -sim[j][at]))[:k]]
-                    out.append(pd.DataFrame({"q_id": q_ids[j], "q_label": q_labels[j], "vec_id": ids[at], "label": labels[at], "sim": sim[j][at]}))
-                yield pd.concat(out)
-
-    width = common_width(base)
-    pairs = _vector_blocks(queries, QUERY_BLOCK, "q", width).crossJoin(_vector_blocks(base, BASE_BLOCK, "b", width))
-    found = pairs.mapInPandas(run, "q_id long, q_label long, vec_id long, label long, sim double")
-    return top_k(found, "q_id", order, k)
+def vector_top(queries: DataFrame, base: DataFrame, k: int, keep=None) -> DataFrame:
+    """q_id, q_label, vec_id, label, sim (cosine, 5 places), rank of each query's k nearest rows other than itself: exact, by a fresh index of base."""
+    path = work_path(base.sparkSession, "index")
+    vectors.build(base, path)
+    return vectors.search(queries, path, k, keep=keep)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import validated
+from ..sources import validated, vectors
+from ..sources.shared import work_path
+from .text_queries import PAIRS_SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -51,7 +53,15 @@ def validated_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("l_orderkey", F.array_join(F.array_sort("reasons"), ",").alias("reasons"))
 
 
-QUERIES = {f.__name__: f for f in (validated_documents, validated_papers)}
+def vector_index_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of the vectors with odd ids, to which the others are appended; its 5 nearest, from a similarity of 0.2 on."""
+    base, path = _read(spark, sf_dir, "embeddings"), work_path(spark, "index")
+    vectors.build(base.where("vec_id % 2 = 1"), path)
+    vectors.append(base.where("vec_id % 2 = 0"), path)
+    return vectors.search(base.where("vec_id % 50 = 0"), path, 5, at_least=0.2).select("q_id", "vec_id", "sim", "rank")
+
+
+QUERIES = {f.__name__: f for f in (validated_documents, validated_papers, vector_index_appended)}
 
 ORACLE_SQL = {
     "validated_documents": r"""
@@ -69,4 +79,5 @@ s AS (SELECT *, list_filter([CASE WHEN n < 2 THEN 'parts:minItems' END, CASE WHE
 t AS (SELECT *, list_filter([CASE WHEN nums <> range(1, n + 1) THEN 'letters follow each other' END, CASE WHEN l_orderkey % 5 = 0 AND marks > 1 THEN 'a choice has equal marks' END, CASE WHEN 2 * mid < n THEN 'half are of level 2 or 3' END], lambda x: x IS NOT NULL) AS broken FROM s)
 SELECT l_orderkey, coalesce(array_to_string(list_sort(CASE WHEN len(rs) > 0 THEN rs ELSE broken END), ','), '') AS reasons FROM t
 """,
+    "vector_index_appended": f"WITH {PAIRS_SQL} SELECT q_id, vec_id, sim, CAST(row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, vec_id) AS INT) AS rank FROM p WHERE sim >= 0.2 QUALIFY rank <= 5",
 }

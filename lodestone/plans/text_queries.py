@@ -239,7 +239,7 @@ p AS (SELECT q.vec_id AS q_id, q.label AS q_label, d.vec_id, d.label, round(list
 
 def _top(spark, sf_dir, k, keep=None):
     base = _read(spark, sf_dir, "embeddings")
-    return retrieve.vector_top(base.where("vec_id % 50 = 0"), base, k, [F.desc("sim"), F.asc("vec_id")], keep)
+    return retrieve.vector_top(base.where("vec_id % 50 = 0"), base, k, keep)
 
 
 @_query(f"WITH {PAIRS_SQL} SELECT q_id, vec_id, sim, CAST(row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, vec_id) AS INT) AS rank FROM p QUALIFY rank <= 5")
