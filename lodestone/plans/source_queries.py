@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import validated, vectors
+from ..sources import office, validated, vectors
 from ..sources.shared import work_path
+from ..streaming import events as E
+from ..streaming import reservoir
 from .text_queries import PAIRS_SQL
 
 
@@ -61,7 +63,46 @@ def vector_index_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search(base.where("vec_id % 50 = 0"), path, 5, at_least=0.2).select("q_id", "vec_id", "sim", "rank")
 
 
-QUERIES = {f.__name__: f for f in (validated_documents, validated_papers, vector_index_appended)}
+def _as_docx(text: str | None) -> bytes:
+    """A .docx with a paragraph a line, the first of them a heading."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    style = lambda i: "" if i else '<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>'
+    body = "".join(f"<w:p>{style(i)}<w:r><w:t>{escape(line)}</w:t></w:r></w:p>" for i, line in enumerate((text or "").split("\n")))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def office_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, made into Word files by Spark and read back: blocks by kind, words and what is said of the file."""
+    import pyarrow as pa
+
+    def write(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_as_docx(t) for t in b.column(1).to_pylist()], pa.binary())], names=["path", "content"])
+
+    docs = _read(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), "text")
+    made = office.blocks(docs.mapInArrow(write, "path string, content binary"))
+    counts = made.groupBy("path").agg(F.count_if(F.col("kind") == "heading").alias("headings"), F.count_if(F.col("kind") == "text").alias("paragraphs"))
+    each = office.documents(made).join(counts, "path")
+    return each.select(F.regexp_extract("path", r"\d+", 0).cast("long").alias("doc_id"), "headings", "paragraphs", "n_words", "tables", "confidence", "reason")
+
+
+def stream_replay_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events come in several files, one a batch; of each type 20 are kept."""
+    base = work_path(spark, "replay")
+    _read(spark, sf_dir, "events").select("event_id", "event_type", "user_id").repartition(3, "event_id").write.parquet(f"{base}/in")
+    buffer = reservoir.ReplayBuffer(f"{base}/buffer", ["event_type"], "event_id", 20)
+    buffer.run(E.file_stream(spark, f"{base}/in", 1))
+    made = buffer.read(spark)
+    return made if made is not None else spark.read.parquet(f"{base}/in")
+
+
+QUERIES = {f.__name__: f for f in (validated_documents, validated_papers, vector_index_appended, office_documents, stream_replay_buffer)}
 
 ORACLE_SQL = {
     "validated_documents": r"""
@@ -80,4 +121,10 @@ t AS (SELECT *, list_filter([CASE WHEN nums <> range(1, n + 1) THEN 'letters fol
 SELECT l_orderkey, coalesce(array_to_string(list_sort(CASE WHEN len(rs) > 0 THEN rs ELSE broken END), ','), '') AS reasons FROM t
 """,
     "vector_index_appended": f"WITH {PAIRS_SQL} SELECT q_id, vec_id, sim, CAST(row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, vec_id) AS INT) AS rank FROM p WHERE sim >= 0.2 QUALIFY rank <= 5",
+    "office_documents": r"""
+WITH l AS (SELECT doc_id, i, regexp_replace(ls[i], '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) AS r(i)),
+d AS (SELECT doc_id, count(*) FILTER (i = 1) AS headings, count(*) FILTER (i > 1) AS paragraphs, CAST(sum(len(regexp_extract_all(line, '\S+'))) AS BIGINT) AS n_words, CAST(sum(length(line) - length(replace(line, '|', ''))) AS BIGINT) AS tables FROM l WHERE line <> '' GROUP BY doc_id)
+SELECT *, CASE WHEN n_words > 200 THEN 0.85::DOUBLE ELSE 0.6::DOUBLE END AS confidence, CASE WHEN n_words < 20 THEN 'too few words' END AS reason FROM d
+""",
+    "stream_replay_buffer": "SELECT event_id, event_type, user_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('7:' || CAST(event_id AS VARCHAR))) <= 20",
 }
