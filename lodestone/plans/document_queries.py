@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import assembly, domain, pages
+from ..functions.text import CHUNK_VOCABULARY
+from ..operators import assembly, domain, pages, search
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -101,3 +102,46 @@ bad AS (
 u AS (SELECT conv_id, turn, list_sort(list(DISTINCT term)) AS terms FROM bad GROUP BY conv_id, turn)
 SELECT conv_id, turn, coalesce(array_to_string(terms, ','), '') AS unseen, terms IS NULL AS passed, CASE WHEN terms IS NULL THEN 1.0::DOUBLE ELSE round(greatest(0.2::DOUBLE, 1 - len(terms) * 0.25::DOUBLE), 2) END AS score FROM t LEFT JOIN u USING (conv_id, turn)
 """
+
+
+def retrieval_grounded_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as queries, every other one of a module; documents are chunks, their language the module."""
+    queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), "text", F.when(F.col("item_id") % 2 == 0, "en").alias("module"))
+    chunks = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("module"))
+    return search.grounded(queries, chunks, 3).select(F.col("q_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+def retrieval_concepts_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as queries, every seventh blank; documents are concepts named by their first line."""
+    queries = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.when(F.col("item_id") % 7 == 6, " ").otherwise(F.col("text")).alias("text"))
+    known = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.regexp_extract("text", r"^[^\n]*", 0).alias("name"), "text", (F.col("doc_id") % 11 / 10).alias("confidence"), F.col("lang").alias("kind"))
+    return search.concepts(queries, known, 5).select(F.col("q_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 3).alias("score"), "rank")
+
+
+QUERIES |= {f.__name__: f for f in (retrieval_grounded_topk, retrieval_concepts_topk)}
+
+_VOCABULARY = ", ".join(f"'{w}'" for w in dict.fromkeys(CHUNK_VOCABULARY))
+ORACLE_SQL["retrieval_grounded_topk"] = rf"""
+WITH q AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'en' END AS module, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}'))) AS ts FROM benchmark),
+d AS (SELECT doc_id, lang, lower(coalesce(text, '')) AS low, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}'))) AS ts FROM documents),
+s AS (SELECT doc_id, lang, ts, len(list_filter([{_VOCABULARY}], lambda w: contains(low, w))) AS hits, len(regexp_extract_all(low, '\S+')) AS n FROM d),
+t AS MATERIALIZED (SELECT doc_id, lang, ts, 0.3::DOUBLE * least(1::DOUBLE, hits / 8.0::DOUBLE) + 0.2::DOUBLE * CASE WHEN n BETWEEN 80 AND 400 THEN 1 WHEN n < 80 THEN n / 80.0::DOUBLE ELSE greatest(0.5::DOUBLE, 400.0::DOUBLE / n) END AS fixed FROM s),
+b AS (SELECT item_id, doc_id, module, lang, floor((0.5::DOUBLE * len(list_intersect(q.ts, t.ts)) / greatest(1, len(q.ts)) + fixed) * 10000 + 0.500001::DOUBLE) / 10000 AS base FROM q, t),
+r AS (SELECT item_id, doc_id, round(CASE WHEN module = lang THEN least(1::DOUBLE, base + 0.15::DOUBLE) WHEN module <> lang THEN base * 0.6::DOUBLE ELSE base END, 6) AS score FROM b)
+SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM r QUALIFY rank <= 3
+"""
+
+ORACLE_SQL["retrieval_concepts_topk"] = r"""
+WITH d AS (SELECT doc_id, lower(regexp_extract(coalesce(text, ''), '^[^\n]*')) AS name, doc_id % 11 / 10.0::DOUBLE AS conf, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS ws FROM documents),
+e AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS term FROM d), c AS MATERIALIZED (SELECT doc_id, term, count(*) / CAST(max(n) AS DOUBLE) AS tf FROM e GROUP BY doc_id, term),
+idf AS MATERIALIZED (SELECT term, ln(((SELECT count(*) FROM d) + 1) / CAST(count(*) + 1 AS DOUBLE)) + 1 AS idf FROM c GROUP BY term),
+q AS (SELECT item_id, CASE WHEN item_id % 7 = 6 THEN ' ' ELSE text END AS text FROM benchmark), qe AS (SELECT item_id, len(ws) AS n, unnest(ws) AS term FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS ws FROM q)),
+qw AS MATERIALIZED (SELECT item_id, term, count(*) / CAST(max(n) AS DOUBLE) * coalesce(max(idf), ln((SELECT count(*) FROM d) + 1)) AS w FROM qe LEFT JOIN idf USING (term) GROUP BY item_id, term),
+dw AS MATERIALIZED (SELECT doc_id, term, tf * idf AS w FROM c JOIN idf USING (term)),
+qn AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM qw GROUP BY item_id), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM dw GROUP BY doc_id),
+cos AS (SELECT item_id, doc_id, sum(qw.w * dw.w) / max(qn.norm * dn.norm) AS s FROM qw JOIN dw USING (term) JOIN qn USING (item_id) JOIN dn USING (doc_id) GROUP BY item_id, doc_id),
+r AS (SELECT q.item_id, d.doc_id, 0.7::DOUBLE * coalesce(s, 0) + 0.3::DOUBLE * conf AS x, conf, trim(q.text) = '' AS blank,
+  EXISTS (SELECT 1 FROM qw WHERE qw.item_id = q.item_id AND length(term) > 3 AND contains(name, term)) AS named FROM q CROSS JOIN d LEFT JOIN cos ON cos.item_id = q.item_id AND cos.doc_id = d.doc_id),
+f AS (SELECT item_id, doc_id, round(CASE WHEN blank THEN conf WHEN named THEN least(1::DOUBLE, x + 0.15::DOUBLE) ELSE x END, 9) AS score FROM r)
+SELECT item_id, doc_id, round(score, 3) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM f QUALIFY rank <= 5
+"""
