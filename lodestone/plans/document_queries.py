@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CHUNK_VOCABULARY
-from ..operators import assembly, domain, pages, search
+from ..operators import assembly, domain, packers, pages, questions, search
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -145,3 +145,44 @@ r AS (SELECT q.item_id, d.doc_id, 0.7::DOUBLE * coalesce(s, 0) + 0.3::DOUBLE * c
 f AS (SELECT item_id, doc_id, round(CASE WHEN blank THEN conf WHEN named THEN least(1::DOUBLE, x + 0.15::DOUBLE) ELSE x END, 9) AS score FROM r)
 SELECT item_id, doc_id, round(score, 3) AS score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM f QUALIFY rank <= 5
 """
+
+
+def _packed(spark: SparkSession, sf_dir: str, packs) -> DataFrame:
+    """Chunks of all documents; a line is a paragraph, as these texts have no blank lines."""
+    made = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(packs(F.col("text"))).alias("place", "chunk"))
+    return made.select("doc_id", "place", packers.words(F.col("chunk")).cast("long").alias("n_words"), F.md5("chunk").alias("chunk"))
+
+
+def doc_paragraph_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, lambda t: packers.paragraph_packs(t, at=r"\n"))
+
+
+def doc_concept_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, lambda t: packers.concept_packs(t, at=r"\n"))
+
+
+def doc_module_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir, lambda t: packers.module_packs(t, at=r"\n"))
+
+
+def parsed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = questions.parse(_read(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return made.select("doc_id", "place", "question_id", F.md5("question").alias("question"), "parser", "marks", "level", "kind", "difficulty")
+
+
+QUERIES |= {f.__name__: f for f in (doc_paragraph_packs, doc_concept_packs, doc_module_packs, parsed_questions)}
+
+ORACLE_SQL["doc_paragraph_packs"] = r"""
+WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents),
+l AS (SELECT doc_id, k, ps[k] AS t, len(regexp_extract_all(ps[k], '\S+')) AS n FROM p, unnest(range(1, len(ps) + 1)) AS r(k)),
+go AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS made, CAST([] AS VARCHAR[]) AS cur, CAST(0 AS BIGINT) AS n FROM p
+  UNION ALL
+  SELECT l.doc_id, l.k,
+    CASE WHEN l.n >= 80 THEN list_append(CASE WHEN go.n >= 80 THEN list_append(made, array_to_string(cur, chr(10))) ELSE made END, t) WHEN go.n + l.n >= 400 THEN list_append(made, array_to_string(list_append(cur, t), chr(10))) ELSE made END,
+    CASE WHEN l.n >= 80 THEN CASE WHEN go.n >= 80 THEN [] ELSE cur END WHEN go.n + l.n >= 400 THEN [] ELSE list_append(cur, t) END,
+    CASE WHEN l.n >= 80 THEN CASE WHEN go.n >= 80 THEN 0 ELSE go.n END WHEN go.n + l.n >= 400 THEN 0 ELSE go.n + l.n END
+  FROM go JOIN l ON l.doc_id = go.doc_id AND l.k = go.k + 1),
+e AS (SELECT doc_id, arg_max(CASE WHEN n >= 80 THEN list_append(made, array_to_string(cur, chr(10))) ELSE made END, k) AS cs FROM go GROUP BY doc_id)
+SELECT doc_id, CAST(i - 1 AS INT) AS place, len(regexp_extract_all(cs[i], '\S+')) AS n_words, md5(cs[i]) AS chunk FROM e, unnest(range(1, len(cs) + 1)) AS r(i)
+"""
