@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CHUNK_VOCABULARY
-from ..operators import assembly, domain, packers, pages, questions, search
+from ..operators import assembly, classify, domain, packers, pages, questions, search
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -186,3 +186,81 @@ go AS (
 e AS (SELECT doc_id, arg_max(CASE WHEN n >= 80 THEN list_append(made, array_to_string(cur, chr(10))) ELSE made END, k) AS cs FROM go GROUP BY doc_id)
 SELECT doc_id, CAST(i - 1 AS INT) AS place, len(regexp_extract_all(cs[i], '\S+')) AS n_words, md5(cs[i]) AS chunk FROM e, unnest(range(1, len(cs) + 1)) AS r(i)
 """
+
+
+def _signs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, some with a code at the end; five classes; items give each class words and, every third one, a phrase."""
+    code = F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit(" C"), F.col("doc_id") % 7)).otherwise("")
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.coalesce("text", F.lit("")), code).alias("text"), F.col("lang").alias("contents"), "source")
+    classes = _read(spark, sf_dir, "benchmark").select(F.concat(F.lit("C"), F.col("item_id") % 5).alias("class"), (F.col("item_id") % 5).cast("int").alias("place")).distinct()
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{4,}"), F.lit(0)), 1, 6)
+    phrase = F.when(F.col("item_id") % 3 == 0, F.array(F.regexp_extract(F.lower("text"), r"[\p{L}]+ [\p{L}]+", 0))).otherwise(F.array().cast("array<string>"))
+    terms = _read(spark, sf_dir, "benchmark").select(F.concat(F.lit("C"), F.col("item_id") % 5).alias("class"), F.explode(F.concat(words, phrase)).alias("term"))
+    return docs, classes, terms
+
+
+def subject_by_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, classes, terms = _signs(spark, sf_dir)
+    made = classify.subjects(docs, classes, terms, r"\bC[0-9]\b")
+    return made.select(F.col("id").alias("doc_id"), "subject", "confidence", "confirm", "second")
+
+
+def subject_by_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, classes, terms = _signs(spark, sf_dir)
+    return classify.voted(docs, classes, terms.distinct(), "none").withColumnRenamed("id", "doc_id")
+
+
+def material_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, classes, terms = _signs(spark, sf_dir)
+    weighed = terms.distinct().select("class", "term", (F.lit(0.1) + F.length("term") % 3 * 0.05).alias("weight"), F.lit(False).alias("in_name"))
+    named = classes.select("class", F.concat(F.lit("s"), F.col("place")).alias("term"), F.lit(0.5).alias("weight"), F.lit(True).alias("in_name"))
+    return classify.materials(docs.withColumnRenamed("source", "name"), classes, weighed.union(named)).withColumnRenamed("id", "doc_id")
+
+
+KINDS = {"table": [r"\|", r"\t"], "prose": [r"\. [A-Z]", r"[a-z]{12,}", r","], "code": ["=", r"\{", r";"]}
+
+
+def document_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("name"))
+    return classify.kinds(docs, KINDS, {"code": ["1", "2"], "table": ["3"]}).select(F.col("id").alias("doc_id"), "kind", F.round("p", 9).alias("p"))
+
+
+QUERIES |= {f.__name__: f for f in (subject_by_terms, subject_by_votes, material_shares, document_kinds)}
+
+_SIGNS = r"""WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') || CASE WHEN doc_id % 9 = 0 THEN ' C' || (doc_id % 7) ELSE '' END AS text FROM documents),
+b AS (SELECT item_id, item_id % 5 AS place, regexp_extract_all(lower(text), '[\p{L}]{4,}')[1:6] AS ws, regexp_extract(lower(text), '[\p{L}]+ [\p{L}]+') AS phrase FROM benchmark),
+t AS MATERIALIZED (SELECT DISTINCT place, term FROM (SELECT place, unnest(CASE WHEN item_id % 3 = 0 THEN list_append(ws, phrase) ELSE ws END) AS term FROM b) WHERE term <> '')"""
+
+ORACLE_SQL["subject_by_terms"] = _SIGNS + r""",
+n AS (SELECT place, count(*) AS n FROM t GROUP BY place),
+h AS (SELECT doc_id, place, count(*) AS hits FROM d JOIN t ON contains(lower(concat_ws(chr(10), text, lang)), term) GROUP BY doc_id, place),
+r AS (SELECT doc_id, place, hits / CAST(n AS DOUBLE) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY hits / CAST(n AS DOUBLE) DESC, place) AS k FROM h JOIN n USING (place)),
+x AS (SELECT doc_id, max(s) FILTER (k = 1) AS s1, coalesce(max(s) FILTER (k = 2), 0) AS s2, max(place) FILTER (k = 1) AS p1, max(place) FILTER (k = 2) AS p2 FROM r GROUP BY doc_id),
+c AS (SELECT doc_id, list_filter(regexp_extract_all(text, '\bC[0-9]\b'), lambda x: x IN ('C0', 'C1', 'C2', 'C3', 'C4'))[1] AS coded FROM d)
+SELECT doc_id, coalesce(coded, 'C' || p1) AS subject, round(CASE WHEN coded IS NOT NULL THEN 0.99 WHEN s1 IS NULL THEN 0 ELSE least(0.98::DOUBLE, s1 * 1.5::DOUBLE) END, 4) AS confidence,
+  coded IS NULL AND coalesce(least(0.98::DOUBLE, s1 * 1.5::DOUBLE) < 0.9::DOUBLE OR s1 - s2 < 0.1::DOUBLE, true) AS confirm, CASE WHEN coded IS NULL THEN 'C' || p2 END AS second
+FROM c LEFT JOIN x USING (doc_id)
+"""
+
+ORACLE_SQL["subject_by_votes"] = _SIGNS + r""",
+w AS (SELECT doc_id, lower(text) AS low, regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+') AS ws FROM d),
+v AS (SELECT doc_id, place, sum(CASE WHEN contains(term, ' ') THEN 2 ELSE 1 END) AS v FROM w JOIN t ON CASE WHEN contains(term, ' ') THEN contains(low, term) ELSE list_contains(ws, term) END GROUP BY doc_id, place)
+SELECT doc_id, coalesce('C' || arg_max(place, v * 100 - place), 'none') AS subject, CAST(coalesce(max(v), 0) AS BIGINT) AS votes FROM d LEFT JOIN v USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLE_SQL["material_shares"] = _SIGNS + r""",
+s AS (SELECT doc_id, place, 0.1 + length(term) % 3 * 0.05 AS w FROM d JOIN t ON contains(lower(concat_ws(chr(10), source, text)), term)
+  UNION ALL SELECT doc_id, p, 0.5 FROM d, range(5) AS r(p) WHERE contains(lower(coalesce(source, '')), 's' || p) AND p IN (SELECT place FROM b)),
+e AS (SELECT doc_id, place, sum(w) AS w FROM s GROUP BY doc_id, place),
+x AS (SELECT doc_id, arg_max(place, w * 1000 - place * 0.001) AS p, CAST(max(w) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS share FROM e GROUP BY doc_id)
+SELECT doc_id, CASE WHEN share >= 0.3::DOUBLE THEN 'C' || p ELSE 'unknown' END AS material, round(coalesce(share, 0) + 1e-9::DOUBLE, 3) AS confidence FROM d LEFT JOIN x USING (doc_id)
+"""
+
+ORACLE_SQL["document_kinds"] = r"""
+WITH s AS (SELECT doc_id, coalesce(source, '') AS name, CAST(regexp_matches(coalesce(text, ''), '\|') AS INT) + CAST(regexp_matches(coalesce(text, ''), '\t') AS INT) AS a,
+  CAST(regexp_matches(coalesce(text, ''), '\. [A-Z]') AS INT) + CAST(regexp_matches(coalesce(text, ''), '[a-z]{12,}') AS INT) + CAST(contains(coalesce(text, ''), ',') AS INT) AS b,
+  CAST(contains(coalesce(text, ''), '=') AS INT) + CAST(contains(coalesce(text, ''), '{') AS INT) + CAST(contains(coalesce(text, ''), ';') AS INT) AS c FROM documents),
+p AS (SELECT doc_id, unnest(['table', 'prose', 'code']) AS kind, unnest([CASE WHEN contains(name, '3') THEN least(1::DOUBLE, a / 2.0::DOUBLE + 0.1::DOUBLE) ELSE a / 2.0::DOUBLE END, b / 3.0::DOUBLE,
+  CASE WHEN contains(name, '1') OR contains(name, '2') THEN least(1::DOUBLE, c / 3.0::DOUBLE + 0.1::DOUBLE) ELSE c / 3.0::DOUBLE END]) AS s FROM s)
+SELECT doc_id, kind, round(exp(s) / sum(exp(s)) OVER (PARTITION BY doc_id), 9) AS p FROM p
+"""
