@@ -12,8 +12,9 @@
    document that has the string.
 4. Bytes covered by a window that a smaller document has go; the rest is kept.
 
-All windows of all texts take part and every decision is exact up to collisions of 112 bits or more. A hot string
-costs a bucket one entry a block.
+All windows of all texts take part. Every decision is exact up to collisions of hashes: an anchor's 64 bits and a digest's 48
+in step 2; in step 4, within a bucket, 64 bits, and with the bucket's choice by a second hash log2(buckets) bits more. A hot
+string costs a bucket one entry a block.
 
 Defined results: a null or empty text has nothing to remove, as has a text of under 50 bytes; documents of equal
 doc_id don't remove from each other; a null doc_id is larger than any other; other columns are ignored. A block
