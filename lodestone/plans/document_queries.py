@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CHUNK_VOCABULARY
-from ..operators import assembly, classify, domain, packers, pages, questions, search
+from ..operators import assembly, classify, cleaners, domain, packers, pages, questions, search
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -264,3 +264,28 @@ p AS (SELECT doc_id, unnest(['table', 'prose', 'code']) AS kind, unnest([CASE WH
   CASE WHEN contains(name, '1') OR contains(name, '2') THEN least(1::DOUBLE, c / 3.0::DOUBLE + 0.1::DOUBLE) ELSE c / 3.0::DOUBLE END]) AS s FROM s)
 SELECT doc_id, kind, round(exp(s) / sum(exp(s)) OVER (PARTITION BY doc_id), 9) AS p FROM p
 """
+
+
+def doc_removed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = cleaners.preprocess(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return made.select("doc_id", F.array_join("headers", "|").alias("headers"), F.size("contents").cast("long").alias("contents"), "confidence")
+
+
+def doc_prepared_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = cleaners.preprocess(_read(spark, sf_dir, "documents"), "doc_id", "text")
+    return made.select("doc_id", F.posexplode("sections").alias("place", "s")).select("doc_id", "place", "s.title", F.md5("s.content").alias("content"), cleaners.n_words(F.col("s.content")).alias("n_words"))
+
+
+QUERIES |= {f.__name__: f for f in (doc_removed_lines, doc_prepared_sections)}
+
+ORACLE_SQL["doc_removed_lines"] = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+c AS (SELECT doc_id, CASE WHEN ls[-1] = '' THEN ls[1:len(ls) - 1] ELSE ls END AS ls FROM d),
+l AS (SELECT doc_id, i, regexp_replace(ls[i], '^\s+|\s+$', '', 'g') AS s FROM c, unnest(range(1, len(ls) + 1)) AS r(i)),
+r AS (SELECT doc_id, lower(s) AS low FROM l WHERE length(s) BETWEEN 4 AND 120 AND NOT regexp_full_match(s, '\d+') GROUP BY doc_id, lower(s) HAVING count(*) >= 3),
+m AS (SELECT l.*, s <> '' AND (r.low IS NOT NULL OR regexp_full_match(lower(s), '(page\s+\d+(\s+of\s+\d+)?|(isbn|copyright|all rights reserved|published by|doi:).*|https?://\S+|[-=_]{4,}|\d+)')) AS header,
+  regexp_matches(s, '.{10,}\.{3,}\s*\d+\s*$') OR (regexp_full_match(s, '\d+(\.\d+)*\s+[A-Z].*\s+\d+') AND length(s) - length(replace(s, '.', '')) >= 2) AS toc FROM l LEFT JOIN r ON r.doc_id = l.doc_id AND r.low = lower(s)),
+t AS (SELECT doc_id, string_agg(s, '|' ORDER BY i) FILTER (header) AS headers, count(*) FILTER (header) AS nh, count(*) FILTER (NOT header AND toc) AS contents, count(*) AS n FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(headers, '') AS headers, coalesce(contents, 0) AS contents, round(least(0.98::DOUBLE, greatest(0.5::DOUBLE, 1 - coalesce(nh + contents, 0) / CAST(greatest(coalesce(n, 0), 1) AS DOUBLE) * 0.5::DOUBLE)), 2) AS confidence
+FROM d LEFT JOIN t USING (doc_id)
+"""
