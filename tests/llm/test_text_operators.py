@@ -291,7 +291,8 @@ def test_patterns_discover_unseen_identifiers(spark, monkeypatch):
 
 
 # -- every operator ------------------------------------------------------------------
-NAMES = [n for n in registry.QUERIES if n != "op3_nearest"]
+OTHER_TABLES = ("op3_nearest", "op11_ball_kmeans", "op12_chat_windows")  # their own tests have clashing names and empty tables
+NAMES = [n for n in registry.QUERIES if n not in OTHER_TABLES]
 
 
 @pytest.mark.parametrize("name", NAMES)
