@@ -47,3 +47,17 @@ def vector_top(queries: DataFrame, base: DataFrame, k: int, keep=None) -> DataFr
     path = work_path(base.sparkSession, "index")
     vectors.build(base, path)
     return vectors.search(queries, path, k, keep=keep)
+
+
+def hard_negatives(pairs: DataFrame, base: DataFrame, above: float = 0.5, below: float = 0.9) -> DataFrame:
+    """anchor, positive, negative, sim, pair_type of every pair (anchor, positive: ids of base): the row most similar to the anchor with a similarity between the bounds that
+    isn't the positive. A pair for which there is none is kept as easy, without a negative. Pairs whose anchor isn't in base are easy too."""
+    asked = base.join(pairs.select(F.col("anchor").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    path = work_path(base.sparkSession, "index")
+    vectors.build(base, path)
+    # of the two best, one is not the positive
+    found = vectors.search(asked, path, 2, keep=lambda sim, label, own: (sim > above) & (sim < below))
+    near = pairs.join(found.select(F.col("q_id").alias("anchor"), "vec_id", "sim", "rank"), "anchor").where("vec_id <> positive or positive is null")
+    best = near.groupBy("anchor", "positive").agg(F.min(F.struct("rank", "vec_id", "sim")).alias("b"))
+    made = pairs.join(best.withColumnRenamed("anchor", "_a").withColumnRenamed("positive", "_p"), (F.col("anchor") == F.col("_a")) & F.col("positive").eqNullSafe(F.col("_p")), "left")
+    return made.select("anchor", "positive", F.col("b.vec_id").alias("negative"), F.col("b.sim").alias("sim"), F.when(F.col("b").isNull(), "easy").otherwise("hard").alias("pair_type"))

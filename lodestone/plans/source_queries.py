@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import retrieve
 from ..sources import office, validated, vectors
 from ..sources.shared import work_path
 from ..streaming import events as E
@@ -63,6 +64,13 @@ def vector_index_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search(base.where("vec_id % 50 = 0"), path, 5, at_least=0.2).select("q_id", "vec_id", "sim", "rank")
 
 
+def hard_negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each anchor's positive is the row with the next id; bounds at which both kinds of pairs occur."""
+    base = _read(spark, sf_dir, "embeddings")
+    pairs = base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("anchor"), (F.col("vec_id") + 1).alias("positive"))
+    return retrieve.hard_negatives(pairs, base, 0.3, 0.6)
+
+
 def _as_docx(text: str | None) -> bytes:
     """A .docx with a paragraph a line, the first of them a heading."""
     import io
@@ -102,7 +110,7 @@ def stream_replay_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made if made is not None else spark.read.parquet(f"{base}/in")
 
 
-QUERIES = {f.__name__: f for f in (validated_documents, validated_papers, vector_index_appended, office_documents, stream_replay_buffer)}
+QUERIES = {f.__name__: f for f in (validated_documents, validated_papers, vector_index_appended, office_documents, stream_replay_buffer, hard_negative_pairs)}
 
 ORACLE_SQL = {
     "validated_documents": r"""
@@ -127,4 +135,5 @@ d AS (SELECT doc_id, count(*) FILTER (i = 1) AS headings, count(*) FILTER (i > 1
 SELECT *, CASE WHEN n_words > 200 THEN 0.85::DOUBLE ELSE 0.6::DOUBLE END AS confidence, CASE WHEN n_words < 20 THEN 'too few words' END AS reason FROM d
 """,
     "stream_replay_buffer": "SELECT event_id, event_type, user_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY md5('7:' || CAST(event_id AS VARCHAR))) <= 20",
+    "hard_negative_pairs": f"WITH {PAIRS_SQL}, n AS (SELECT q_id, vec_id, sim FROM p WHERE sim > 0.3 AND sim < 0.6 AND vec_id <> q_id + 1 QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY sim DESC, vec_id) = 1) SELECT e.vec_id AS anchor, e.vec_id + 1 AS positive, n.vec_id AS negative, sim, CASE WHEN sim IS NULL THEN 'easy' ELSE 'hard' END AS pair_type FROM embeddings e LEFT JOIN n ON n.q_id = e.vec_id WHERE e.vec_id % 50 = 0",
 }

@@ -63,3 +63,11 @@ def test_cells_that_nobody_asks_for_are_not_read(spark, tmp_path, monkeypatch):
     made = vectors._visit(asked, path, 3, 16, {c: 1 for c in range(15)}, None, None)
     plan = made._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(cell" in plan and "= 2)" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_hard_negatives_keep_easy_pairs(spark):
+    unit = lambda a: [float(np.cos(a)), float(np.sin(a))]
+    base = spark.createDataFrame([(1, 0, unit(0)), (2, 0, unit(0.6)), (3, 0, unit(0.7)), (4, 0, unit(2.5)), (5, 0, unit(0.01))], "vec_id long, label long, embedding array<double>")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 1), (9, 1), (1, None)], "anchor long, positive long")
+    got = {(r["anchor"], r["positive"]): (r["negative"], r["pair_type"]) for r in retrieve.hard_negatives(pairs, base).collect()}
+    assert got == {(1, 2): (3, "hard"), (1, 3): (2, "hard"), (4, 1): (None, "easy"), (9, 1): (None, "easy"), (1, None): (2, "hard")}
