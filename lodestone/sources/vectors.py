@@ -32,10 +32,10 @@ SLACK = 2e-5
 FOUND = "q_id long, q_label long, vec_id long, label long, sim double"
 
 
-def common_width(df: DataFrame) -> int:
-    """The length that most vectors have; of several the smallest."""
+def common_width(df: DataFrame) -> tuple[int, int]:
+    """The length that most vectors have (of several the smallest), and how many have it."""
     first = df.where("embedding is not null").groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    return first["width"] if first else 0
+    return (first["width"], first["count"]) if first else (0, 0)
 
 
 def usable(df: DataFrame, width: int) -> DataFrame:
@@ -73,8 +73,8 @@ def _centroids(spark: SparkSession, path: str) -> np.ndarray:
 def build(df: DataFrame, path: str) -> None:
     """A new index of df (vec_id, label, embedding). It keeps its centroids whatever is appended."""
     spark = df.sparkSession
-    rows = usable(df, common_width(df))
-    n = rows.count()
+    width, n = common_width(df)
+    rows = usable(df, width)
     every = max(1, n // SAMPLE)
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(every)) == 0).select("e").limit(2 * SAMPLE).toPandas()["e"]
     points = _unit(sample, len(sample.iloc[0])) if len(sample) else np.zeros((0, 0))
