@@ -1,8 +1,12 @@
 """Near copies of documents: sets of word shingles whose Jaccard similarity is SIMILARITY or more.
 
+Texts meet first by SimHash: every text has op2's 64-bit fingerprint, over these shingles, and op2's search (segments and
+Hamming balls) finds the fingerprints that differ in at most 2 bits. Such a pair is linked if its whole sets are similar.
+
+Copies of similarity 0.8 differ in more bits than can be searched for, so sets meet in a second way too.
 Every document's set of shingles has ROWS * BANDS minima of random orders (MinHash). Two sets of similarity s agree on
 a band of ROWS minima with probability s ** ROWS, so they meet in at least one of the bands with probability
-1 - (1 - s ** ROWS) ** BANDS: 0.997 at 0.8. Every pair that meets is verified by the similarity of the whole sets. The
+1 - (1 - s ** ROWS) ** BANDS: 0.997 at 0.8. Every pair that meets, in either way, is verified by the similarity of the whole sets. The
 groups are the components of the verified pairs.
 
 Only distinct sets take part: copies add nothing. Up to ALL_PAIRS sets in one place of a band are all compared with
@@ -29,6 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import discard, order_id, staged
 from .components import connected_components
 
@@ -45,17 +50,29 @@ _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, ROWS * BANDS, dtype=np.u
 _CHUNK = 1 << 12
 
 
-def shingles(text: bytes, width: int) -> np.ndarray:
-    """Distinct 64-bit hashes of the runs of width words, ascending in their upper half, which tells them apart."""
+def runs(text: bytes, width: int) -> np.ndarray:
+    """64-bit hashes of the runs of width words, one by one."""
     ws = text.lower().split()
     if not ws:
         return np.zeros(0, np.uint64)
     n = max(1, len(ws) - width + 1)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(b" ".join(ws[i : i + width]), SEED) for i in range(n)), np.uint64, n)
+    return np.fromiter((digest(b" ".join(ws[i : i + width]), SEED) for i in range(n)), np.uint64, n)
+
+
+def shingles(h: np.ndarray) -> np.ndarray:
+    """The distinct ones of the hashes h, ascending in their upper half, which tells them apart."""
     return h[np.unique(h >> np.uint64(32), return_index=True)[1]]
 
 
+def fingerprint(h: np.ndarray) -> int:
+    """The SimHash of the hashes h, repeats included, as op2 makes it."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(h), 1 << 16):
+        total += simhash.votes(h[at : at + (1 << 16)])
+    return simhash.majority(total, len(h))
+
+
 def bands(h: np.ndarray) -> list[int]:
     """A hash of the minima of each band."""
     low = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
@@ -73,28 +90,43 @@ def similarity(a: bytes, b: bytes) -> float:
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """_id, _th, _fp (a hash of the set), bands and set of each row. A scan; texts go to Python in Arrow batches."""
-    names = ["_id", "_th", "_fp", "bands", "set"]
+    """_id, _th, _fp (a hash of the set), sim (its text's SimHash), bands and set of each row. A scan; texts go to Python in Arrow batches."""
+    names = ["_id", "_th", "_fp", "sim", "bands", "set"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, places, sets = [], [], []
+            fps, sims, places, sets = [], [], [], []
             for t in b.column(2):
-                h = shingles(t.as_py() or b"", width)
+                every = runs(t.as_py() or b"", width)
+                h = shingles(every)
                 data = (h >> np.uint64(32)).astype("<u4").tobytes()
                 fps.append(xxhash.xxh64_intdigest(data, SEED) - (1 << 63))
+                sims.append(fingerprint(every))
                 places.append(bands(h) if len(h) else [])
                 sets.append(data)
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fps, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(fps, pa.int64()), pa.array(sims, pa.int64()), pa.array(places, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=names)
 
     key = [order_id(F.col("doc_id")).alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_th")]
-    return docs.select(*key, F.encode(F.col("text"), "UTF-8").alias("t")).mapInArrow(run, "_id long, _th long, _fp long, bands array<long>, set binary")
+    return docs.select(*key, F.encode(F.col("text"), "UTF-8").alias("t")).mapInArrow(run, "_id long, _th long, _fp long, sim long, bands array<long>, set binary")
 
 
 def _places(each: DataFrame) -> DataFrame:
     return each.select("_fp", F.posexplode("bands").alias("band", "place"))
 
 
+def _near_fingerprints(each: DataFrame) -> DataFrame:
+    """Pairs a, b (a < b) of sets whose fingerprints differ in at most simhash.DISTANCE bits, by op2's search.
+
+    A fingerprint's smallest set stands for it: it meets the others of its fingerprint, and those that stand for near ones.
+    """
+    of = each.select("_fp", F.col("first.sim").alias("sim"))
+    stands = of.groupBy("sim").agg(F.min("_fp").alias("set"))
+    side = lambda name, to: stands.select(F.col("sim").alias(name), F.col("set").alias(to))
+    near = simhash.links(stands.select(F.col("sim").alias("_fp"))).join(side("a", "x"), "a").join(side("b", "y"), "b")
+    same = of.join(stands, "sim").where("_fp <> set").select(F.col("set").alias("a"), F.col("_fp").alias("b"))
+    return near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(same)
+
+
 def _met(each: DataFrame, large: DataFrame) -> DataFrame:
     """Pairs a, b (a < b) of the sets _fp that meet in a band, each pair once. large: places of many sets, with their count."""
     part = F.coalesce(F.pmod(F.xxhash64("_fp", "band"), F.ceil(F.col("count") / PART)), F.lit(0))
@@ -210,7 +242,8 @@ def groups(made: DataFrame, each: DataFrame) -> DataFrame:
     """node, component of every set _fp that has a similar one."""
     spark = made.sparkSession
     large = staged(_places(each).groupBy("band", "place").count().where(F.col("count") > ALL_PAIRS), "large")
-    comps = staged(connected_components(links(made, each, _met(each, large))), "components")
+    met = _near_fingerprints(each).union(_met(each, large)).distinct()
+    comps = staged(connected_components(links(made, each, met)), "components")
     if large.isEmpty():
         return comps
     more = links(made, each, _open_pairs(made, each, large, comps))
@@ -231,7 +264,7 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """
     named = docs.select(F.struct("*").alias("_row"), order_id(F.col("doc_id")).alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_th"))
     made = staged(_sets(docs, width), "shingles")
-    each = staged(made.groupBy("_fp").agg(F.min(F.struct("_id", "_th")).alias("first"), F.first("bands").alias("bands")), "each")
+    each = staged(made.groupBy("_fp").agg(F.min(F.struct("_id", "_th", "sim")).alias("first"), F.first("bands").alias("bands")), "each")
     comps = groups(made, each)
     best = each.select("_fp", "first").join(comps, F.col("_fp") == comps["node"], "left").groupBy(F.coalesce("component", "_fp").alias("c")).agg(F.min("first").alias("first"))
     keep = best.select("first._id", "first._th")

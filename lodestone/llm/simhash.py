@@ -29,6 +29,16 @@ SEED = 42
 DISTANCE = 2
 
 
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, the lowest first."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(total: np.ndarray, n: int) -> int:
+    """The bits that more than half of n hashes have, as a signed long."""
+    return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little", signed=True)
+
+
 def fingerprint(text: bytes, width: int) -> int:
     ws = text.lower().split()
     if not ws:
@@ -43,9 +53,8 @@ def fingerprint(text: bytes, width: int) -> int:
         grams = [b" ".join(ws[i : i + width]) for i in range(n)]
     total = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
-        h = np.fromiter((digest(g, SEED) for g in grams[at : at + (1 << 16)]), np.uint64)
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * total > n, bitorder="little").tobytes(), "little", signed=True)
+        total += votes(np.fromiter((digest(g, SEED) for g in grams[at : at + (1 << 16)]), np.uint64))
+    return majority(total, n)
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import nearcopies
+from lodestone.llm import nearcopies, simhash
 
 from .rows import SCHEMA, frame, rows, wide
 
@@ -145,3 +145,18 @@ def test_meeting_words_miss_no_similar_pair():
         met = any(a[1][k] >= len(y) and b[0][k] >= len(x) for (x, a), (y, b) in (((base, keys[0]), (other, keys[1])), ((other, keys[1]), (base, keys[0]))) for k in set(a[1]) & set(b[0]))
         if both >= 0.8 * (len(base) + len(other) - both):
             assert met
+
+
+@pytest.mark.parametrize("seed", [9716001, 80069001, 124527001, 178898001])
+def test_near_fingerprints_meet(spark, seed):
+    """Similarity 0.8, no band of minima in common, fingerprints 2 bits apart at most: op2's search brings them together."""
+    ws = [f"w{seed}x{i}" for i in range(13)]
+    texts = [" ".join(ws), " ".join([*ws[:-1], "z"])]
+    runs = [nearcopies.runs(t.encode(), 5) for t in texts]
+    assert not set.intersection(*(set(nearcopies.bands(nearcopies.shingles(h))) for h in runs))
+    prints = [simhash.fingerprint(t.encode(), 5) for t in texts]
+    assert [nearcopies.fingerprint(h) for h in runs] == prints and ((prints[0] ^ prints[1]) & (1 << 64) - 1).bit_count() <= 2
+    x, y = map(shingle_set, texts)
+    assert 5 * len(x & y) >= 4 * len(x | y)
+    data = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    assert stayed(corpus_pipeline.near_dedup(spark, frame(spark, data), "")) == [(0, texts[0])]
