@@ -30,8 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: the lineage is cut and what follows survives lost executors."""
+def staged(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write df once to the shared folder and read it back: the lineage is cut and what follows survives lost executors.
+
+    files: at most so many tasks make and write it, for a table too small for a task and a file of each shuffle partition.
+    """
+    df = df.coalesce(files) if files else df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)

@@ -20,18 +20,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """node, component (its smallest node) of every node that has an edge; edges: columns a, b of one orderable type.
 
     Every step is a partial minimum and joins that can be split, so a hub costs no task more than its share. Steps
-    are written to the shared folder; the number of steps grows with the logarithm of the longest chain.
+    are written to the shared folder, in at most `files` files where given; the number of steps grows with the logarithm
+    of the longest chain.
     """
     spark = edges.sparkSession
-    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    now = staged(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", files)
     sign = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     mark = sign(now)
     while mark[0]:
-        new = staged(_small_star(_large_star(now)), "edges")
+        new = staged(_small_star(_large_star(now)), "edges", files)
         discard(spark, now)
         now, old, mark = new, mark, sign(new)
         if mark == old:

@@ -48,6 +48,8 @@ SIZE_STEP = 1.06
 _P, _Q = 4, 5
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHUNK = 1 << 12
+#: Tables staged on the way have no more files than one for so many documents, LEAST_FILES where that is fewer.
+DOCS_A_FILE, LEAST_FILES = 5000, 12
 
 
 def runs(text: bytes, width: int) -> np.ndarray:
@@ -141,11 +143,11 @@ def _of(made: DataFrame, each: DataFrame, nodes: DataFrame) -> DataFrame:
     return made.join(rows, ["_id", "_th"], "left_semi").dropDuplicates(["_id", "_th"]).select("_fp", "set")
 
 
-def links(made: DataFrame, each: DataFrame, met: DataFrame) -> DataFrame:
+def links(made: DataFrame, each: DataFrame, met: DataFrame, files: int) -> DataFrame:
     """The pairs a, b of met whose sets are similar."""
-    met = staged(met, "met")
+    met = staged(met, "met", files)
     nodes = met.select(F.col("a").alias("_fp")).union(met.select("b")).distinct()
-    sets = staged(_of(made, each, nodes), "sets")
+    sets = staged(_of(made, each, nodes), "sets", files)
     with_a = met.join(sets.select(F.col("_fp").alias("a"), F.col("set").alias("x")), "a")
     both = with_a.join(sets.select(F.col("_fp").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -154,7 +156,7 @@ def links(made: DataFrame, each: DataFrame, met: DataFrame) -> DataFrame:
             near = [similarity(x.as_py(), y.as_py()) >= SIMILARITY for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    found = staged(both.mapInArrow(run, "a long, b long"), "similar")
+    found = staged(both.mapInArrow(run, "a long, b long"), "similar", files)
     discard(made.sparkSession, met)
     discard(made.sparkSession, sets)
     return found
@@ -215,10 +217,10 @@ def meeting_words(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ..
     return probe, words[order][where].astype(np.int64), buckets, np.full(len(where), n, np.int32), np.where(probe == 0, most[where], to[where]).astype(np.int32)
 
 
-def _open_pairs(made: DataFrame, each: DataFrame, large: DataFrame, comps: DataFrame) -> DataFrame:
+def _open_pairs(made: DataFrame, each: DataFrame, large: DataFrame, comps: DataFrame, files: int) -> DataFrame:
     """Pairs a, b of sets in large places that can be similar and aren't in one component. Exact."""
     crowd = _places(each).join(large, ["band", "place"], "left_semi").select("_fp").distinct()
-    sets = staged(_of(made, each, crowd).join(comps, F.col("_fp") == comps["node"], "left").select("_fp", F.coalesce("component", "_fp").alias("c"), "set"), "crowd")
+    sets = staged(_of(made, each, crowd).join(comps, F.col("_fp") == comps["node"], "left").select("_fp", F.coalesce("component", "_fp").alias("c"), "set"), "crowd", files)
     counts = sketch(sets)
     names = ["_fp", "c", "probe", "word", "bucket", "n", "most"]
 
@@ -238,21 +240,21 @@ def _open_pairs(made: DataFrame, each: DataFrame, large: DataFrame, comps: DataF
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def groups(made: DataFrame, each: DataFrame) -> DataFrame:
-    """node, component of every set _fp that has a similar one."""
+def groups(made: DataFrame, each: DataFrame, files: int) -> DataFrame:
+    """node, component of every set _fp that has a similar one. files: of each table staged on the way, at most."""
     spark = made.sparkSession
-    large = staged(_places(each).groupBy("band", "place").count().where(F.col("count") > ALL_PAIRS), "large")
+    large = staged(_places(each).groupBy("band", "place").count().where(F.col("count") > ALL_PAIRS), "large", files)
     met = _near_fingerprints(each).union(_met(each, large)).distinct()
-    comps = staged(connected_components(links(made, each, met)), "components")
+    comps = staged(connected_components(links(made, each, met, files), files), "components", files)
     if large.isEmpty():
         return comps
-    more = links(made, each, _open_pairs(made, each, large, comps))
+    more = links(made, each, _open_pairs(made, each, large, comps, files), files)
     of = lambda side: comps.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
     between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    joined = staged(connected_components(between), "joined")
+    joined = staged(connected_components(between, files), "joined", files)
     moved = comps.join(joined.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     alone = joined.join(comps.select(F.col("component").alias("node")).distinct(), "node", "left_anti")
-    made = staged(moved.union(alone.select("node", "component")), "components")
+    made = staged(moved.union(alone.select("node", "component")), "components", files)
     discard(spark, comps)
     return made
 
@@ -264,8 +266,9 @@ def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """
     named = docs.select(F.struct("*").alias("_row"), order_id(F.col("doc_id")).alias("_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("_th"))
     made = staged(_sets(docs, width), "shingles")
-    each = staged(made.groupBy("_fp").agg(F.min(F.struct("_id", "_th", "sim")).alias("first"), F.first("bands").alias("bands")), "each")
-    comps = groups(made, each)
+    files = max(LEAST_FILES, made.count() // DOCS_A_FILE)
+    each = staged(made.groupBy("_fp").agg(F.min(F.struct("_id", "_th", "sim")).alias("first"), F.first("bands").alias("bands")), "each", files)
+    comps = groups(made, each, files)
     best = each.select("_fp", "first").join(comps, F.col("_fp") == comps["node"], "left").groupBy(F.coalesce("component", "_fp").alias("c")).agg(F.min("first").alias("first"))
     keep = best.select("first._id", "first._th")
     one = Window.partitionBy("_id", "_th").orderBy("_id")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from lodestone.llm import nearcopies, simhash
+from lodestone.llm import common, components, nearcopies, simhash
 
 from .rows import SCHEMA, frame, rows, wide
 
@@ -160,3 +160,28 @@ def test_near_fingerprints_meet(spark, seed):
     assert 5 * len(x & y) >= 4 * len(x | y)
     data = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
     assert stayed(corpus_pipeline.near_dedup(spark, frame(spark, data), "")) == [(0, texts[0])]
+
+
+def test_small_tables_are_in_few_files(spark, monkeypatch):
+    """However many shuffle partitions there are, tables staged on the way have a file for so many documents, not one a partition."""
+    made = []
+
+    def staged(df, name, files=None):
+        table = common.staged(df, name, files)
+        made.append((name, len(table.inputFiles())))
+        return table
+
+    for module in (nearcopies, components):
+        monkeypatch.setattr(module, "staged", staged)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 40)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        data = template_corpus(40, 350, 75, 6)
+        got = {d for d, _ in stayed(corpus_pipeline.near_dedup(spark, frame(spark, data), ""))}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == set(range(40))
+    assert {"each", "met", "similar", "edges", "components", "crowd", "joined"} <= {name for name, _ in made}
+    assert [x for x in made if x[1] > nearcopies.LEAST_FILES] == []
