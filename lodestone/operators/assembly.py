@@ -2,7 +2,8 @@
 
 slots: paper, slot, topic. candidates: topic, candidate, score, text. A topic's candidates have one order (score, then the smaller candidate); the slots of a
 paper and topic take them in turn, and a slot that is filled again takes the next that its paper has not had. Nothing loops over papers or slots: a round is
-a check and two joins over all papers at once, and a slot that isn't flagged keeps its row.
+a check and two joins over all papers at once, and a slot that isn't flagged keeps its row. Joins are asked to merge: what is read back packs
+to a small part of what it takes in the driver's memory, where Spark would gather it to broadcast.
 
 Defined results: rows with a null key take no part; a slot for which no candidate is left has none (null) and is not checked; equal candidates of a topic count once.
 """
@@ -37,15 +38,15 @@ def assemble(slots: DataFrame, candidates: DataFrame, check: Callable[[DataFrame
     turn = Window.partitionBy("paper", "topic").orderBy("slot")
     asked = slots.where("paper is not null and slot is not null and topic is not null").dropDuplicates(["paper", "slot"]).select("paper", "slot", "topic", F.row_number().over(turn).alias("rank"))
     cols = ["paper", "slot", "topic", "rank", "candidate", "text", "round"]
-    now = staged(asked.join(ranked, ["topic", "rank"], "left").withColumn("round", F.lit(0)).select(*cols), "papers")
+    now = staged(asked.join(ranked.hint("merge"), ["topic", "rank"], "left").withColumn("round", F.lit(0)).select(*cols), "papers")
     for k in range(1, repairs + 1):
         flagged = staged(check(now).select("paper", "slot", F.lit(True).alias("_again")).distinct(), "flagged")
         if flagged.isEmpty():
             break
-        marked = now.join(flagged, ["paper", "slot"], "left")
+        marked = now.join(flagged.hint("merge"), ["paper", "slot"], "left")
         had = F.max("rank").over(Window.partitionBy("paper", "topic"))
         again = marked.withColumn("_had", had).where("_again").select("paper", "slot", "topic", (F.col("_had") + F.row_number().over(turn)).alias("rank"))
-        filled = again.join(ranked, ["topic", "rank"], "left").withColumn("round", F.lit(k)).select(*cols)
+        filled = again.join(ranked.hint("merge"), ["topic", "rank"], "left").withColumn("round", F.lit(k)).select(*cols)
         kept = marked.where("_again is null").select(*cols)
         before, now = now, staged(kept.union(filled), "papers")
         discard(before, flagged)

@@ -9,6 +9,9 @@ Measures, in per cent of: `union` both sets' union (at least), `larger` the larg
 
 Defined results: rows with a null id take no part; null words are left out, repeated words count once; a set without words is similar
 to none; words are told apart by 64-bit hashes.
+
+Joins are asked to merge: Spark takes the size of exploded words for that of the packed files they come from, and would
+send them to the driver to broadcast.
 """
 
 from __future__ import annotations
@@ -52,7 +55,7 @@ def _ranked(sets: DataFrame) -> DataFrame:
     each = sets.select("side", "id", F.explode("tokens").alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("df"))
     order = F.sort_array(F.collect_list(F.struct("df", "token")))  # a set's own words
-    made = each.join(often, "token").groupBy("side", "id").agg(order.alias("o"))
+    made = each.join(often.hint("merge"), "token").groupBy("side", "id").agg(order.alias("o"))
     return made.select("side", "id", F.size("o").alias("n"), F.transform("o", lambda x: x["token"]).alias("tokens"))
 
 
@@ -68,7 +71,7 @@ def candidates(ranked: DataFrame, measure: str, per_cent: int, same: bool) -> Da
     left, right = words(0, prefix, "a", "n", "i"), words(0 if same else 1, None if whole else prefix, "b", "m", "j")
     rest = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
     enough = rest >= _needed(F.col("n"), F.col("m"), measure, per_cent)
-    met = left.join(right, "token").where(enough)
+    met = left.join(right.hint("merge"), "token").where(enough)
     return (met.where("a > b") if same else met).select("a", "b").distinct()
 
 
@@ -84,7 +87,7 @@ def similar(left: DataFrame, right: DataFrame | None = None, measure: str = "uni
     met = candidates(ranked, measure, per_cent, same)
     a = ranked.where("side = 0").select(F.col("id").alias("a"), F.col("n"), F.col("tokens").alias("x"))
     b = ranked.where(F.col("side") == (0 if same else 1)).select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
-    both = met.join(a, "a").join(b, "b").select("a", "b", "n", "m", F.size(F.array_intersect("x", "y")).alias("both"))
+    both = met.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "n", "m", F.size(F.array_intersect("x", "y")).alias("both"))
     return both.where(F.col("both") >= _needed(F.col("n"), F.col("m"), measure, per_cent))
 
 

@@ -29,7 +29,7 @@ def paper_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _read(spark, sf_dir, "part")
     candidates = parts.select(F.col("p_brand").alias("topic"), F.col("p_partkey").alias("candidate"), F.col("p_size").alias("score"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
     number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    slots = _read(spark, sf_dir, "lineitem").withColumn("slot", number).join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("paper"), "slot", F.col("p_brand").alias("topic"))
+    slots = _read(spark, sf_dir, "lineitem").withColumn("slot", number).join(parts.hint("merge"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("paper"), "slot", F.col("p_brand").alias("topic"))
     return assembly.assemble(slots, candidates).select("paper", "slot", "topic", F.col("rank").cast("long").alias("rank"), "candidate", F.col("round").cast("long").alias("round"))
 
 

@@ -55,6 +55,12 @@ def test_rounds_are_bounded_and_rows_stay(spark):
     assert assembly.assemble(slots.limit(0), cands).collect() == []
 
 
+def test_words_of_papers_do_not_pass_through_the_driver(spark, tmp_path):
+    spark.createDataFrame([(p, n, f"explain part {n} of {p}", p) for p in range(30) for n in (1, 2)], "paper long, slot int, text string, candidate long").write.parquet(str(tmp_path / "filled"))
+    plan = assembly.repeated(spark.read.parquet(str(tmp_path / "filled")))._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_domain_gate(spark):
     text = "id long, subject string, question string, evidence string, concepts array<string>"
     rows = [
