@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import discard, staged
+from . import pairing
 
 
 def _edges(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -21,17 +22,57 @@ def _edges(edges: DataFrame, src: str, dst: str) -> DataFrame:
 
 
 def closure(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """src, dst, depth: all that each node reaches, with the fewest edges on the way. Cycles end where nothing new is met."""
-    known, length = _edges(edges, src, dst).withColumn("depth", F.lit(1).cast("long")), 1
+    """src, dst, depth: all that each node reaches, with the fewest edges on the way. Cycles end where nothing new is met.
+
+    Where most edges are the only one out of their source and the only one into their end, the runs of such edges are one node
+    each while paths double, and the pairs within and between runs are written out from blocks of their nodes as they are read.
+    """
+    flat = _edges(edges, src, dst)
+    alone = lambda end: flat.groupBy(end).agg(F.count("*").alias("_n")).where("_n = 1").select(end)
+    links = staged(flat.where("src <> dst").join(alone("src"), "src", "left_semi").join(alone("dst"), "dst", "left_semi"), "links")
+    if 2 * links.count() <= flat.count():
+        discard(links)
+        one = F.lit(1).cast("long")
+        return _reached(flat.withColumns({"depth": one, "hops": one}), False).drop("hops")
+    # a run is named by its last node; rings have none and stay as they are
+    inner = staged(subsumed(links).where("root is not null").select("node", F.col("root").alias("run"), F.col("depth").alias("after")), "runs")
+    nodes = flat.select(F.col("src").alias("node")).union(flat.select("dst")).distinct()
+    ends = nodes.join(inner, "node", "left_anti").select("node", F.col("node").alias("run"), F.lit(0).cast("long").alias("after"))
+    runs = staged(inner.union(ends), "runs")
+    # only ends have other edges, and these lead to the first node of a run; a path is as long as from end to end
+    between = flat.join(inner.select(F.col("node").alias("src")), "src", "left_anti").join(runs.withColumnRenamed("node", "dst"), "dst")
+    between = staged(between.select("src", F.col("run").alias("dst"), (F.col("after") + 1).alias("depth"), F.lit(1).cast("long").alias("hops")), "paths")
+    ways = _reached(between, True).select("src", "dst", "depth", F.lit(False).alias("own"))
+    ways = ways.union(inner.select("run", "run", F.lit(0).cast("long"), F.lit(True)).distinct())
+    place = F.floor(F.col("after") / pairing.BLOCK)
+    block = runs.groupBy("run", place.alias("k")).agg(F.sort_array(F.collect_list(F.struct("after", "node"))).alias("ns")).select("run", "k", F.transform("ns", lambda x: x["node"]).alias("ns"))
+    met = ways.join(block.toDF("src", "_k", "a"), "src").join(block.toDF("dst", "_l", "b"), "dst").where("not own or _k >= _l")
+    each = pairing.spread(met, "a", "b", ["src", "dst", "own", "_k", "_l"])
+    left, right = F.col("_k") * pairing.BLOCK + F.col("_i"), F.col("_l") * pairing.BLOCK + F.col("_j")
+    # within a run the way along it is the shortest one; a way round is for what lies before
+    each = each.where(F.when(F.col("own"), left > right).otherwise((F.col("src") != F.col("dst")) | (left <= right)))
+    return each.select(F.col("a").alias("src"), F.col("b").alias("dst"), (F.col("depth") + left - right).cast("long").alias("depth"))
+
+
+def _reached(known: DataFrame, weighted: bool) -> DataFrame:
+    """src, dst, depth, hops: the least depth of a path, and the fewest edges of such a path. Edges have a depth, 1 if not weighted."""
+    length = 1
     while True:
-        # of a path with more than `length` edges, the first `length` end where a shortest path of that length does
-        last = known.where(F.col("depth") == length).select("src", F.col("dst").alias("_mid"), "depth")
-        on = known.select(F.col("src").alias("_mid"), "dst", F.col("depth").alias("_more"))
-        met = last.join(on, "_mid").groupBy("src", "dst").agg(F.min(F.col("depth") + F.col("_more")).alias("depth"))
-        new = staged(met.join(known.select("src", "dst"), ["src", "dst"], "left_anti"), "paths")
+        # of a best path of more than `length` edges, the first `length` end where a best path of that length does
+        last = known.where(F.col("hops") == length).select("src", F.col("dst").alias("_mid"), "depth", "hops")
+        on = known.select(F.col("src").alias("_mid"), "dst", F.col("depth").alias("_more"), F.col("hops").alias("_on"))
+        best = F.min(F.struct((F.col("depth") + F.col("_more")).alias("depth"), (F.col("hops") + F.col("_on")).alias("hops")))
+        met = last.join(on, "_mid").groupBy("src", "dst").agg(best.alias("_new"))
+        old = known.select("src", "dst", F.struct("depth", "hops").alias("_old"))
+        new = staged(met.join(old, ["src", "dst"], "left").where("_old is null or _new < _old").select("src", "dst", "_new.depth", "_new.hops"), "paths")
         if new.isEmpty():
+            discard(new)
             return known
-        known, length = staged(known.unionByName(new), "closure"), 2 * length
+        rest = known.join(new.select("src", "dst"), ["src", "dst"], "left_anti") if weighted else known
+        before, known, length = known, staged(rest.unionByName(new), "closure"), 2 * length
+        discard(new)
+        if length > 2:
+            discard(before)
 
 
 def cycles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

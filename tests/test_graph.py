@@ -1,6 +1,6 @@
 import random
 
-from lodestone.operators import graph
+from lodestone.operators import graph, pairing
 
 
 def frame(spark, edges):
@@ -56,3 +56,23 @@ def test_parents_by_pointers(spark):
     got = {r["node"]: (r["root"], r["depth"]) for r in graph.subsumed(spark.createDataFrame(odd, "src long, dst long")).collect()}
     assert got == {1: (None, None), 2: (None, None), 3: (None, None), 4: (None, None), 5: (6, 1), 9: (None, None), 10: (11, 1)}
     assert graph.subsumed(spark.createDataFrame([], "src long, dst long")).collect() == []
+
+
+def test_runs_between_branches(spark, monkeypatch):
+    monkeypatch.setattr(pairing, "BLOCK", 3)
+    line = lambda a, b: [(i, i + 1) for i in range(a, b)]
+    cases = [
+        line(0, 17) + line(100, 104) + [(17, 200), (17, 201), *line(200, 206), *line(201 + 50, 262), (201, 251), (206, 300), (262, 300), *line(300, 309)],  # two ways, of unlike length, meet again
+        line(0, 11) + [(11, 4), (11, 50), *line(50, 58), (58, 0)],  # ways back into a run, and from its end to its start
+        line(0, 9) + [(9, 0), (20, 21), (21, 22), (22, 20), (22, 30), *line(30, 41)],  # a ring without a branch; one with
+    ]
+    for edges in cases:
+        assert {(x.src, x.dst): x.depth for x in graph.closure(frame(spark, edges)).collect()} == brute(edges)
+
+
+def test_a_long_chain_writes_out_pairs_only_as_they_are_read(spark, monkeypatch):
+    rows = []
+    stage = graph.staged
+    monkeypatch.setattr(graph, "staged", lambda df, name: rows.append((made := stage(df, name)).count()) or made)
+    assert graph.closure(frame(spark, [(i, i + 1) for i in range(1500)])).count() == 1500 * 1501 // 2
+    assert max(rows) <= 1501
