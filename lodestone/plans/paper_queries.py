@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ..operators import dialect, papers
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import dialect, pairing, papers
 
 _Q = """SELECT l_orderkey AS paper, CAST(l_linenumber AS INT) AS mq, CAST(row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice) AS INT) AS part,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS place, CAST(l_quantity AS INT) AS marks, CAST(l_suppkey % 6 + 1 AS INT) AS level,
@@ -90,3 +92,13 @@ USES = {
 }
 
 QUERIES, ORACLE_SQL = dialect.register(papers.OPERATORS, USES)
+
+
+def name_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator's SQL compares all pairs to keep each once; this has the same rows from blocks."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    wanted, named = (dialect.apply(spark, USES["name_resolution"][1][n], part=part) for n in ("wanted", "named"))
+    return pairing.resolved(wanted, named)
+
+
+QUERIES["name_resolution"] = name_resolution
