@@ -71,3 +71,17 @@ def test_hard_negatives_keep_easy_pairs(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 1), (9, 1), (1, None)], "anchor long, positive long")
     got = {(r["anchor"], r["positive"]): (r["negative"], r["pair_type"]) for r in retrieve.hard_negatives(pairs, base).collect()}
     assert got == {(1, 2): (3, "hard"), (1, 3): (2, "hard"), (4, 1): (None, "easy"), (9, 1): (None, "easy"), (1, None): (2, "hard")}
+
+
+def test_a_query_is_sent_to_a_group_of_cells_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "OF_CELL", 16)
+    x = np.random.default_rng(5).standard_normal((4000, 16))  # without structure: nearly all of 250 cells are read
+    x[3000:3040] = x[50]  # ties, more than are asked for
+    df = spark.createDataFrame([(i, 0, v.tolist()) for i, v in enumerate(x)], "vec_id long, label long, embedding array<double>")
+    path, sent, stage = str(tmp_path / "index"), {}, vectors.staged
+    vectors.build(df, path)
+    monkeypatch.setattr(vectors, "staged", lambda df, name: sent.setdefault(name, stage(df, name)))
+    monkeypatch.setattr(vectors, "ELEMENTS", 5000)
+    got = {(r.q_id, r.vec_id) for r in vectors.search(df.where("vec_id % 50 = 0"), path, 10).collect()}
+    assert got == brute(x[::50], x, range(0, 4000, 50), 10)
+    assert sent["others"].count() <= 80 * 6
