@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import figures, folds
+from lodestone.sources.shared import staged
 from lodestone.streaming import events as E
 from lodestone.streaming import learn
 
@@ -37,6 +38,26 @@ def test_figures_like_one_by_one(spark):
     assert got == {k: (c, pytest.approx(v, abs=1e-4)) for k, (c, v) in want.items()}
 
 
+def test_figures_of_large_and_small_modules(spark, monkeypatch):
+    r = random.Random(5)
+    rows = [(m, f, (f * 7 % 10) / 10, c, round(r.random() + 0.01, 3)) for m, n in ((1, 60), (2, 8), (3, 1)) for f in range(n) for c in r.sample(range(6), 3)]
+    scored = spark.createDataFrame(rows, "module long, figure long, provenance double, chunk long, score double")
+    monkeypatch.setattr(figures, "_in_rounds", lambda lists: pytest.fail("a small module needs no rounds"))
+    one_by_one = {(x[0], x[1]): x[2:] for x in figures.assign(scored).collect()}
+    monkeypatch.undo()
+    monkeypatch.setattr(figures, "LARGE", 20)
+    assert one_by_one == {(x[0], x[1]): x[2:] for x in figures.assign(scored).collect()} and len(one_by_one) == 69
+
+
+def test_staged_tables_leave_no_shuffle_files(spark, tmp_path):
+    spark.sparkContext._jvm.System.gc()
+    held = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    before = held.getAllFiles().size()
+    made = staged(spark.range(5000).repartition(7).groupBy(F.col("id") % 1000).count(), "made")
+    assert made.count() == 1000 and not spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+    assert held.getAllFiles().size() <= before + 4  # of the count
+
+
 def rows_of(spark, n, seed):
     r = random.Random(seed)
     rows = [(k, i, round(r.random(), 2), r.randint(1, 6), r.randint(1, 20)) for k in range(3) for i in range(n * (k + 1))] + [(None, 0, 0.5, 1, 1)]
