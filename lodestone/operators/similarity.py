@@ -1,8 +1,9 @@
 """Exact joins of similar sets of words, and the ordered removal of near duplicates.
 
-Words are ordered by how many sets have them, rarest first, and a set is only met through its prefix: the few rarest
-words of which two similar sets must have one in common. A word that most sets have stands last and makes no
-candidates, unless a set has hardly any other. Candidates pass by size and by the place of the word they met on
+All words have one order, and a set is only met through its prefix: the few first words of which two similar sets must have one in
+common. Any order gives the same pairs, the less frequent the first words the fewer candidates. Words stand by their hashes, and those that more than OFTEN sets
+would meet by come last, the most frequent at the end: only first words are counted for that, not all (for `left`, where a prefix meets whole sets, all are).
+So a word that most sets have makes no candidates, unless a set has hardly any other. Candidates pass by size and by the place of the word they met on
 (what comes after it bounds the overlap), then the whole sets decide. Nothing is approximate.
 
 Measures, in per cent of: `union` both sets' union (at least), `larger` the larger set (more than), `left` the left set (more than).
@@ -16,12 +17,21 @@ send them to the driver to broadcast.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import discard, staged
 
 MEASURES = ("union", "larger", "left")
+#: More sets than this that would meet by a word put it behind others: the most frequent words of a round, in so many rounds. What is left makes more candidates.
+OFTEN, MOST, ROUNDS = 50, 100_000, 4
+#: Turns in which pairs are compared at most.
+TURNS = 16
 
 
 def word_sets(rows: DataFrame, key: str, words: Column, *others: str, group: Column | None = None) -> DataFrame:
@@ -31,9 +41,14 @@ def word_sets(rows: DataFrame, key: str, words: Column, *others: str, group: Col
     return made.where("id is not null")
 
 
+def _marked(sets: DataFrame) -> DataFrame:
+    """The sets with two hashes of all their words."""
+    return sets.withColumn("_t", F.array_sort("tokens")).withColumns({"_a": F.xxhash64("_t"), "_b": F.xxhash64(F.lit("second"), "_t")}).drop("_t")
+
+
 def classes(sets: DataFrame, order: str = "id") -> DataFrame:
     """The sets with class, the smallest `order` among rows of the same tokens. Copies needn't meet each other then."""
-    marked = sets.withColumn("_t", F.array_sort("tokens")).withColumns({"_a": F.xxhash64("_t"), "_b": F.xxhash64(F.lit("second"), "_t")}).drop("_t")
+    marked = _marked(sets)
     first = marked.groupBy("_a", "_b").agg(F.min(order).alias("class"))
     return marked.join(first, ["_a", "_b"]).drop("_a", "_b")
 
@@ -59,6 +74,37 @@ def _ranked(sets: DataFrame) -> DataFrame:
     return made.select("side", "id", F.size("o").alias("n"), F.transform("o", lambda x: x["token"]).alias("tokens"))
 
 
+def _ordered(base: DataFrame, measure: str, per_cent: int) -> DataFrame:
+    """side, id, n, tokens: the tokens, sorted by their hashes in base, with frequent ones of prefixes last. Whole sets aren't shuffled for that."""
+    prefix = (F.col("n") - _least(F.col("n"), measure, per_cent) + 1).cast("int")
+    often, made = {}, base
+    for _ in range(ROUNDS):
+        each = made.where("n > 0").select(F.explode(F.slice("tokens", 1, F.greatest(prefix, F.lit(0)))).alias("token"))
+        found = each.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > OFTEN).orderBy(F.desc("df"), "token").limit(MOST).collect()
+        new = {r["token"]: r["df"] for r in found if r["token"] not in often}
+        if not new:
+            break
+        often |= new
+        made = _behind(base, often)
+    return made
+
+
+def _behind(base: DataFrame, often: dict[int, int]) -> DataFrame:
+    last = np.array(sorted(often), np.int64)
+    df = np.array([often[t] for t in last.tolist()], np.int64)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("tokens")
+            ends, words = lists.offsets.to_numpy(), lists.flatten().to_numpy()
+            at = np.minimum(np.searchsorted(last, words), len(last) - 1)
+            order = np.lexsort((words, np.where(last[at] == words, df[at], 0), np.repeat(np.arange(b.num_rows), np.diff(ends))))
+            made = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(words[order]))
+            yield pa.RecordBatch.from_arrays([made if c == "tokens" else b.column(c) for c in b.schema.names], names=b.schema.names)
+
+    return base.mapInArrow(put, base.schema)
+
+
 def candidates(ranked: DataFrame, measure: str, per_cent: int, same: bool) -> DataFrame:
     """Pairs a (left), b (right) that have to be compared. same: both are rows of side 0, and a comes after b."""
     whole = measure == "left"  # the right set may be of any size, so only the left has a prefix
@@ -83,12 +129,24 @@ def similar(left: DataFrame, right: DataFrame | None = None, measure: str = "uni
     sets = left.select(F.lit(0).alias("side"), "id", "tokens")
     if not same:
         sets = sets.union(right.select(F.lit(1).alias("side"), "id", "tokens"))
-    ranked = staged(_ranked(sets), "sets")
-    met = candidates(ranked, measure, per_cent, same)
-    a = ranked.where("side = 0").select(F.col("id").alias("a"), F.col("n"), F.col("tokens").alias("x"))
-    b = ranked.where(F.col("side") == (0 if same else 1)).select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
-    both = met.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "n", "m", F.size(F.array_intersect("x", "y")).alias("both"))
-    return both.where(F.col("both") >= _needed(F.col("n"), F.col("m"), measure, per_cent))
+    base = staged(_ranked(sets) if measure == "left" else sets.select("side", "id", F.size("tokens").alias("n"), F.array_sort("tokens").alias("tokens")), "sets")
+    ranked = base if measure == "left" else _ordered(base, measure, per_cent)
+    met = staged(candidates(ranked, measure, per_cent, same), "met")
+    # only sets that are met are compared, and shuffled again
+    other = 0 if same else 1
+    needed = met.select(F.lit(0).alias("side"), F.col("a").alias("id")).union(met.select(F.lit(other), "b")).distinct()
+    whole = staged(ranked.join(needed.hint("merge"), ["side", "id"], "left_semi"), "whole")
+    a = whole.where("side = 0").select(F.col("id").alias("a"), F.col("n"), F.col("tokens").alias("x"))
+    b = whole.where(F.col("side") == other).select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y"))
+    discard(base)
+    # sets go from one join to the other with each of their pairs: pairs are compared in turns of about as many as there are sets
+    turns, found = min(TURNS, max(1, -(-met.count() // max(1, whole.count())))), []
+    for k in range(turns):
+        some = met.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == k)
+        both = some.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "n", "m", F.size(F.array_intersect("x", "y")).alias("both"))
+        found.append(staged(both.where(F.col("both") >= _needed(F.col("n"), F.col("m"), measure, per_cent)), "pairs"))
+    discard(met, whole)
+    return reduce(DataFrame.union, found)
 
 
 def best_match(names: DataFrame, known: DataFrame, per_cent: int = 55) -> DataFrame:
@@ -106,8 +164,12 @@ def best_match(names: DataFrame, known: DataFrame, per_cent: int = 55) -> DataFr
 
 def duplicate_classes(sets: DataFrame, per_cent: int = 80) -> DataFrame:
     """id, class_id, n_links: rows of equal sets are a class, named by its smallest id; links are the other classes that are similar to it."""
-    named = staged(classes(sets), "classes")
-    one = named.where("id = class").dropDuplicates(["id"]).select("id", "tokens")
+    marked, key = _marked(sets), ["id", "_a", "_b"]
+    signed = staged(marked.select(*key), "signed")
+    first = signed.groupBy("_a", "_b").agg(F.min("id").alias("class"))
+    named = staged(signed.join(first, ["_a", "_b"]), "classes")
+    discard(signed)
+    one = marked.join(named.where("id = class").select(*key).hint("merge"), key, "left_semi").dropDuplicates(key).select("id", "tokens")
     pairs = similar(one, None, "union", per_cent)
     links = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).groupBy("class").agg(F.count("*").alias("n_links"))
     return named.join(links, "class", "left").select("id", F.col("class").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -122,3 +122,24 @@ def test_rules_come_from_a_table(spark):
     terms = spark.createDataFrame([("auto", "trigger", "car"), ("auto", "forbidden", "Binary Tree"), ("net", "forbidden", "tcp")], "rule string, role string, term string")
     got = sorted(map(tuple, contain.rule_violations(texts, rules, terms).collect()))
     assert got == [(1, "auto", "binary tree"), (3, "auto", "binary tree"), (4, "net", "tcp")]
+
+
+def test_only_sets_that_are_met_are_compared(spark, monkeypatch):
+    rows = [(i, " ".join([f"every{j}" for j in range(4)] + [f"w{i}x{j}" for j in range(16)])) for i in range(300)]  # a fifth of each is in all
+    rows += [(300 + i, t.replace(f"w{i}x0", "other")) for i, t in rows[:2]]
+    seen, stage = {}, similarity.staged
+    monkeypatch.setattr(similarity, "staged", lambda df, name: seen.setdefault(name, []).append((made := stage(df, name)).count()) or made)
+    pairs = similarity.similar(sets(spark, rows), None, "union", 80)
+    assert sorted((r.a, r.b, r.both) for r in pairs.collect()) == [(300, 0, 19), (301, 1, 19)]
+    assert seen["met"] == [2] and seen["whole"] == [4]
+
+
+def test_turns_lose_no_pair(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.sample([f"w{j}" for j in range(14)], 11))) for i in range(60)]
+    words = {i: set(t.split()) for i, t in rows}
+    want = {(a, b) for a in words for b in words if a > b and len(words[a] & words[b]) * 100 >= 80 * len(words[a] | words[b])}
+    for often in (1, 1000):
+        monkeypatch.setattr(similarity, "OFTEN", often)
+        got = [(x.a, x.b) for x in similarity.similar(sets(spark, rows), None, "union", 80).collect()]
+        assert set(got) == want and len(got) == len(want) > 120
